@@ -91,21 +91,20 @@ def collapse_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = [p for p in fixtures.QUARANTINE if p.strip()]
-    return relational.stage_counts(merged_places(spark, sf_dir), list(fixtures.MAPPING), patterns)
+    merged = merged_places(spark, sf_dir)
+    return relational.stage_counts(merged, fixtures.MAPPING, fixtures.QUARANTINE)
 
 
 def filter_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.filter_type(fixtures.places(spark, sf_dir), fixtures.mapping(spark))
+    return relational.filter_type(fixtures.places(spark, sf_dir), fixtures.MAPPING)
 
 
 def map_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.map_type(fixtures.places(spark, sf_dir), fixtures.mapping(spark))
+    return relational.map_type(fixtures.places(spark, sf_dir), fixtures.MAPPING)
 
 
 def remove(mode: str, lines: list[str], spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = fixtures.quarantine(spark, lines)
-    return relational.remove_quarantined(fixtures.places(spark, sf_dir), patterns, mode)
+    return relational.remove_quarantined(fixtures.places(spark, sf_dir), lines, mode)
 
 
 def relative_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +143,7 @@ def score_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ready_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.prepare_places(
-        fixtures.places(spark, sf_dir), fixtures.mapping(spark), fixtures.quarantine(spark)
+        fixtures.places(spark, sf_dir), fixtures.MAPPING, fixtures.QUARANTINE
     )
 
 
@@ -193,20 +192,21 @@ def certainty_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleanse(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = jobs.cleanse(
         merged_places(spark, sf_dir),
-        fixtures.mapping(spark),
-        fixtures.quarantine(spark),
+        fixtures.MAPPING,
+        fixtures.QUARANTINE,
         Stage(spark),
     )
     return places.select(*PLACE_COLUMNS, *VERDICT_COLUMNS)
 
 
 def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quads = fixtures.quads(spark, sf_dir)
+    stage = Stage(spark)
+    quads = stage.keep(fixtures.quads(spark, sf_dir), "quads")
     places = jobs.end_to_end(
         {name: quads for name in products.PRODUCTS},
-        fixtures.mapping(spark),
-        fixtures.quarantine(spark),
-        Stage(spark),
+        fixtures.MAPPING,
+        fixtures.QUARANTINE,
+        stage,
     )
     return places.select(*PLACE_COLUMNS, *VERDICT_COLUMNS)
 

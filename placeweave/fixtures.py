@@ -7,7 +7,6 @@ rules, and each engine gets its own form of the same rules.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.sources.tables import mapping_table, pattern_table
 from placeweave.vocabulary import ADMS, ADRES, DCT, GEBOUW, GEO, INFRA, LOCN, PLATFORM, PROV
 from placeweave.vocabulary import RDF_TYPE, SKOS
 
@@ -217,11 +216,3 @@ def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(*[quad(*rule) for rule in QUAD_RULES])
     source = places_with_position(spark, sf_dir)
     return source.select(F.inline(F.array_compact(rows))).filter("o IS NOT NULL")
-
-
-def mapping(spark: SparkSession) -> DataFrame:
-    return mapping_table(spark, MAPPING)
-
-
-def quarantine(spark: SparkSession, lines: list[str] = QUARANTINE) -> DataFrame:
-    return pattern_table(spark, lines)

@@ -63,14 +63,15 @@ def match_tier(
             complete &= F.col(key).isNotNull()
         lacking = rows.filter(~complete)
         rows = rows.filter(complete)
-    groups = stage.keep(
+    groups, seen = stage.keep_measured(
         rows.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("subject", *others)).alias("first")
         ),
         f"groups-{tier.name}",
+        largest=F.max("n"),
     )
     shared = groups.filter("n > 1")
-    hot = hot_from_counts(shared, keys, "n", hot_rows)
+    hot = hot_from_counts(shared, keys, "n", hot_rows) if seen["largest"] >= hot_rows else []
     representative = shared.select(*keys, F.col("first.subject").alias("duplicate_subject"))
     members = salted_join(rows, representative, keys, hot, null_safe=True)
     alone = groups.filter("n = 1").select("first.*", *keys)

@@ -1,12 +1,14 @@
 """Promotion of address matches whose names are nearly equal."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions.similarity import (
     index_signatures,
     is_similar,
-    lengths_allow,
+    may_be_similar,
     probe_signatures,
     sort_tokens,
 )
@@ -71,12 +73,16 @@ def similar_pairs(
     matches = _at_address(names, "match", ["name", "sorted"]).dropna(subset=address)
     originals = _at_address(names, "original", ["name", "sorted", "rank", "first_subject"])
     originals = originals.dropna(subset=address)
-    counts = stage.keep(
-        originals.groupBy(*address).agg(F.count(F.lit(1)).alias("n")), "names-per-address"
+    counts = originals.groupBy(*address).agg(F.count(F.lit(1)).alias("n"))
+    busy, seen = stage.keep_measured(
+        counts.filter(F.col("n") > quiet_address),
+        "busy-addresses",
+        largest=F.max("n"),
     )
-    busy = counts.filter(F.col("n") > quiet_address)
 
     def keyed(rows: DataFrame, signatures: Column) -> DataFrame:
+        if not seen["largest"]:
+            return rows.withColumn("signature", F.lit(""))
         hot = hot_from_rows(rows, address, hot_rows)
         sized = salted_join(rows, busy, address, hot, how="left")
         keys = F.when(F.col("n").isNull(), F.array(F.lit(""))).otherwise(signatures)
@@ -90,10 +96,9 @@ def similar_pairs(
         & (F.col("m.postcode") == F.col("o.postcode"))
         & (F.col("m.signature") == F.col("o.signature"))
         & (F.col("m.name") != F.col("o.name"))
-        & lengths_allow(F.char_length(a), F.char_length(b), min_score)
-        & is_similar(a, b, min_score)
+        & may_be_similar(a, b, min_score)
     )
-    return m.join(o, condition).select(
+    return m.join(o, condition).filter(is_similar(a, b, min_score)).select(
         F.col("m.name").alias("match"),
         F.col("o.name").alias("original"),
         F.col("o.rank").alias("rank"),
@@ -107,10 +112,12 @@ def promote_similar_names(
     min_score: int = MIN_SCORE,
     quiet_address: int = QUIET_ADDRESS,
     hot_rows: int = HOT_ROWS,
+    at_most: float = math.inf,
 ) -> DataFrame:
     """Raise address matches that have a similar name, pointing at the last similar name's id.
 
-    `verdicts` is read several times, so it should be a written table.
+    `verdicts` is read several times, so it should be a written table, of `at_most` this many
+    rows where that is known.
     """
     names = stage.keep(names_in_tier(verdicts), "names")
     pairs = similar_pairs(names, stage, min_score, quiet_address, hot_rows)
@@ -120,7 +127,7 @@ def promote_similar_names(
     )
     in_tier = F.col("certainty_ratio") == SAME_ADDRESS.certainty
     tier, others = verdicts.filter(in_tier), verdicts.filter(~in_tier)
-    hot = hot_from_rows(tier, ["locationName"], hot_rows)
+    hot = hot_from_rows(tier, ["locationName"], hot_rows, at_most)
     found = salted_join(tier, promoted, ["locationName"], hot, how="left")
     similar = F.col("similar_subject").isNotNull()
     raised = found.withColumns(

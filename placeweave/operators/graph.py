@@ -5,6 +5,8 @@ instead of one scan and join per property. Values of a property are only joined
 the nodes that have several.
 """
 
+import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +36,7 @@ class Nodes:
     """One row per node with the count and the smallest value of each property.
 
     `table` has the columns `keys`, then `n<i>` and `v<i>` for the i-th property; `most` is the
-    highest count of each property on any node.
+    highest count of each property on any node, and `size` at least the number of nodes.
     """
 
     table: DataFrame
@@ -42,6 +44,7 @@ class Nodes:
     keys: tuple[str, ...]
     properties: tuple[str, ...]
     most: tuple[int, ...]
+    size: int
 
     def count(self, iri: str) -> Column:
         return F.col(f"n{self.properties.index(iri)}")
@@ -52,21 +55,27 @@ class Nodes:
     def repeated(self, iri: str) -> bool:
         return self.most[self.properties.index(iri)] > 1
 
+    def solutions_at_most(self, iris: Iterable[str]) -> int:
+        """No star over these properties has more rows."""
+        return math.prod((max(1, self.most[self.properties.index(p)]) for p in iris), start=self.size)
+
 
 def gather_nodes(triples: DataFrame, properties: list[str], stage: Stage) -> Nodes:
     """Gather the listed properties of every node; `triples` may carry the graph `g`."""
     keys = ["g", "s"] if "g" in triples.columns else ["s"]
     properties = list(dict.fromkeys(properties))
     relevant = triples.filter(F.col("p").isin(properties))
-    measures, peaks = [], []
+    measures, peaks = [], {}
     for i, iri in enumerate(properties):
         is_property = F.col("p") == iri
         measures.append(F.count_if(is_property).alias(f"n{i}"))
         measures.append(F.min(F.when(is_property, F.col("o"))).alias(f"v{i}"))
-        peaks.append(F.max(f"n{i}").alias(f"n{i}"))
-    table = stage.keep(relevant.groupBy(*keys).agg(*measures), "nodes")
-    most = table.agg(*peaks).first()
-    return Nodes(table, relevant, tuple(keys), tuple(properties), tuple(n or 0 for n in most))
+        peaks[f"n{i}"] = F.max(f"n{i}")
+    table, seen = stage.keep_measured(
+        relevant.groupBy(*keys).agg(*measures), "nodes", size=F.count(F.lit(1)), **peaks
+    )
+    most = tuple(seen[c] for c in peaks)
+    return Nodes(table, relevant, tuple(keys), tuple(properties), most, seen["size"])
 
 
 def star(
@@ -97,23 +106,30 @@ def star(
     single = [nodes.value(p).alias(c) for c, p in values.items() if c not in spread]
     many = rows.filter(several).select(*keys, *single)
     for column, iri in spread.items():
-        number = f"n{nodes.properties.index(iri)}"
-        hot = hot_from_counts(nodes.table, keys, number, hot_rows)
+        i = nodes.properties.index(iri)
+        hot = hot_from_counts(nodes.table, keys, f"n{i}", hot_rows) if nodes.most[i] >= hot_rows else []
         objects = nodes.triples.filter(F.col("p") == iri).select(*keys, F.col("o").alias(column))
         many = salted_join(objects, many, keys, hot)
     return plain.unionByName(many.select(plain.columns))
 
 
 def follow(
-    rows: DataFrame, link: str, nodes: Nodes, values: dict[str, str], hot_rows: int = HOT_ROWS, **kw
+    rows: DataFrame,
+    link: str,
+    nodes: Nodes,
+    values: dict[str, str],
+    one_value: tuple[str, ...] = (),
+    hot_rows: int = HOT_ROWS,
+    at_most: float = math.inf,
 ) -> DataFrame:
     """Join each row with the star of the node that its column `link` points at.
 
-    Many rows may point at one node, so hot targets are salted. The link column is dropped.
+    Many rows (of `at_most` so many) may point at one node, so hot targets are salted. The link
+    column is dropped.
     """
-    target = star(nodes, values, hot_rows=hot_rows, **kw).withColumnRenamed("s", link)
+    target = star(nodes, values, None, one_value, hot_rows).withColumnRenamed("s", link)
     keys = [k if k != "s" else link for k in nodes.keys]
-    hot = hot_from_rows(rows, keys, hot_rows)
+    hot = hot_from_rows(rows, keys, hot_rows, at_most)
     return salted_join(rows, target, keys, hot).drop(link)
 
 

@@ -13,6 +13,10 @@ from placeweave.operators.skew import HOT_ROWS, hot_from_rows, salted_join
 SOURCE = "_src"
 ROW = "_row"
 
+# A small code list as a dict, or (key, value) rows; a list of patterns, or rows of them.
+Mapping = dict[str, str] | DataFrame
+Patterns = list[str] | DataFrame
+
 # Lookup tables up to this many rows become literals in the plan; larger ones are joined.
 INLINE_ROWS = 1_000
 # Patterns per regular expression.
@@ -60,10 +64,12 @@ def collapse_by_id(
 # -- type filter and mapping --------------------------------------------------------------
 
 
-def inline_map(mapping: DataFrame) -> dict[str, str] | None:
-    """The (key, value) rows as a dict, or None if there are too many to put into a plan."""
+def inline_map(mapping: Mapping) -> Mapping:
+    """The mapping as a dict, unless it has too many rows to put into a plan."""
+    if isinstance(mapping, dict):
+        return mapping
     rows = mapping.select("key", "value").limit(INLINE_ROWS + 1).collect()
-    return None if len(rows) > INLINE_ROWS else {r["key"]: r["value"] for r in rows}
+    return mapping if len(rows) > INLINE_ROWS else {r["key"]: r["value"] for r in rows}
 
 
 def is_known_type(types: list[str]) -> Column:
@@ -71,30 +77,30 @@ def is_known_type(types: list[str]) -> Column:
     return F.col("udbLocationType").isin(types) | F.col("udbLocationType").isNull()
 
 
-def filter_type(places: DataFrame, mapping: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def filter_type(places: DataFrame, mapping: Mapping, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keep the rows whose catalogue type is a key of the mapping or absent."""
     places = with_columns(places, ["udbLocationType"])
-    inline = inline_map(mapping)
-    if inline is not None:
-        return places.filter(is_known_type(list(inline)))
+    mapping = inline_map(mapping)
+    if isinstance(mapping, dict):
+        return places.filter(is_known_type(list(mapping)))
     found = _look_up(places, mapping.withColumn("_known", F.lit(True)), hot_rows)
     kept = found.filter(F.col("_known") | F.col("udbLocationType").isNull())
     return kept.select(places.columns)
 
 
-def map_type(places: DataFrame, mapping: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def map_type(places: DataFrame, mapping: Mapping, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Set the location type to the mapped catalogue type, where there is one.
 
     A mapped type replaces an existing location type; otherwise that type stays.
     """
     places = with_columns(places, ["udbLocationType", "locationType"])
-    inline = inline_map(mapping)
-    if inline is None:
+    mapping = inline_map(mapping)
+    if not isinstance(mapping, dict):
         found = _look_up(places, mapping, hot_rows)
         mapped = F.col("value")
-    elif inline:
+    elif mapping:
         found = places
-        pairs = [F.lit(x) for pair in inline.items() for x in pair]
+        pairs = [F.lit(x) for pair in mapping.items() for x in pair]
         mapped = F.try_element_at(F.create_map(*pairs), F.col("udbLocationType"))
     else:
         return places
@@ -112,10 +118,13 @@ def _look_up(places: DataFrame, mapping: DataFrame, hot_rows: int) -> DataFrame:
 # -- quarantine ---------------------------------------------------------------------------
 
 
-def inline_patterns(patterns: DataFrame) -> list[str] | None:
-    """The non-blank lines, stripped, or None if there are too many to put into a plan."""
-    lines = _lines(patterns).limit(INLINE_ROWS + 1).collect()
-    return None if len(lines) > INLINE_ROWS else [r["pattern"] for r in lines]
+def inline_patterns(patterns: Patterns) -> Patterns:
+    """The non-blank lines, stripped, as a list, unless there are too many to put into a plan."""
+    if isinstance(patterns, list):
+        return [p.strip() for p in patterns if p.strip()]
+    lines = _lines(patterns)
+    few = lines.limit(INLINE_ROWS + 1).collect()
+    return lines if len(few) > INLINE_ROWS else [r["pattern"] for r in few]
 
 
 def _lines(patterns: DataFrame) -> DataFrame:
@@ -141,7 +150,7 @@ def matches_any(text: Column, patterns: list[str], mode: str = "regex") -> Colum
     return F.coalesce(hit, F.lit(False))
 
 
-def remove_quarantined(places: DataFrame, patterns: DataFrame, mode: str = "regex") -> DataFrame:
+def remove_quarantined(places: DataFrame, patterns: Patterns, mode: str = "regex") -> DataFrame:
     """Drop the rows whose id matches a pattern; modes as in `matches_any`.
 
     A short list becomes one filter on the id, which also moves below a collapse per id. Long
@@ -150,14 +159,15 @@ def remove_quarantined(places: DataFrame, patterns: DataFrame, mode: str = "rege
     """
     if mode not in ("regex", "literal", "exact"):
         raise ValueError(f"unknown mode {mode!r}")
-    inline = inline_patterns(patterns)
-    if inline is None and mode == "exact":
-        return places.join(_lines(patterns).withColumnRenamed("pattern", "subject"), "subject", "left_anti")
-    if inline is None and mode == "literal":
-        return _remove_containing(places, _lines(patterns))
-    if inline is None:
-        inline = [r["pattern"] for r in _lines(patterns).toLocalIterator()]
-    return places.filter(~matches_any(F.col("subject"), inline, mode))
+    patterns = inline_patterns(patterns)
+    if isinstance(patterns, DataFrame):
+        if mode == "exact":
+            ids = patterns.withColumnRenamed("pattern", "subject")
+            return places.join(ids, "subject", "left_anti")
+        if mode == "literal":
+            return _remove_containing(places, patterns)
+        patterns = [r["pattern"] for r in patterns.toLocalIterator()]
+    return places.filter(~matches_any(F.col("subject"), patterns, mode))
 
 
 def _remove_containing(places: DataFrame, literals: DataFrame) -> DataFrame:
@@ -180,7 +190,7 @@ def _remove_containing(places: DataFrame, literals: DataFrame) -> DataFrame:
 # -- stage counts -------------------------------------------------------------------------
 
 
-def stage_counts(places: DataFrame, types: list[str], patterns: list[str]) -> DataFrame:
+def stage_counts(places: DataFrame, mapping: dict[str, str], patterns: list[str]) -> DataFrame:
     """Row counts after load, type filter, collapse per id and quarantine, as (stage, n).
 
     One scan and one combined aggregation per id. Counts are ordinary aggregates, so they stay
@@ -188,10 +198,10 @@ def stage_counts(places: DataFrame, types: list[str], patterns: list[str]) -> Da
     """
     places = with_columns(places, ["udbLocationType"])
     per_id = places.groupBy("subject").agg(
-        F.count(F.lit(1)).alias("loaded"), F.count_if(is_known_type(types)).alias("known")
+        F.count(F.lit(1)).alias("loaded"), F.count_if(is_known_type(list(mapping))).alias("known")
     )
     grouped = (F.col("known") > 0) & F.col("subject").isNotNull()
-    kept = grouped & ~matches_any(F.col("subject"), patterns)
+    kept = grouped & ~matches_any(F.col("subject"), inline_patterns(patterns))
     totals = per_id.agg(
         F.coalesce(F.sum("loaded"), F.lit(0)).alias("load"),
         F.coalesce(F.sum("known"), F.lit(0)).alias("filter"),

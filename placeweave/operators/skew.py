@@ -1,5 +1,6 @@
 """Joins that stay even when one key holds a large share of the rows."""
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +35,12 @@ def hot_from_counts(counts: DataFrame, keys: list[str], count: str, hot_rows: in
     return sorted({row["_hash"] for row in hottest.collect()})
 
 
-def hot_from_rows(rows: DataFrame, keys: list[str], hot_rows: int) -> list[int]:
+def hot_from_rows(
+    rows: DataFrame, keys: list[str], hot_rows: int, at_most: float = math.inf
+) -> list[int]:
+    """As `hot_from_counts`, counting `rows`; not needed if there are `at_most` too few rows."""
+    if at_most < hot_rows:
+        return []
     counts = rows.groupBy(key_hash(keys).alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
     hottest = counts.filter(F.col("_n") >= hot_rows).orderBy(F.desc("_n")).limit(HOT_KEYS)
     return sorted(row["_hash"] for row in hottest.collect())

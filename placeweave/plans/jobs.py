@@ -14,6 +14,8 @@ from placeweave.operators.fuzzy import promote_similar_names
 from placeweave.operators.relational import (
     ROW,
     SOURCE,
+    Mapping,
+    Patterns,
     collapse_by_id,
     filter_type,
     map_type,
@@ -39,8 +41,8 @@ def clean_columns(places: DataFrame, null_name_text: str | None = None) -> DataF
 
 def prepare_places(
     places: DataFrame,
-    mapping: DataFrame,
-    patterns: DataFrame,
+    mapping: Mapping,
+    patterns: Patterns,
     mode: str = "regex",
     null_name_text: str | None = None,
 ) -> DataFrame:
@@ -55,9 +57,13 @@ def verdicts(
 ) -> DataFrame:
     """The final verdict per id. The compared columns alone go through the passes."""
     keys = stage.keep(comparison_keys(places), "keys")
-    matched = match_tiers(keys, stage, null_keys_match=null_keys_match, hot_rows=hot_rows)
-    matched = stage.keep(matched, "matched")
-    return final_verdict(promote_similar_names(matched, stage, hot_rows=hot_rows))
+    matched, seen = stage.keep_measured(
+        match_tiers(keys, stage, null_keys_match=null_keys_match, hot_rows=hot_rows),
+        "matched",
+        total=F.count(F.lit(1)),
+    )
+    promoted = promote_similar_names(matched, stage, hot_rows=hot_rows, at_most=seen["total"])
+    return final_verdict(promoted)
 
 
 def deduplicate(
@@ -69,8 +75,8 @@ def deduplicate(
 
 def cleanse(
     rows: DataFrame,
-    mapping: DataFrame,
-    patterns: DataFrame,
+    mapping: Mapping,
+    patterns: Patterns,
     stage: Stage,
     order: list[str] | None = None,
     mode: str = "regex",
@@ -93,13 +99,16 @@ def cleanse(
 
 def end_to_end(
     stores: dict[str, DataFrame],
-    mapping: DataFrame,
-    patterns: DataFrame,
+    mapping: Mapping,
+    patterns: Patterns,
     stage: Stage,
     **options,
 ) -> DataFrame:
     """Extract each product from its store, merge in the given order, and cleanse."""
-    records = [blank_to_null(fetch(product, quads, stage)) for product, quads in stores.items()]
+    records = [
+        stage.keep(blank_to_null(fetch(product, quads, stage)), product)
+        for product, quads in stores.items()
+    ]
     merged = with_columns(merge_by_name(records), PLACE_COLUMNS)
     # A job has no row order, so within one source a digest decides, which is repeatable.
     cells = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in PLACE_COLUMNS])

@@ -119,8 +119,11 @@ def _solutions(
     values, links = pattern
     linked = {f"link{i}": iri for i, iri in enumerate(links)}
     rows = star(nodes, {**values, **linked}, where, hot_rows=hot_rows)
+    at_most = nodes.solutions_at_most([*values.values(), *links])
     for link, iri in linked.items():
-        rows = follow(rows, link, nodes, links[iri], hot_rows)
+        target = links[iri]
+        rows = follow(rows, link, nodes, target, hot_rows=hot_rows, at_most=at_most)
+        at_most *= nodes.solutions_at_most(target.values()) / max(1, nodes.size)
     return rows
 
 
@@ -199,8 +202,9 @@ def event_places(
             "link",
             nodes,
             values,
+            tuple(values),
             hot_rows,
-            one_value=tuple(values),
+            nodes.solutions_at_most([iri]),
         )
         smallest = [F.min(c).alias(c) for c in values]
         reached = reached.groupBy("g", F.col("place").alias("s")).agg(*smallest)

@@ -75,14 +75,6 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,string>")))
 
 
-def mapping_table(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(mapping.items()), "key string, value string")
-
-
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """A text file with one pattern per line."""
     return spark.read.text(path).withColumnRenamed("value", "pattern")
-
-
-def pattern_table(spark: SparkSession, patterns: list[str]) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in patterns], "pattern string")

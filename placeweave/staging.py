@@ -10,7 +10,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -45,6 +45,19 @@ class Stage:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def keep_measured(
+        self, rows: DataFrame, name: str, **measures: Column
+    ) -> tuple[DataFrame, dict[str, int]]:
+        """Keep `rows` and take measures of them in the same pass.
+
+        A task that runs again can raise a count but never a maximum, so use these only as upper
+        bounds, to choose a plan.
+        """
+        seen = Observation()
+        columns = [m.alias(c) for c, m in measures.items()]
+        table = self.keep(rows.observe(seen, *columns), name)
+        return table, {c: v or 0 for c, v in seen.get.items()}
+
     def release(self) -> None:
         """Delete the run's tables, once nothing that reads them is needed any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
