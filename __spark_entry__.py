@@ -126,7 +126,7 @@ def fix_postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.comparison_keys(ready_places(spark, sf_dir))
+    return dedup.comparison_keys(ready_places(spark, sf_dir)).drop(dedup.PLAIN_NAME)
 
 
 def score_names(spark: SparkSession, sf_dir: str) -> DataFrame:

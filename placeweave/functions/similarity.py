@@ -49,25 +49,56 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, 100.0).otherwise(200.0 * lcs_length(a, b) / total)
 
 
+def profile(text: Column) -> Column:
+    """What `may_be_similar` needs of a token-sorted string: the string, its length, its letters.
+
+    Bit k of `once` (`twice`) is set if the characters that fall on k occur at least once (twice).
+    """
+
+    def add(seen: Column, char: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(char) % 64)
+        return F.struct(
+            seen["once"].bitwiseOR(bit).alias("once"),
+            seen["twice"].bitwiseOR(seen["once"].bitwiseAND(bit)).alias("twice"),
+        )
+
+    none = F.lit(0).cast("bigint")
+    letters = F.aggregate(
+        F.split(text, ""), F.struct(none.alias("once"), none.alias("twice")), add
+    )
+    return F.struct(
+        text.alias("text"), F.char_length(text).alias("length"), letters.alias("letters")
+    )
+
+
 def may_be_similar(a: Column, b: Column, min_score: int) -> Column:
-    """Whether length and edit distance let two token-sorted strings score `min_score`.
+    """Whether two profiles let their strings score `min_score`; cheap tests come first.
 
-    The edit distance is never more than the number of insertions and deletions.
+    Each insertion or deletion changes the length by one and a letter bit at most, and the edit
+    distance is never more than the number of insertions and deletions.
     """
-    la, lb = F.char_length(a), F.char_length(b)
-    lengths_fit = 200 * F.least(la, lb) >= min_score * (la + lb)
-    return lengths_fit & (100 * F.levenshtein(a, b) <= (100 - min_score) * (la + lb))
+    total = a["length"] + b["length"]
+    room = (100 - min_score) * total
+
+    def changed(bits: str) -> Column:
+        return F.bit_count(a["letters"][bits].bitwiseXOR(b["letters"][bits]))
+
+    return (
+        (100 * F.abs(a["length"] - b["length"]) <= room)
+        & (100 * (changed("once") + changed("twice")) <= room)
+        & (100 * F.levenshtein(a["text"], b["text"]) <= room)
+    )
 
 
 def is_similar(a: Column, b: Column, min_score: int) -> Column:
-    """Whether two token-sorted strings for which `may_be_similar` holds score `min_score`.
+    """Whether the strings of two profiles for which `may_be_similar` holds score `min_score`.
 
     An edit is at most two insertions and deletions. That settles most pairs, and the common
     subsequence is worked out only for the others.
     """
-    total = F.char_length(a) + F.char_length(b)
-    sure = 200 * F.levenshtein(a, b) <= (100 - min_score) * total
-    common = lcs_length(F.when(~sure, a), F.when(~sure, b))
+    total = a["length"] + b["length"]
+    sure = 200 * F.levenshtein(a["text"], b["text"]) <= (100 - min_score) * total
+    common = lcs_length(F.when(~sure, a["text"]), F.when(~sure, b["text"]))
     return sure | (200 * common >= min_score * total)
 
 

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 # Whitespace as a Unicode-aware strip() sees it; Java's \s leaves out the four separators.
 SPACE = r"[\s\x1c-\x1f]"
-CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
-# Put before every letter that starts a new run; a Unicode noncharacter, so never text.
+CASED = r"a-zA-Z\p{IsUppercase}\p{IsLowercase}\p{Lt}"
+# Put before a letter that starts a run within a word; a Unicode noncharacter, so never text.
 _RUN_MARK = "\ufdd0 "
 
 
@@ -16,27 +16,26 @@ def strip(text: Column) -> Column:
 
 def strip_quotes(text: Column) -> Column:
     """Take off one pair of equal quotes around the text; a lone quote becomes empty."""
-    first, last = F.left(text, F.lit(1)), F.right(text, F.lit(1))
-    wrapped = (first == last) & first.isin("'", '"')
-    inner = F.substring(text, F.lit(2), F.greatest(F.char_length(text) - 2, F.lit(0)))
-    return F.when(wrapped, inner).otherwise(text)
+    return F.regexp_replace(text, r"""(?s)\A(['"])(.*)\1\z|\A['"]\z""", "$2")
 
 
 def clean_name(name: Column, null_name_text: str | None = None) -> Column:
     """Cleaned location name. The order of the rules matters.
 
-    `null_name_text` is what a missing name turns into; by default it stays null.
+    Each rule reads the text before it once: a rule that names it twice, as CASE does, would
+    make Spark work out all earlier rules twice. `null_name_text` is what a missing name turns
+    into; by default it stays null.
     """
     if null_name_text is not None:
         name = F.coalesce(name, F.lit(null_name_text))
-    name = F.regexp_replace(name, r"(?U)\d", "")
+    name = F.regexp_replace(name, r"\p{Nd}", "")
     name = F.translate(name, "’‘“”", "''\"\"")
     name = F.replace(name, F.lit("'T"), F.lit("'t"))
     # An escaped apostrophe (&#039;t) has lost its digits by now.
     name = F.replace(name, F.lit("&#;t"), F.lit("'t"))
-    name = F.when(name.isin("'", "/", "?"), "").otherwise(name)
-    name = strip(F.regexp_replace(name, "[?/-]", " "))
-    name = F.regexp_replace(name, rf"(?U){SPACE}+", " ")
+    # A run of spaces and of ? / - becomes one space, none at the ends. So a text of just / or ?
+    # gets empty here, and a text of just ' in the last rule.
+    name = F.trim(F.regexp_replace(name, r"(?U)[\s\x1c-\x1f?/-]+", " "))
     return strip_quotes(name)
 
 
@@ -50,9 +49,10 @@ def drop_decimal_zero(text: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Upper-case the first letter of every run of letters, lower-case the others.
 
-    `initcap` starts a word only after a space, so a marked space goes in front of each run.
+    `initcap` starts a word only after a space, so a marked space goes in front of a run that
+    follows any other sign.
     """
-    marked = F.regexp_replace(text, rf"(?<=[^{CASED}])(?=[{CASED}])", _RUN_MARK)
+    marked = F.regexp_replace(text, rf"[^{CASED} ]+(?=[{CASED}])", "$0" + _RUN_MARK)
     return F.replace(F.initcap(marked), F.lit(_RUN_MARK), F.lit(""))
 
 

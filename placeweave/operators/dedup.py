@@ -36,10 +36,15 @@ INCOMPLETE_ADDRESS = 0.1
 UNIQUE = 0.0
 
 
+# The name as it was before title case.
+PLAIN_NAME = "plain_name"
+
+
 def comparison_keys(places: DataFrame) -> DataFrame:
-    """The id and the compared columns, with name, street and city in title case."""
+    """The id, the plain name, and the compared columns: name, street and city in title case."""
     titled = {c: title_case(F.col(c)) for c in ("locationName", "thoroughfare", "city")}
-    return places.select("subject", *KEY_COLUMNS).withColumns(titled)
+    plain = F.col("locationName").alias(PLAIN_NAME)
+    return places.select("subject", plain, *KEY_COLUMNS).withColumns(titled)
 
 
 def match_tier(
@@ -49,13 +54,13 @@ def match_tier(
     null_keys_match: bool = True,
     hot_rows: int = HOT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Split `rows` (id and keys) into the members of shared groups and all others.
+    """Split `rows` (id, keys and any others) into the members of shared groups and the rest.
 
     Members get the tier's verdict; their representative is the smallest id of the group.
     With `null_keys_match=False` a row that lacks a key has no duplicates.
     """
     keys = list(tier.keys)
-    others = [c for c in KEY_COLUMNS if c not in keys]
+    others = [c for c in rows.columns if c not in ("subject", *keys)]
     lacking = None
     if not null_keys_match:
         complete = F.lit(True)
@@ -74,8 +79,7 @@ def match_tier(
     hot = hot_from_counts(shared, keys, "n", hot_rows) if seen["largest"] >= hot_rows else []
     representative = shared.select(*keys, F.col("first.subject").alias("duplicate_subject"))
     members = salted_join(rows, representative, keys, hot, null_safe=True)
-    alone = groups.filter("n = 1").select("first.*", *keys)
-    rest = alone.select("subject", *KEY_COLUMNS)
+    rest = groups.filter("n = 1").select("first.*", *keys)
     if lacking is not None:
         rest = rest.unionByName(lacking)
     return with_verdict(members, tier.certainty, True), rest
@@ -84,12 +88,8 @@ def match_tier(
 def with_verdict(rows: DataFrame, certainty: float, duplicate: bool) -> DataFrame:
     if not duplicate:
         rows = rows.withColumn("duplicate_subject", F.lit(None).cast("string"))
-    return rows.select(
-        "subject",
-        *KEY_COLUMNS,
-        F.lit(certainty).alias("certainty_ratio"),
-        F.lit(duplicate).alias("is_duplicate"),
-        "duplicate_subject",
+    return rows.withColumns(
+        {"certainty_ratio": F.lit(certainty), "is_duplicate": F.lit(duplicate)}
     )
 
 
@@ -131,13 +131,14 @@ def final_verdict(verdicts: DataFrame) -> DataFrame:
 def apply_verdict(places: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Places with their verdict; street and city keep the title case, the name does not.
 
-    Ids are unique on both sides, so the join has no hot key. Only the narrow verdicts move
-    where `places` is already laid out by id.
+    The compared columns come with the verdicts, so only the other columns of `places` are worked
+    out and joined. Ids are unique on both sides, so the join has no hot key, and `places` does
+    not move where it is already laid out by id.
     """
-    titled = ["thoroughfare", "city"]
-    columns = [c for c in places.columns if c not in titled]
-    joined = places.select(columns).join(
-        verdicts.select("subject", *titled, *VERDICT_COLUMNS), "subject"
+    compared = verdicts.withColumn("locationName", F.col(PLAIN_NAME))
+    others = [c for c in places.columns if c not in KEY_COLUMNS]
+    joined = places.select(others).join(
+        compared.select("subject", *KEY_COLUMNS, *VERDICT_COLUMNS), "subject"
     )
     return joined.select(*places.columns, *VERDICT_COLUMNS)
 

@@ -10,6 +10,7 @@ from placeweave.functions.similarity import (
     is_similar,
     may_be_similar,
     probe_signatures,
+    profile,
     sort_tokens,
 )
 from placeweave.operators.dedup import SAME_ADDRESS
@@ -40,7 +41,7 @@ def names_in_tier(verdicts: DataFrame) -> DataFrame:
     )
     return firsts.select(
         F.col("locationName").alias("name"),
-        sort_tokens(F.col("locationName")).alias("sorted"),
+        profile(sort_tokens(F.col("locationName"))).alias("profile"),
         F.col("tier.subject").alias("rank"),
         F.col("tier.thoroughfare").alias("match_street"),
         F.col("tier.postCode").alias("match_postcode"),
@@ -70,8 +71,8 @@ def similar_pairs(
     of which every similar name contains at least one, against the substrings of the match.
     """
     address = ["street", "postcode"]
-    matches = _at_address(names, "match", ["name", "sorted"]).dropna(subset=address)
-    originals = _at_address(names, "original", ["name", "sorted", "rank", "first_subject"])
+    matches = _at_address(names, "match", ["name", "profile"]).dropna(subset=address)
+    originals = _at_address(names, "original", ["name", "profile", "rank", "first_subject"])
     originals = originals.dropna(subset=address)
     counts = originals.groupBy(*address).agg(F.count(F.lit(1)).alias("n"))
     busy, seen = stage.keep_measured(
@@ -88,9 +89,10 @@ def similar_pairs(
         keys = F.when(F.col("n").isNull(), F.array(F.lit(""))).otherwise(signatures)
         return sized.withColumn("signature", F.explode(keys)).drop("n")
 
-    m = keyed(matches, probe_signatures(F.col("sorted"), min_score)).alias("m")
-    o = keyed(originals, index_signatures(F.col("sorted"), min_score)).alias("o")
-    a, b = F.col("m.sorted"), F.col("o.sorted")
+    text = F.col("profile.text")
+    m = keyed(matches, probe_signatures(text, min_score)).alias("m")
+    o = keyed(originals, index_signatures(text, min_score)).alias("o")
+    a, b = F.col("m.profile"), F.col("o.profile")
     condition = (
         (F.col("m.street") == F.col("o.street"))
         & (F.col("m.postcode") == F.col("o.postcode"))

@@ -51,14 +51,16 @@ def collapse_by_id(
     results are combined before the shuffle, so an id with very many rows stays small.
     """
     overrides = overrides or {}
-    position = F.struct(*order)
+    values = [c for c in rows.columns if c != "subject" and c not in order]
 
-    def first_value(column: str) -> Column:
-        first = F.min_by(F.col(column), F.when(F.col(column).isNotNull(), position))
-        return overrides.get(column, first).alias(column)
+    def first(column: str) -> Column:
+        placed = F.struct(*order, F.col(column).alias("_value"))
+        return F.min(F.when(F.col(column).isNotNull(), placed))
 
-    values = [c for c in rows.columns if c != "subject" and c not in order]
-    return rows.filter("subject IS NOT NULL").groupBy("subject").agg(*map(first_value, values))
+    found = {c: overrides.get(c, first(c)).alias(c) for c in values}
+    groups = rows.filter("subject IS NOT NULL").groupBy("subject").agg(*found.values())
+    unpacked = [F.col(c) if c in overrides else F.col(c)["_value"].alias(c) for c in values]
+    return groups.select("subject", *unpacked)
 
 
 # -- type filter and mapping --------------------------------------------------------------

@@ -26,12 +26,11 @@ def read_csv(spark: SparkSession, path: str, line_per_record: bool = False) -> D
 
     Quoted cells may hold line breaks, so a file is read by one task; give
     `line_per_record=True` for files known to have none, and large files are split. The files of
-    a folder share one header. Positions order the rows by file and place in the file, however
-    Spark packs the files into tasks.
+    a folder share one header. Within a file, positions follow its lines however Spark packs the
+    blocks into tasks.
     """
     raw = spark.read.options(**_CSV, multiLine=not line_per_record).csv(path)
     position = F.struct(
-        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )

@@ -12,6 +12,7 @@ from placeweave.functions.similarity import (
     lcs_length,
     may_be_similar,
     probe_signatures,
+    profile,
     sort_tokens,
     token_sort_ratio,
 )
@@ -133,7 +134,9 @@ def test_scores(spark):
         "i",
         lcs_length(x, y).alias("lcs"),
         token_sort_ratio(F.col("a"), F.col("b")).alias("score"),
-        (may_be_similar(x, y, 90) & is_similar(x, y, 90)).alias("similar"),
+        (may_be_similar(profile(x), profile(y), 90) & is_similar(profile(x), profile(y), 90)).alias(
+            "similar"
+        ),
     ).orderBy("i")
     for (a, b), row in zip(pairs, rows.collect()):
         p, q = sorted_tokens(a), sorted_tokens(b)
