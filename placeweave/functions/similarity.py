@@ -49,11 +49,9 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, 100.0).otherwise(200.0 * lcs_length(a, b) / total)
 
 
-def profile(text: Column) -> Column:
-    """What `may_be_similar` needs of a token-sorted string: the string, its length, its letters.
-
-    Bit k of `once` (`twice`) is set if the characters that fall on k occur at least once (twice).
-    """
+def letters(text: Column) -> Column:
+    """Which characters a text has: bit k of `once` (`twice`) is set if the characters that fall
+    on k occur at least once (twice)."""
 
     def add(seen: Column, char: Column) -> Column:
         bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(char) % 64)
@@ -63,11 +61,18 @@ def profile(text: Column) -> Column:
         )
 
     none = F.lit(0).cast("bigint")
-    letters = F.aggregate(
-        F.split(text, ""), F.struct(none.alias("once"), none.alias("twice")), add
-    )
+    return F.aggregate(F.split(text, ""), F.struct(none.alias("once"), none.alias("twice")), add)
+
+
+def profile(text: Column, when: Column | None = None) -> Column:
+    """What `may_be_similar` needs of a token-sorted string.
+
+    The letters pay only where a string meets many others; where `when` does not hold they are
+    left out, and not tested.
+    """
+    known = letters(text) if when is None else F.when(when, letters(text))
     return F.struct(
-        text.alias("text"), F.char_length(text).alias("length"), letters.alias("letters")
+        text.alias("text"), F.char_length(text).alias("length"), known.alias("letters")
     )
 
 
@@ -81,7 +86,8 @@ def may_be_similar(a: Column, b: Column, min_score: int) -> Column:
     room = (100 - min_score) * total
 
     def changed(bits: str) -> Column:
-        return F.bit_count(a["letters"][bits].bitwiseXOR(b["letters"][bits]))
+        count = F.bit_count(a["letters"][bits].bitwiseXOR(b["letters"][bits]))
+        return F.coalesce(count, F.lit(0))
 
     return (
         (100 * F.abs(a["length"] - b["length"]) <= room)

@@ -41,7 +41,7 @@ def names_in_tier(verdicts: DataFrame) -> DataFrame:
     )
     return firsts.select(
         F.col("locationName").alias("name"),
-        profile(sort_tokens(F.col("locationName"))).alias("profile"),
+        sort_tokens(F.col("locationName")).alias("sorted"),
         F.col("tier.subject").alias("rank"),
         F.col("tier.thoroughfare").alias("match_street"),
         F.col("tier.postCode").alias("match_postcode"),
@@ -71,8 +71,8 @@ def similar_pairs(
     of which every similar name contains at least one, against the substrings of the match.
     """
     address = ["street", "postcode"]
-    matches = _at_address(names, "match", ["name", "profile"]).dropna(subset=address)
-    originals = _at_address(names, "original", ["name", "profile", "rank", "first_subject"])
+    matches = _at_address(names, "match", ["name", "sorted"]).dropna(subset=address)
+    originals = _at_address(names, "original", ["name", "sorted", "rank", "first_subject"])
     originals = originals.dropna(subset=address)
     counts = originals.groupBy(*address).agg(F.count(F.lit(1)).alias("n"))
     busy, seen = stage.keep_measured(
@@ -81,15 +81,20 @@ def similar_pairs(
         largest=F.max("n"),
     )
 
+    text = F.col("sorted")
+
     def keyed(rows: DataFrame, signatures: Column) -> DataFrame:
         if not seen["largest"]:
-            return rows.withColumn("signature", F.lit(""))
+            plain = profile(text, F.lit(False)).alias("profile")
+            return rows.select("*", plain, F.lit("").alias("signature"))
         hot = hot_from_rows(rows, address, hot_rows)
         sized = salted_join(rows, busy, address, hot, how="left")
-        keys = F.when(F.col("n").isNull(), F.array(F.lit(""))).otherwise(signatures)
-        return sized.withColumn("signature", F.explode(keys)).drop("n")
+        is_busy = F.col("n").isNotNull()
+        keys = F.when(is_busy, signatures).otherwise(F.array(F.lit("")))
+        return sized.select(
+            "*", profile(text, is_busy).alias("profile"), F.explode(keys).alias("signature")
+        )
 
-    text = F.col("profile.text")
     m = keyed(matches, probe_signatures(text, min_score)).alias("m")
     o = keyed(originals, index_signatures(text, min_score)).alias("o")
     a, b = F.col("m.profile"), F.col("o.profile")

@@ -139,7 +139,8 @@ def test_every_row_has_one_verdict(spark, stage):
     rows = random_places(200, 5)
     found = jobs.deduplicate(frame(spark, rows), stage)
     assert found.count() == found.select("subject").distinct().count() == len(rows)
-    grouped = found.filter("is_duplicate AND certainty_ratio != 0.5")
+    # The first of an address group may itself be promoted; in the other tiers it stays blank.
+    grouped = found.filter("certainty_ratio IN (1.0, 0.1, 0.6)")
     heads = grouped.filter("duplicate_subject = ''").select("subject")
     pointers = grouped.filter("duplicate_subject != ''").select("duplicate_subject").distinct()
     assert pointers.subtract(heads).isEmpty()
