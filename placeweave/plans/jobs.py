@@ -1,5 +1,8 @@
 """The composite jobs: merge, cleanse with deduplication, and extraction through to the end."""
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,11 +107,17 @@ def end_to_end(
     stage: Stage,
     **options,
 ) -> DataFrame:
-    """Extract each product from its store, merge in the given order, and cleanse."""
-    records = [
-        stage.keep(blank_to_null(fetch(product, quads, stage)), product)
-        for product, quads in stores.items()
-    ]
+    """Extract each product from its store, merge in the given order, and cleanse.
+
+    The products do not depend on each other, so their Spark jobs are submitted side by side.
+    """
+
+    @inheritable_thread_target(stage.spark)
+    def extract(product: str) -> DataFrame:
+        return stage.keep(blank_to_null(fetch(product, stores[product], stage)), product)
+
+    with ThreadPoolExecutor(max_workers=max(1, len(stores))) as pool:
+        records = list(pool.map(extract, stores))
     merged = with_columns(merge_by_name(records), PLACE_COLUMNS)
     # A job has no row order, so within one source a digest decides, which is repeatable.
     cells = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in PLACE_COLUMNS])

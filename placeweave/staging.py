@@ -6,6 +6,7 @@ survives the loss of any executor.
 """
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -33,11 +34,10 @@ class Stage:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{checkpoint_folder(spark)}/placeweave-{uuid.uuid4().hex}"
-        self._written = 0
+        self._numbers = itertools.count(1)
 
     def path(self, name: str) -> str:
-        self._written += 1
-        return f"{self.folder}/{self._written:03d}-{name}"
+        return f"{self.folder}/{next(self._numbers):03d}-{name}"
 
     def keep(self, rows: DataFrame, name: str) -> DataFrame:
         """Write `rows` and return the written table."""
@@ -56,7 +56,8 @@ class Stage:
         seen = Observation()
         columns = [m.alias(c) for c, m in measures.items()]
         table = self.keep(rows.observe(seen, *columns), name)
-        return table, {c: v or 0 for c, v in seen.get.items()}
+        found = seen.get
+        return table, {c: found.get(c) or 0 for c in measures}
 
     def release(self) -> None:
         """Delete the run's tables, once nothing that reads them is needed any more."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from placeweave import vocabulary
 from placeweave.operators.relational import collapse_by_id, filter_type, merge_by_name, remove_quarantined
-from placeweave.plans import jobs
+from placeweave.plans import jobs, products
 from placeweave.schema import PLACE_COLUMNS, VERDICT_COLUMNS
 from placeweave.sources import tables
 from placeweave.staging import Stage
@@ -144,3 +144,24 @@ def test_stage_keeps_measures_and_releases(spark):
     stage.release()
     with pytest.raises(Exception):
         spark.read.parquet(f"{stage.folder}/001-t").count()
+
+
+def test_empty_tables_go_through(spark, stage):
+    columns = ", ".join(f"CAST(NULL AS STRING) AS {c}" for c in PLACE_COLUMNS)
+    for text in (f"SELECT {columns}, 1 AS _row WHERE false", "SELECT 'a' AS subject, 1 AS _row WHERE false"):
+        found = jobs.cleanse(spark.sql(text), vocabulary.TYPE_MAPPING, vocabulary.QUARANTINE, stage)
+        assert found.columns == [*PLACE_COLUMNS, *VERDICT_COLUMNS] and found.isEmpty()
+    quads = spark.sql("SELECT CAST(NULL AS STRING) AS g, 's' AS s, 'p' AS p, 'o' AS o WHERE false")
+    for product in products.PRODUCTS:
+        assert products.fetch(product, quads, stage).isEmpty()
+
+
+def test_bare_ids_get_a_verdict(spark, stage):
+    rows = spark.createDataFrame([("a", 0), ("b", 1)], "subject string, _row int")
+    found = jobs.cleanse(rows, {}, [], stage).orderBy("subject").collect()
+    assert [r["duplicate_subject"] for r in found] == ["", "a"]
+    assert [r["certainty_ratio"] for r in found] == [0.1, 0.1]
+    apart = jobs.cleanse(rows, {}, [], stage, null_keys_match=False).collect()
+    assert {r["certainty_ratio"] for r in apart} == {0.0}
+    named = jobs.cleanse(rows, {}, [], stage, null_name_text="nan").collect()
+    assert {r["locationName"] for r in named} == {"nan"}
