@@ -6,6 +6,7 @@ survives the loss of any executor.
 """
 
 import atexit
+import functools
 import itertools
 import shutil
 import tempfile
@@ -22,9 +23,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    """A folder of this process, for local sessions that name none."""
     folder = tempfile.mkdtemp(prefix="placeweave-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set(CHECKPOINT_DIR, folder)
     return folder
 
 

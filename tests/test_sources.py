@@ -11,7 +11,7 @@ from placeweave.operators.relational import collapse_by_id, filter_type, merge_b
 from placeweave.plans import jobs, products
 from placeweave.schema import PLACE_COLUMNS, VERDICT_COLUMNS
 from placeweave.sources import tables
-from placeweave.staging import Stage
+from placeweave.staging import CHECKPOINT_DIR, Stage, checkpoint_folder
 
 
 def test_csv_cells(spark, tmp_path):
@@ -133,7 +133,7 @@ def test_files_through_merge_and_cleanse(spark, stage, tmp_path):
 
 def test_stage_keeps_measures_and_releases(spark):
     stage = Stage(spark)
-    assert stage.folder.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
+    assert stage.folder.startswith(checkpoint_folder(spark) + "/")
     rows = spark.range(100).withColumn("k", F.col("id") % 3)
     table, seen = stage.keep_measured(rows, "t", n=F.count(F.lit(1)), most=F.max("k"))
     assert seen == {"n": 100, "most": 2}
@@ -146,6 +146,22 @@ def test_stage_keeps_measures_and_releases(spark):
         spark.read.parquet(f"{stage.folder}/001-t").count()
 
 
+class SessionOf:
+    """As much of a session as the choice of the folder reads."""
+
+    def __init__(self, **settings):
+        self.conf = {name.replace("_", "."): value for name, value in settings.items()}
+
+
+def test_folder_is_the_one_the_cluster_names():
+    named = SessionOf(spark_master="yarn", spark_checkpoint_dir="hdfs://nn/shared/")
+    assert checkpoint_folder(named) == "hdfs://nn/shared"
+    own = checkpoint_folder(SessionOf(spark_master="local[2]"))
+    assert own == checkpoint_folder(SessionOf(spark_master="local[8]"))
+    with pytest.raises(ValueError, match=CHECKPOINT_DIR):
+        checkpoint_folder(SessionOf(spark_master="yarn"))
+
+
 def test_empty_tables_go_through(spark, stage):
     columns = ", ".join(f"CAST(NULL AS STRING) AS {c}" for c in PLACE_COLUMNS)
     for text in (f"SELECT {columns}, 1 AS _row WHERE false", "SELECT 'a' AS subject, 1 AS _row WHERE false"):
