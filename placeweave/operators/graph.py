@@ -65,14 +65,17 @@ def gather_nodes(triples: DataFrame, properties: list[str], stage: Stage) -> Nod
     keys = ["g", "s"] if "g" in triples.columns else ["s"]
     properties = list(dict.fromkeys(properties))
     relevant = triples.filter(F.col("p").isin(properties))
+    # Long IRIs that begin alike are compared once per row; the measures compare numbers.
+    number = F.array_position(F.array(*map(F.lit, properties)), F.col("p")).cast("int")
+    numbered = relevant.select(*keys, number.alias("number"), "o")
     measures, peaks = [], {}
-    for i, iri in enumerate(properties):
-        is_property = F.col("p") == iri
+    for i in range(len(properties)):
+        is_property = F.col("number") == i + 1
         measures.append(F.count_if(is_property).alias(f"n{i}"))
         measures.append(F.min(F.when(is_property, F.col("o"))).alias(f"v{i}"))
         peaks[f"n{i}"] = F.max(f"n{i}")
     table, seen = stage.keep_measured(
-        relevant.groupBy(*keys).agg(*measures), "nodes", size=F.count(F.lit(1)), **peaks
+        numbered.groupBy(*keys).agg(*measures), "nodes", size=F.count(F.lit(1)), **peaks
     )
     most = tuple(seen[c] for c in peaks)
     return Nodes(table, relevant, tuple(keys), tuple(properties), most, seen["size"])
