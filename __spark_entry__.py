@@ -18,6 +18,15 @@ from placeweave.schema import KEY_COLUMNS, PLACE_COLUMNS, VERDICT_COLUMNS
 from placeweave.sources import tables
 from placeweave.staging import Stage
 
+try:
+    import corpus_pipeline
+    from placeweave.llm import queries as llm
+except ModuleNotFoundError as missing:
+    # The training-data operators are an optional part: all of it is there, or it is left out.
+    if missing.name not in ("corpus_pipeline", "placeweave.llm"):
+        raise
+    llm = None
+
 
 # -- sources and sinks --------------------------------------------------------------------
 
@@ -249,8 +258,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for name in products.PRODUCTS:
         found[f"product_{name}"] = partial(product, name)
+    if llm is not None:
+        found |= llm.queries() | {"pipeline": corpus_pipeline.run}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    found = oracles.oracle_sql()
+    if llm is not None:
+        found |= llm.oracle_sql()
+    return found
