@@ -2,9 +2,11 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from placeweave.llm import chosen_path
+from placeweave.llm import chosen_path, line_rules, packing, toxicity
 from placeweave.staging import Stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,13 +16,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), Stage(spark))
+    scored = toxicity.score(docs, model)
+    held_out = toxicity.held_out(F.col("doc_id")).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted")
+
+
+def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.clean_lines(_documents(spark, sf_dir)).drop("text", "clean_text")
+
+
+def pieces_with_places(packed: packing.Packed) -> DataFrame:
+    """The pieces with a digest of their ids; the ids themselves stay where they are."""
+    digest = F.crc32("ids").alias("ids_crc32")
+    pieces = packed.pieces.select("row", "doc_id", "piece", "start", "length", digest)
+    return pieces.join(packed.places, "row").drop("row")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pieces_with_places(packing.pack_documents(_documents(spark, sf_dir), Stage(spark), path))
+
+
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return chosen_path.near_duplicates(docs, Stage(spark), width=2, percent=80)
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_chosen_path": op10_chosen_path}
+    return {
+        "op2_toxicity": op2_toxicity,
+        "op4_line_rules": op4_line_rules,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op10_chosen_path": op10_chosen_path,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
