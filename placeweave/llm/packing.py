@@ -48,8 +48,9 @@ def pack_documents(
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             found = []
-            for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))):
-                ids = encode(text) + end
+            texts = encode.column(batch.column("text"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), texts):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]
                     found.append((doc_id, piece, start // 4, len(part) // 4, part))

@@ -3,10 +3,20 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import chosen_path, line_rules, packing, toxicity
+from placeweave.llm import (
+    arrow_files,
+    binary_codes,
+    byte_bpe,
+    chosen_path,
+    edit_counts,
+    histogram_sort,
+    line_rules,
+    packing,
+    toxicity,
+)
 from placeweave.staging import Stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +30,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = histogram_sort.shard(_documents(spark, sf_dir), Stage(spark), shards=8)
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    return sharded.select(
+        "doc_id",
+        histogram_sort.text_bytes(F.col("text")).alias("size"),
+        F.crc32(content).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), Stage(spark))
@@ -44,6 +68,68 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_with_places(packing.pack_documents(_documents(spark, sf_dir), Stage(spark), path))
 
 
+def op6_arrow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    files = arrow_files.write(_documents(spark, sf_dir), Stage(spark), path)
+    digest = F.crc32("ids").alias("ids_crc32")
+    return arrow_files.read(files).select("doc_id", "start", "n_tokens", digest)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(_documents(spark, sf_dir), ranks).select("doc_id", "ids")
+    written = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return byte_bpe.decode(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(written, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return binary_codes.near_duplicates(vectors, Stage(spark), threshold=0.93)
+
+
+def derived_edits(docs: DataFrame) -> DataFrame:
+    """`docs` with three edits each, derived from the rows: up to 40 characters are replaced by up
+    to 60 from another place of the same text."""
+    text = F.coalesce("text", F.lit(""))
+    size = F.char_length(text)
+
+    def drawn(name: str, turn: int, below: Column | int) -> Column:
+        return F.pmod(F.xxhash64("doc_id", F.lit(name), F.lit(turn)), F.lit(below)).cast("int")
+
+    edits = []
+    for turn in range(3):
+        start = drawn("start", turn, size + 1)
+        passage = F.substring(text, drawn("from", turn, size + 1) + 1, drawn("length", turn, 61))
+        edits.append(
+            F.struct(
+                start.alias("start"),
+                (start + drawn("gone", turn, 41)).alias("end"),
+                passage.alias("new"),
+            )
+        )
+    return docs.withColumn("edits", F.array(*edits))
+
+
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    counted = edit_counts.count(derived_edits(_documents(spark, sf_dir)), ranks)
+    edited = edit_counts.apply_edits(counted, ranks)
+    return edited.select(
+        "doc_id",
+        "n_tokens_before",
+        "n_tokens",
+        "n_pre_tokens",
+        "n_edits",
+        "n_encoded_chars",
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return chosen_path.near_duplicates(docs, Stage(spark), width=2, percent=80)
@@ -51,9 +137,14 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_histogram_sort": op1_histogram_sort,
         "op2_toxicity": op2_toxicity,
         "op4_line_rules": op4_line_rules,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_arrow_files": op6_arrow_files,
+        "op7_byte_bpe": op7_byte_bpe,
+        "op8_binary_codes": op8_binary_codes,
+        "op9_edit_counts": op9_edit_counts,
         "op10_chosen_path": op10_chosen_path,
     }
 

@@ -1,73 +1,104 @@
-"""Token ids of whole texts by a public word-level tokenizer, with a bounded cache of words."""
+"""Token ids of whole texts, with a bounded memory of the words a worker has met."""
 
 import os
-from itertools import filterfalse
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-# A worker remembers the ids of up to twice so many words, those it met last.
-REMEMBERED_WORDS = 300_000
+# A worker remembers up to twice so many words, those it met last.
+REMEMBERED_WORDS = 500_000
 # Longer words are encoded anew each time.
 LONGEST_WORD = 200
-_SEPARATOR = "0"
+# Texts are encoded together until they have so many characters.
+TOGETHER = 2_000_000
 
 
-class WordEncoder:
+class RememberingEncoder:
+    """Encodes texts as the results of their words in a row; results are bytes."""
+
+    def __init__(self, remembered: int = REMEMBERED_WORDS):
+        self.remembered = remembered
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def split(self, text: str) -> list[str]:
+        raise NotImplementedError
+
+    def learn(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
+        raise NotImplementedError
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self.split(text) for text in texts]
+        missing = set(chain.from_iterable(split)).difference(self.recent)
+        if len(self.recent) + len(missing) > self.remembered:
+            self.older, self.recent = self.recent, {}
+            missing = set(chain.from_iterable(split))
+        unknown = []
+        for word in missing:
+            known = self.older.get(word)
+            if known is None:
+                unknown.append(word)
+            else:
+                self.recent[word] = known
+        self.recent.update(self.learn(unknown))
+        found = [b"".join(map(self.recent.__getitem__, words)) for words in split]
+        for word in unknown:
+            if len(word) > LONGEST_WORD:
+                del self.recent[word]
+        return found
+
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        """The result of each text of an Arrow column; a null text counts as empty."""
+        together, size = [], 0
+        for text in texts:
+            together.append(text.as_py() or "")
+            size += len(together[-1])
+            if size >= TOGETHER:
+                yield from self.encode(together)
+                together, size = [], 0
+        yield from self.encode(together)
+
+
+class WordEncoder(RememberingEncoder):
     """Ids as little-endian unsigned 32-bit numbers, equal to `Tokenizer.encode` of the text.
 
     For tokenizers whose pre-tokens never reach over a space or line feed and whose normaliser
     treats the parts between them apart, so that a text's ids are those of its words in a row.
     """
 
+    # A word of its own, whose id no word without it has.
+    SEPARATOR = "0"
+
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
+        super().__init__(remembered)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered = remembered
-        self.recent: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        (self.separator,) = self._ids(_SEPARATOR)
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        words = text.replace("\n", " ").split(" ")
-        missing = set(filterfalse(self.recent.__contains__, words))
-        if missing:
-            if len(self.recent) + len(missing) > self.remembered:
-                self.older, self.recent = self.recent, {}
-                missing = set(words)
-            self._recall(missing)
-        try:
-            return b"".join(map(self.recent.__getitem__, words))
-        finally:
-            for word in missing:
-                if len(word) > LONGEST_WORD:
-                    del self.recent[word]
+        (self.separator,) = self._ids(self.SEPARATOR)
+
+    def split(self, text: str) -> list[str]:
+        return text.replace("\n", " ").split(" ")
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _recall(self, words: set[str]) -> None:
-        unknown = []
-        for word in words:
-            known = self.older.get(word)
-            if known is None:
-                unknown.append(word)
-            else:
-                self.recent[word] = known
-        # One call for many words: a separator whose id no other word can have stands between.
-        plain = [w for w in unknown if w and _SEPARATOR not in w and "<|" not in w]
-        joined = np.array(self._ids(f" {_SEPARATOR} ".join(plain)), "<u4")
+    def learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """One call of the library for many words, set apart by the separator's id."""
+        plain = [w for w in words if w and self.SEPARATOR not in w and "<|" not in w]
+        joined = np.array(self._ids(f" {self.SEPARATOR} ".join(plain)), "<u4")
         cuts = np.flatnonzero(joined == self.separator)
+        alone = set(words)
         if plain and len(cuts) == len(plain) - 1:
-            starts, ends = np.append(0, cuts + 1) * 4, np.append(cuts, len(joined)) * 4
             data = joined.tobytes()
-            for word, start, end in zip(plain, starts.tolist(), ends.tolist()):
-                self.recent[word] = data[start:end]
-        for word in unknown:
-            if word not in self.recent:
-                self.recent[word] = np.array(self._ids(word), "<u4").tobytes()
+            starts = (np.append(0, cuts + 1) * 4).tolist()
+            ends = (np.append(cuts, len(joined)) * 4).tolist()
+            alone.difference_update(plain)
+            for word, start, end in zip(plain, starts, ends):
+                yield word, data[start:end]
+        for word in alone:
+            yield word, np.array(self._ids(word), "<u4").tobytes()
 
 
 _encoders: dict[str, WordEncoder] = {}
