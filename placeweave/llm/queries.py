@@ -15,6 +15,7 @@ from placeweave.llm import (
     histogram_sort,
     line_rules,
     packing,
+    quotations,
     toxicity,
 )
 from placeweave.staging import Stage
@@ -52,6 +53,39 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", "predicted")
 
 
+def mails(conversations: DataFrame) -> DataFrame:
+    """Messages that quote: each turn answers the one before it, or every third the one before
+    that, and quotes it, with what that one itself quoted two levels deep."""
+    turns = conversations.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    back = F.when((F.col("turn") % 3 == 2), 2).otherwise(1)
+
+    answers = turns.select("conv_id", "turn", (F.col("turn") - back).alias("parent"))
+    first = turns.select(
+        "conv_id",
+        F.col("turn").alias("parent"),
+        (F.col("turn") - back).alias("grandparent"),
+        F.regexp_replace("text", "(?m)^", "> ").alias("quoted_1"),
+    )
+    second = turns.select(
+        "conv_id",
+        F.col("turn").alias("grandparent"),
+        F.regexp_replace("text", "(?m)^", "> > ").alias("quoted_2"),
+    )
+    quotes = answers.join(first, ["conv_id", "parent"]).join(
+        second, ["conv_id", "grandparent"], "left"
+    )
+    quotes = quotes.select("conv_id", "turn", F.concat_ws("\n", "quoted_2", "quoted_1").alias("quotes"))
+    body = F.concat_ws("\n", "quotes", "text").alias("text")
+    return conversations.join(quotes, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", "role", body
+    )
+
+
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = mails(_table(spark, sf_dir, "conversations"))
+    return quotations.link_quotations(messages, Stage(spark))
+
+
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(_documents(spark, sf_dir)).drop("text", "clean_text")
 
@@ -139,6 +173,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_histogram_sort": op1_histogram_sort,
         "op2_toxicity": op2_toxicity,
+        "op3_quotation_linking": op3_quotation_linking,
         "op4_line_rules": op4_line_rules,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_arrow_files": op6_arrow_files,
