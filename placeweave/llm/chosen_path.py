@@ -8,6 +8,8 @@ branch on; what is still large at the last level is compared in tiles. Independe
 repeated to the target recall. Every candidate is confirmed on the full sets of both whole texts.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,9 +27,13 @@ LEVELS = 3
 # Nodes of up to so many sets are compared, larger ones branch while levels are left.
 SMALL_NODE = 128
 # Bins of a sketch, and how far below the threshold the similarity of two sketches may lie: the
-# standard error at 0.8 is 0.035, so that one link in 100,000 is lost to the sketches.
-BINS = 128
-MARGIN = 0.15
+# standard error at 0.8 is 0.02 or less, so that one link in 30,000 is lost to the sketches.
+BINS = 256
+MARGIN = 0.08
+# Rounds that confirm for each set only the most similar other one, before all the rest.
+NEAREST_ROUNDS = 2
+# Pairs whose sketches are compared at a time.
+BLOCK = 20_000
 
 _COORDINATES = TREES * LEVELS * 2
 _SEEDS = seeds(_COORDINATES, 3)
@@ -104,14 +110,15 @@ def near_duplicates(
     texts = texts.filter(F.col("text").isNotNull())
 
     roots = stage.keep(_branches_of_roots(sets), "roots")
-    sure = _confirmed(_stars(roots, sets, percent), texts, width, percent)
-    sure = stage.keep(sure, "sure")
-    joined = connected(sure, stage)
-    rest = _confirmed(_candidates(roots, sets, joined, stage, percent), texts, width, percent)
-    rest = stage.keep(rest, "rest")
-    found = connected(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest), stage)
-
-    by_class = found.groupBy("id").agg(F.min("component").alias("component"))
+    links = stage.keep(_confirmed(_stars(roots, sets, percent), texts, width, percent), "links")
+    joined = connected(links, stage)
+    meetings = _meetings(roots, sets, joined, stage)
+    for turn in range(NEAREST_ROUNDS + 1):
+        near = _compared(meetings, sets, joined, stage, percent, nearest=turn < NEAREST_ROUNDS)
+        links = stage.keep(_confirmed(near, texts, width, percent), "links")
+        joined = connected(_edges(joined).union(links), stage)
+
+    by_class = _labels(joined)
     labelled = members.join(by_class, members["rep"] == by_class["id"], "left")
     label = F.coalesce("component", "rep")
     labels = labelled.groupBy("doc_id").agg(F.min(label).alias("component_id"))
@@ -179,62 +186,98 @@ def _stars(roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.groupBy("a").agg(F.min("b").alias("b"))
 
 
-def _candidates(
-    roots: DataFrame, sets: DataFrame, joined: DataFrame, stage: Stage, percent: int
-) -> DataFrame:
-    """Distinct pairs of sets with similar sketches that meet in a node and are not yet joined."""
+def _labels(joined: DataFrame) -> DataFrame:
+    return joined.groupBy("id").agg(F.min("component").alias("component"))
+
+
+def _edges(joined: DataFrame) -> DataFrame:
+    return joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
+def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of nodes whose sets are not all joined yet, with `component` and the node's size."""
+    known = rows.join(_labels(joined), "id", "left")
+    known = known.withColumn("component", F.coalesce("component", "id"))
+    nodes = known.groupBy("node").agg(
+        F.count(F.lit(1)).alias(tiles.SIZE),
+        F.min("component").alias("_low"),
+        F.max("component").alias("_high"),
+    )
+    return known.join(nodes.filter("_low <> _high").drop("_low", "_high"), "node")
+
+
+def _meetings(roots: DataFrame, sets: DataFrame, joined: DataFrame, stage: Stage) -> DataFrame:
+    """(node, id, n) of the nodes whose sets are compared: small ones, and all of the last level."""
     rows, found = roots, []
-    known = joined.groupBy("id").agg(F.min("component").alias("component"))
     for level in range(1, LEVELS + 1):
-        part = rows.join(known, "id", "left").withColumn(
-            "component", F.coalesce("component", "id")
-        )
-        part = stage.keep(part, "nodes")
-        sizes = part.groupBy("node").agg(
-            F.count(F.lit(1)).alias(tiles.SIZE),
-            F.min("component").alias("_low"),
-            F.max("component").alias("_high"),
-        )
-        sizes = sizes.filter("_low <> _high").drop("_low", "_high")
-        part = part.join(sizes, "node")
+        part = stage.keep(_mixed(rows, joined).drop("component"), "nodes")
         small = F.col(tiles.SIZE) <= SMALL_NODE
-        compared = part if level == LEVELS else part.filter(small)
-        found.append(_compared(compared, sets, percent))
+        met = part if level == LEVELS else part.filter(small)
+        found.append(met.select("node", "id", "n"))
         if level < LEVELS:
-            rows = _branch(part.filter(~small).select("node", "tree", "id", "n"), sets, level)
-            rows = stage.keep(rows, "branches")
-    return _union(found).distinct()
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    first, *rest = frames
+            rows = stage.keep(_branch(part.filter(~small), sets, level), "branches")
+    first, *rest = found
     for frame in rest:
         first = first.union(frame)
     return first
 
 
-def _compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _compared(
+    meetings: DataFrame,
+    sets: DataFrame,
+    joined: DataFrame,
+    stage: Stage,
+    percent: int,
+    nearest: bool,
+) -> DataFrame:
+    """Pairs (a, b) of sets with similar sketches that meet in a node and are not joined yet; with
+    `nearest`, for each set only the most similar one."""
+    rows = stage.keep(_mixed(meetings, joined), "mixed")
     sketched = rows.join(sets.select("id", "sketch"), "id")
     dealt = tiles.tiled(sketched, F.col("node"), F.col("id"), SMALL_NODE)
+    columns = [tiles.KEY, tiles.SIDE, tiles.DIAGONAL, "id", "n", "component", "sketch"]
+    dealt = tiles.by_tile(dealt.select(columns))
+    compare = _comparer(percent, nearest)
+    found = dealt.mapInArrow(compare, "a long, b long, score double")
+    if not nearest:
+        return found.select("a", "b").distinct()
+    best = found.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best"))
+    a, b = F.col("a"), F.col("best.b")
+    return best.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+
+def _comparer(percent: int, nearest: bool):
     least = percent / 100 - MARGIN
 
-    def compare(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tiles.whole_tiles(batches):
-            ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-            component = table.column("component").to_numpy()
+            ids, n, component = (table.column(c).to_numpy() for c in ("id", "n", "component"))
             sketches = _sketches(table.column("sketch"))
-            for i, j in tiles.pairs(table):
+            best, partner = np.zeros(len(ids)), np.full(len(ids), -1)
+            for i, j in tiles.pairs(table, BLOCK):
                 fit = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
                 fit &= component[i] != component[j]
                 i, j = i[fit], j[fit]
-                near = sketch_similarity(sketches[i], sketches[j]) >= least
-                a, b = ids[i[near]], ids[j[near]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"]
-                )
-
-    columns = [tiles.KEY, tiles.SIDE, tiles.DIAGONAL, "id", "n", "component", "sketch"]
-    return tiles.by_tile(dealt.select(columns)).mapInArrow(compare, "a long, b long")
+                score = sketch_similarity(sketches[i], sketches[j])
+                near = score >= least
+                i, j, score = i[near], j[near], score[near]
+                if not nearest:
+                    yield _scored(np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j]), score)
+                    continue
+                order = np.argsort(score, kind="stable")
+                for x, y in ((i[order], j[order]), (j[order], i[order])):
+                    better = score[order] > best[x]
+                    best[x[better]], partner[x[better]] = score[order][better], y[better]
+            has = np.flatnonzero(partner >= 0)
+            yield _scored(ids[has], ids[partner[has]], best[has])
+
+    return run
+
+
+def _scored(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a), pa.array(b), pa.array(score)], ["a", "b", "score"]
+    )
 
 
 # -- confirmation -------------------------------------------------------------------------
