@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import partial
 
@@ -75,8 +76,8 @@ def bindings_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- graph --------------------------------------------------------------------------------
 
 
-def product(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products.fetch(name, fixtures.quads(spark, sf_dir), Stage(spark))
+def product(name: str, spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return products.fetch(name, fixtures.quads(spark, sf_dir), Stage(spark), **options)
 
 
 # -- relational ---------------------------------------------------------------------------
@@ -99,9 +100,83 @@ def collapse_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.collapse_by_id(merged, [relational.SOURCE, relational.ROW])
 
 
+def collapse_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = merged_places(spark, sf_dir)
+    order = [relational.SOURCE, relational.ROW]
+    return relational.collapse_by_id(merged, order, {"locationName": F.max("locationName")})
+
+
+def merge_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two CSV sources of several files, merged, collapsed and written as CSV again.
+
+    The second source lists its places twice, the second time with other names.
+    """
+    one = fixtures.places_with_position(spark, sf_dir).drop("e", "v")
+    two = fixtures.places2_with_position(spark, sf_dir)
+    again = two.withColumns(
+        {
+            "n": F.col("n") + fixtures.AGAIN,
+            "locationName": F.concat(F.lit("late "), "locationName"),
+            "thoroughfare": F.lit("late"),
+        }
+    )
+    stage = Stage(spark)
+    sources = []
+    for rows in (one, two.unionByName(again)):
+        path = stage.path("csv")
+        files = rows.repartitionByRange(3, "n").sortWithinPartitions("n")
+        tables.write_csv(files.drop("n"), path)
+        sources.append(tables.read_csv(spark, path))
+    merged = relational.merge_by_name(sources)
+    collapsed = relational.collapse_by_id(merged, [relational.SOURCE, relational.ROW])
+    return _through_csv(spark, collapsed)
+
+
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = merged_places(spark, sf_dir)
-    return relational.stage_counts(merged, fixtures.MAPPING, fixtures.QUARANTINE)
+    return relational.stage_counts(merged, fixtures.MAPPING, fixtures.QUARANTINE, Stage(spark))
+
+
+def stage_counts_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with mapping and quarantine as long tables."""
+    stage = Stage(spark)
+    return relational.stage_counts(
+        merged_places(spark, sf_dir), mapping_file(stage), pattern_file(stage), stage, "literal"
+    )
+
+
+def mapping_file(stage: Stage) -> DataFrame:
+    """The mapping, with many keys that no place has, read from a JSON file."""
+    path = stage.path("mapping")
+    _write_text(stage, path, [json.dumps(fixtures.LONG_MAPPING, indent=1)])
+    return tables.read_mapping(stage.spark, path)
+
+
+def pattern_file(stage: Stage) -> DataFrame:
+    """The quarantined texts, with many that no id has, read from a text file."""
+    path = stage.path("patterns")
+    _write_text(stage, path, fixtures.LONG_QUARANTINE_TEXT)
+    return tables.read_patterns(stage.spark, path)
+
+
+def _write_text(stage: Stage, path: str, lines: list[str]) -> None:
+    rows = stage.spark.createDataFrame([(line,) for line in lines], "value string")
+    rows.coalesce(1).write.text(path)
+
+
+def filter_type_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = mapping_file(Stage(spark))
+    return relational.filter_type(fixtures.places(spark, sf_dir), mapping)
+
+
+def map_type_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = mapping_file(Stage(spark))
+    return relational.map_type(fixtures.places(spark, sf_dir), mapping)
+
+
+def remove_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = pattern_file(Stage(spark))
+    return relational.remove_quarantined(fixtures.places(spark, sf_dir), patterns, "literal")
 
 
 def filter_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,14 +193,14 @@ def remove(mode: str, lines: list[str], spark: SparkSession, sf_dir: str) -> Dat
 
 def relative_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = dedup.comparison_keys(ready_places(spark, sf_dir))
-    return dedup.relative_frequency(keys, list(dedup.SAME_NAME.keys))
+    return dedup.relative_frequency(keys, list(dedup.SAME_NAME.keys), Stage(spark))
 
 
 # -- text ---------------------------------------------------------------------------------
 
 
-def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = clean_name(F.col("locationName")).alias("locationName")
+def clean_names(null_text: str | None, spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = clean_name(F.col("locationName"), null_text).alias("locationName")
     return fixtures.places(spark, sf_dir).select("subject", name)
 
 
@@ -139,12 +214,12 @@ def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each place's name against the name of the fifth place of its group of eight."""
+    """Each place's name against that of the fifth of its group of eight; null without a name."""
     name = clean_name(F.col("locationName"))
     rows = fixtures.places_with_position(spark, sf_dir).select("subject", "e", "v", name.alias("x"))
     fifth = rows.filter("v = 4").select("e", F.col("x").alias("y"))
     score = token_sort_ratio(F.col("x"), F.col("y")).alias("score")
-    return rows.join(fifth, "e").dropna(subset=["x", "y"]).select("subject", score)
+    return rows.join(fifth, "e").select("subject", score)
 
 
 # -- deduplication ------------------------------------------------------------------------
@@ -156,10 +231,10 @@ def ready_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def passes(count: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+def passes(count: int, null_keys_match: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark)
     keys = stage.keep(dedup.comparison_keys(ready_places(spark, sf_dir)), "keys")
-    matched = dedup.match_tiers(keys, stage, dedup.TIERS[:count])
+    matched = dedup.match_tiers(keys, stage, dedup.TIERS[:count], null_keys_match)
     return matched.select("subject", *VERDICT_COLUMNS)
 
 
@@ -240,14 +315,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "remove_quarantined": partial(remove, "regex", fixtures.QUARANTINE),
         "remove_literal": partial(remove, "literal", fixtures.QUARANTINE_TEXT),
         "remove_exact": partial(remove, "exact", fixtures.QUARANTINE_IDS),
-        "clean_names": clean_names,
+        "collapse_overrides": collapse_overrides,
+        "merge_csv": merge_csv,
+        "stage_counts_tables": stage_counts_tables,
+        "filter_type_file": filter_type_file,
+        "map_type_file": map_type_file,
+        "remove_file": remove_file,
+        "clean_names": partial(clean_names, None),
+        "clean_names_null_text": partial(clean_names, "nan"),
         "fix_postcodes": fix_postcodes,
         "title_keys": title_keys,
         "token_sort_ratio": score_names,
         "relative_frequency": relative_frequency,
-        "dedup_exact": partial(passes, 1),
-        "dedup_name_pass": partial(passes, 2),
-        "dedup_address_pass": partial(passes, 3),
+        "dedup_exact": partial(passes, 1, True),
+        "dedup_name_pass": partial(passes, 2, True),
+        "dedup_address_pass": partial(passes, 3, True),
+        "dedup_null_keys_apart": partial(passes, 3, False),
         "fuzzy_pairs": fuzzy_pairs,
         "fuzzy_promote": fuzzy_promote,
         "dedup_final": dedup_final,
@@ -258,6 +341,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for name in products.PRODUCTS:
         found[f"product_{name}"] = partial(product, name)
+    found["product_erfgoed_union"] = partial(product, "erfgoed", union=True)
     if llm is not None:
         found |= llm.queries() | {"pipeline": corpus_pipeline.run}
     return found

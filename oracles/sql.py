@@ -1,7 +1,7 @@
 """Checking SQL per query, written independently of the DataFrame jobs, for DuckDB."""
 
 from placeweave import vocabulary as V
-from placeweave.fixtures import MAPPING, QUARANTINE, QUARANTINE_IDS, QUARANTINE_TEXT
+from placeweave.fixtures import AGAIN, MAPPING, QUARANTINE, QUARANTINE_IDS, QUARANTINE_TEXT
 from placeweave.fixtures import places_cte, quads_cte
 from placeweave.schema import PLACE_COLUMNS, RECORD_COLUMNS
 from placeweave.vocabulary import NULL_TOKENS
@@ -55,8 +55,7 @@ c5 AS (SELECT * REPLACE (regexp_replace(x, '{SPACES}+', ' ', 'g') AS x) FROM c4)
   CASE WHEN (x LIKE '''%' AND x LIKE '%''') OR (x LIKE '"%' AND x LIKE '%"')
        THEN substr(x, 2, greatest(length(x) - 2, 0)) ELSE x END AS locationName,
   CASE WHEN regexp_matches(postCode, '^\\s*[+-]?\\d*\\.0$')
-       THEN coalesce(CAST(CAST(TRY_CAST(postCode AS DECIMAL(38,1)) AS DECIMAL(38,0)) AS VARCHAR),
-                     postCode)
+       THEN regexp_replace(regexp_replace(trim(postCode), '\\.0$', ''), '^\\+?(-?)0*(\\d)', '\\1\\2')
        ELSE postCode END AS postCode
   FROM c5)"""
 
@@ -80,6 +79,21 @@ titled AS (SELECT * REPLACE ({title('locationName')} AS locationName,
              locationName AS plainName FROM ready)"""
 
 
+def complete(keys: str) -> str:
+    return " AND ".join(f"{k} IS NOT NULL" for k in keys.split(", "))
+
+
+# The passes where a row that lacks a key matches nothing.
+APART_CTE = f"""
+p1 AS (SELECT *, CASE WHEN {complete(KEYS)} THEN count(*) OVER (PARTITION BY {KEYS}) ELSE 1 END
+         AS n1, min(subject) OVER (PARTITION BY {KEYS}) AS r1 FROM titled),
+p2 AS (SELECT *, CASE WHEN {complete(NAME_KEYS)}
+         THEN count(*) OVER (PARTITION BY n1 > 1, {NAME_KEYS}) ELSE 1 END AS n2,
+         min(subject) OVER (PARTITION BY n1 > 1, {NAME_KEYS}) AS r2 FROM p1),
+p3 AS (SELECT *, CASE WHEN {complete(ADDRESS_KEYS)}
+         THEN count(*) OVER (PARTITION BY n1 > 1 OR n2 > 1, {ADDRESS_KEYS}) ELSE 1 END AS n3,
+         min(subject) OVER (PARTITION BY n1 > 1 OR n2 > 1, {ADDRESS_KEYS}) AS r3 FROM p2)"""
+
 PASSES_CTE = f"""
 p1 AS (SELECT *, count(*) OVER (PARTITION BY {KEYS}) AS n1,
          min(subject) OVER (PARTITION BY {KEYS}) AS r1 FROM titled),
@@ -162,8 +176,18 @@ merged AS (
   SELECT * EXCLUDE (n), 1000000000000 + n AS ord FROM places2)"""
 
 
-def collapsed_cte(source: str) -> str:
+# The second source lists its places again, further down and in other words.
+FILES_CTE = f"""
+files AS (
+  SELECT {PLACE_LIST}, ord FROM merged
+  UNION ALL BY NAME
+  SELECT * EXCLUDE (n) REPLACE ('late ' || locationName AS locationName, 'late' AS thoroughfare),
+    1000000000000 + {AGAIN} + n AS ord FROM places2)"""
+
+
+def collapsed_cte(source: str, largest: tuple[str, ...] = ()) -> str:
     firsts = ", ".join(
+        f"max({c}) AS {c}" if c in largest else
         f"arg_min({c}, ord) FILTER (WHERE {c} IS NOT NULL) AS {c}"
         for c in PLACE_COLUMNS if c != "subject"
     )
@@ -183,9 +207,10 @@ def pattern(triples, columns: dict[str, str], graph: str = "default", extra: str
     bound: dict[str, str] = {}
     tests, tables = [], []
     for i, (s, p, o) in enumerate(triples):
-        tables.append(f"quads t{i}")
+        tables.append(f"triples t{i}" if graph == "union" else f"quads t{i}")
         tests.append(f"t{i}.p = {quoted(p)}")
-        tests.append(f"t{i}.g IS NULL" if graph == "default" else f"t{i}.g = t0.s")
+        if graph != "union":
+            tests.append(f"t{i}.g IS NULL" if graph == "default" else f"t{i}.g = t0.s")
         for term, column in ((s, f"t{i}.s"), (o, f"t{i}.o")):
             if not term.startswith("?"):
                 tests.append(f"{column} = {quoted(term)}")
@@ -313,7 +338,7 @@ def oracle_sql() -> dict[str, str]:
       FROM titled GROUP BY {NAME_KEYS}"""
     scored = f"""s AS (SELECT a.subject, {SORTED % 'a.locationName'} AS x,
         {SORTED % 'b.locationName'} AS y FROM cleaned_all a JOIN cleaned_all b
-        ON b.subject = a.other WHERE a.locationName IS NOT NULL AND b.locationName IS NOT NULL)"""
+        ON b.subject = a.other)"""
     with_other = f"""cleaned_all AS (SELECT c.*, 'https://places.example/id/' ||
         lpad(CAST(p.n - p.v + 4 AS VARCHAR), 8, '0') AS other
         FROM cleaned c JOIN places p USING (subject))"""
@@ -370,7 +395,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT subject, postCode FROM cleaned", places_cte(), cleaned_cte("places")),
         "title_keys": query(f"SELECT subject, {KEYS} FROM titled", *READY),
         "token_sort_ratio": query(
-            f"""SELECT subject, CASE WHEN length(x) + length(y) = 0 THEN CAST(100 AS DOUBLE) ELSE
+            f"""SELECT subject, CASE WHEN x IS NULL OR y IS NULL THEN NULL
+            WHEN length(x) + length(y) = 0 THEN CAST(100 AS DOUBLE) ELSE
             CAST(200 * ({lcs('x', 'y')}) AS DOUBLE) / (length(x) + length(y)) END AS score FROM s""",
             places_cte(), cleaned_cte("places"), with_other, scored),
         "relative_frequency": query(frequency, *READY),
@@ -395,4 +421,31 @@ def oracle_sql() -> dict[str, str]:
     }
     for product, sql in PRODUCTS.items():
         found[f"product_{product}"] = query(sql, quads_cte())
+    erfgoed = pattern(
+        [*IDENTIFIED, ("?node", NAAM, "?name"), ("?node", TYPE, "?type"),
+         ("?node", V.INFRA + "Infrastructuur.locatie", "?a"), *address(SITE_NUMBER)],
+        record(**BASICS, **STREET, **NUMBER), "union",
+    )
+    triples = "triples AS MATERIALIZED (SELECT DISTINCT s, p, o FROM quads)"
+    found["product_erfgoed_union"] = query(erfgoed, quads_cte(), triples)
+    found |= {
+        "collapse_overrides": query(
+            f"SELECT {PLACE_LIST} FROM collapsed", places_cte(), MERGED_CTE,
+            collapsed_cte("merged", ("locationName",))),
+        "merge_csv": query(
+            f"SELECT {PLACE_LIST} FROM collapsed", places_cte(), MERGED_CTE, FILES_CTE,
+            collapsed_cte("files")),
+        "stage_counts_tables": found["stage_counts"].replace(
+            "regexp_matches(subject, pat)", "contains(subject, pat)").replace(
+            patterns_cte(QUARANTINE), patterns_cte(QUARANTINE_TEXT)),
+        "filter_type_file": found["filter_type"],
+        "map_type_file": found["map_type"],
+        "remove_file": found["remove_literal"],
+        "clean_names_null_text": query(
+            "SELECT subject, locationName FROM cleaned", places_cte(),
+            "named AS (SELECT * REPLACE (coalesce(locationName, 'nan') AS locationName) FROM places)",
+            cleaned_cte("named")),
+        "dedup_null_keys_apart": query(
+            f"SELECT {VERDICT} FROM v", *READY, APART_CTE, f"v AS ({verdict_select(3)})"),
+    }
     return found

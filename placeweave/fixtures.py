@@ -89,6 +89,13 @@ QUARANTINE = [
 QUARANTINE_TEXT = ["id/00000016", "00000045", "  ", "places.example.id/"]
 QUARANTINE_IDS = [f"https://places.example/id/{i:08d}" for i in (3, 16, 45, 190)]
 
+# Longer lists than plans hold as literals; nothing in the places meets what is added.
+LONG_MAPPING = {**{f"https://taxonomy.example/none/{i}": "none" for i in range(1_200)}, **MAPPING}
+LONG_QUARANTINE_TEXT = [*QUARANTINE_TEXT, *(f"nowhere/{i}" for i in range(1_200))]
+
+# Added to the position of a place that a CSV source lists again.
+AGAIN = 1_000_000_000
+
 _ADDRESS, _ID, _GEO, _NODE = (f"subject || '/{x}'" for x in ("address", "id", "geo", "node"))
 _GML = "'<gml:Point>' || CAST(n AS VARCHAR(8)) || '</gml:Point>'"
 _BRON = "'https://sources.example/' || CAST(n % 6 AS VARCHAR(8))"
@@ -182,7 +189,7 @@ def quads_cte() -> str:
         f"FROM places WHERE {when} AND {o} IS NOT NULL"
         for when, g, s, p, o in QUAD_RULES
     ]
-    return places_cte() + ",\nquads AS (\n" + "\nUNION ALL ".join(rows) + ")"
+    return places_cte() + ",\nquads AS MATERIALIZED (\n" + "\nUNION ALL ".join(rows) + ")"
 
 
 # -- tables for Spark ---------------------------------------------------------------------

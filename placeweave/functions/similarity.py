@@ -96,51 +96,61 @@ def may_be_similar(a: Column, b: Column, min_score: int) -> Column:
     )
 
 
-def is_similar(a: Column, b: Column, min_score: int) -> Column:
-    """Whether the strings of two profiles for which `may_be_similar` holds score `min_score`.
+def is_surely_similar(a: Column, b: Column, min_score: int) -> Column:
+    """Whether the edit distance alone says that two profiles' strings score `min_score`.
 
-    An edit is at most two insertions and deletions. That settles most pairs, and the common
-    subsequence is worked out only for the others.
+    An edit is at most two insertions and deletions. That settles most pairs that may be similar.
     """
-    total = a["length"] + b["length"]
-    sure = 200 * F.levenshtein(a["text"], b["text"]) <= (100 - min_score) * total
-    common = lcs_length(F.when(~sure, a["text"]), F.when(~sure, b["text"]))
-    return sure | (200 * common >= min_score * total)
+    room = (100 - min_score) * (a["length"] + b["length"])
+    return 200 * F.levenshtein(a["text"], b["text"]) <= room
 
 
-def _pieces(length: Column, min_score: int) -> Column:
-    """One more than the edits a string of this length allows, against any partner."""
-    return F.floor(2 * (100 - min_score) * length / min_score).cast("int") + 1
+def is_similar(a: Column, b: Column, min_score: int) -> Column:
+    """Whether the strings of two profiles score `min_score`, by their common subsequence."""
+    common = lcs_length(a["text"], b["text"])
+    return 200 * common >= min_score * (a["length"] + b["length"])
 
 
-def _piece_size(length: Column, min_score: int) -> Column:
-    return F.floor(length / _pieces(length, min_score)).cast("int")
+# Characters in a gram. An insertion or deletion destroys at most so many grams of a string.
+GRAM = 3
 
 
-def index_signatures(text: Column, min_score: int) -> Column:
-    """Disjoint pieces of a token-sorted string, one more than the edits it allows.
+def numbered_grams(text: Column) -> Column:
+    """The substrings of GRAM characters, each with its number among the equal ones so far."""
+    starts = F.sequence(F.lit(1), F.char_length(text) - GRAM + 1)
+    plain = F.when(
+        F.char_length(text) >= GRAM, F.transform(starts, lambda at: F.substring(text, at, GRAM))
+    ).otherwise(F.array())
 
-    An edit damages one piece at most, so every similar string holds some piece unchanged.
-    """
-    length = F.char_length(text)
-    size = _piece_size(length, min_score)
-    starts = F.sequence(F.lit(0), _pieces(length, min_score) - 1)
-    return F.array_distinct(
-        F.transform(starts, lambda i: F.substring(text, (i * size + 1).cast("int"), size))
-    )
+    def numbered(gram: Column, at: Column) -> Column:
+        so_far = F.filter(F.slice(plain, 1, at + 1), lambda other: other == gram)
+        return F.concat(gram, F.size(so_far).cast("string"))
 
+    return F.transform(plain, numbered)
 
-def probe_signatures(text: Column, min_score: int) -> Column:
-    """All substrings of a token-sorted string that could be a piece of a similar string."""
+
+def signatures(text: Column, rarest: Column, min_score: int, is_match: bool) -> Column:
+    """Keys of a token-sorted string, of which it shares one with each similar string.
+
+    `rarest` has its numbered grams in an order that all strings follow. A pair of lengths allows
+    so many insertions and deletions d; similar strings differ in 3d grams at most, so that the
+    first gram they share is one of the first 3d + 1 of both. Where a string may have no more
+    grams than that, the pair of lengths itself is the key.
+    """
     length = F.char_length(text)
     shortest = F.ceil(min_score * length / (200 - min_score)).cast("int")
     longest = F.floor((200 - min_score) * length / min_score).cast("int")
-    sizes = F.array_distinct(
-        F.transform(F.sequence(shortest, longest), lambda n: _piece_size(n, min_score))
-    )
-
-    def of_size(size: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(length - size + 1, F.lit(1)))
-        return F.transform(starts, lambda at: F.substring(text, at, size))
 
-    return F.array_distinct(F.flatten(F.transform(sizes, of_size)))
+    def keys(other: Column) -> Column:
+        apart = F.abs(length - other)
+        most = F.floor((100 - min_score) * (length + other) / 100).cast("int")
+        # Insertions and deletions are as odd or even in number as the lengths are apart.
+        edits = most - F.pmod(most - apart, F.lit(2))
+        pair = F.concat_ws(":", *((length, other) if is_match else (other, length)))
+        first = F.slice(rarest, F.lit(1), GRAM * edits + 1)
+        by_gram = F.transform(first, lambda gram: F.concat(pair, F.lit(":"), gram))
+        few = F.least(length, other) - GRAM + 1 <= GRAM * edits
+        found = F.when(few, F.array(pair)).otherwise(by_gram)
+        return F.when(edits >= apart, found).otherwise(F.array())
+
+    return F.flatten(F.transform(F.sequence(shortest, longest), keys))

@@ -40,10 +40,10 @@ def clean_name(name: Column, null_name_text: str | None = None) -> Column:
 
 
 def drop_decimal_zero(text: Column) -> Column:
-    """`9000.0` -> `9000`; anything that is not a whole number with `.0` stays."""
-    whole = strip(text).try_cast("decimal(38,1)").cast("decimal(38,0)").cast("string")
+    """`9000.0` -> `9000`, of any length; what is not a whole number with `.0` stays."""
     shaped = text.rlike(r"\A\s*[+-]?\d*\.0\z")
-    return F.when(shaped, F.coalesce(whole, text)).otherwise(text)
+    whole = F.regexp_replace(text, r"\A\s*\+?(-?)0*(\d*)\.0\z", "$1$2")
+    return F.when(shaped, F.when(whole.isin("", "-"), "0").otherwise(whole)).otherwise(text)
 
 
 def title_case(text: Column) -> Column:

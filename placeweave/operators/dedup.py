@@ -76,7 +76,7 @@ def match_tier(
         largest=F.max("n"),
     )
     shared = groups.filter("n > 1")
-    hot = hot_from_counts(shared, keys, "n", hot_rows) if seen["largest"] >= hot_rows else []
+    hot = hot_from_counts(shared, keys, "n", hot_rows) if seen["largest"] >= hot_rows else {}
     representative = shared.select(*keys, F.col("first.subject").alias("duplicate_subject"))
     members = salted_join(rows, representative, keys, hot, null_safe=True)
     rest = groups.filter("n = 1").select("first.*", *keys)
@@ -148,8 +148,8 @@ def certainty_histogram(rows: DataFrame) -> DataFrame:
     return counts.orderBy("certainty_ratio")
 
 
-def relative_frequency(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of the rows that each key combination holds."""
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+def relative_frequency(rows: DataFrame, keys: list[str], stage: Stage) -> DataFrame:
+    """Share of the rows that each key combination holds. `rows` is worked out once."""
+    counts = stage.keep(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "counts")
+    total = counts.agg(F.sum("n")).scalar()
     return counts.select(*keys, (F.col("n") / total).alias("share"))

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions.similarity import (
-    index_signatures,
     is_similar,
+    is_surely_similar,
     may_be_similar,
-    probe_signatures,
+    numbered_grams,
     profile,
+    signatures,
     sort_tokens,
 )
 from placeweave.operators.dedup import SAME_ADDRESS
-from placeweave.operators.skew import HOT_ROWS, hot_from_rows, salted_join
+from placeweave.operators.skew import HOT_ROWS, hot_from_counts, hot_from_rows, salted_join
 from placeweave.staging import Stage
 
 # The lowest score that counts as the same name, and the certainty it gives.
@@ -33,8 +34,9 @@ def names_in_tier(verdicts: DataFrame) -> DataFrame:
     """
     row = F.struct("subject", "thoroughfare", "postCode")
     in_tier = F.col("certainty_ratio") == SAME_ADDRESS.certainty
+    wanted = verdicts.filter(in_tier).select("locationName").distinct()
     firsts = (
-        verdicts.filter(F.col("locationName").isNotNull())
+        verdicts.join(wanted, "locationName", "left_semi")
         .groupBy("locationName")
         .agg(F.min(row).alias("overall"), F.min(F.when(in_tier, row)).alias("tier"))
         .filter(F.col("tier").isNotNull())
@@ -57,60 +59,92 @@ def _at_address(names: DataFrame, role: str, columns: list[str]) -> DataFrame:
     )
 
 
-def similar_pairs(
-    names: DataFrame,
-    stage: Stage,
-    min_score: int = MIN_SCORE,
-    quiet_address: int = QUIET_ADDRESS,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Pairs (match, original) at one address that score `min_score`; a pair may come twice.
+_ADDRESS = ["street", "postcode"]
 
-    Both names must be at the same street and postcode, so that is the join key. At a busy
-    address a lossless signature of the name is added to the key: the pieces of the original,
-    of which every similar name contains at least one, against the substrings of the match.
+
+def keyed_names(
+    names: DataFrame, stage: Stage, min_score: int, quiet_address: int, hot_rows: int
+) -> tuple[DataFrame, DataFrame, int]:
+    """Matches and originals with the `signature` on which similar names at an address meet, and
+    at least the number of names at the busiest address.
+
+    Where an address has few names they all meet, on an empty signature. Elsewhere a name has the
+    rarest grams at its address as signatures, so that words that many names share are no key.
     """
-    address = ["street", "postcode"]
-    matches = _at_address(names, "match", ["name", "sorted"]).dropna(subset=address)
+    matches = _at_address(names, "match", ["name", "sorted"]).dropna(subset=_ADDRESS)
     originals = _at_address(names, "original", ["name", "sorted", "rank", "first_subject"])
-    originals = originals.dropna(subset=address)
-    counts = originals.groupBy(*address).agg(F.count(F.lit(1)).alias("n"))
+    originals = originals.dropna(subset=_ADDRESS)
+    counts = originals.groupBy(*_ADDRESS).agg(F.count(F.lit(1)).alias("n"))
     busy, seen = stage.keep_measured(
         counts.filter(F.col("n") > quiet_address),
         "busy-addresses",
         largest=F.max("n"),
     )
-
-    text = F.col("sorted")
-
-    def keyed(rows: DataFrame, signatures: Column) -> DataFrame:
-        if not seen["largest"]:
-            plain = profile(text, F.lit(False)).alias("profile")
-            return rows.select("*", plain, F.lit("").alias("signature"))
-        hot = hot_from_rows(rows, address, hot_rows)
-        sized = salted_join(rows, busy, address, hot, how="left")
+    text, roles = F.col("sorted"), {}
+    if not seen["largest"]:
+        quiet = [F.lit("").alias("signature"), profile(text, F.lit(False)).alias("profile")]
+        return matches.select("*", *quiet), originals.select("*", *quiet), quiet_address
+    for role, rows in (("matches", matches), ("originals", originals)):
+        hot = hot_from_rows(rows, _ADDRESS, hot_rows)
+        roles[role] = stage.keep(salted_join(rows, busy, _ADDRESS, hot, how="left"), role)
+    grams = {
+        role: rows.filter("n IS NOT NULL").select(
+            *_ADDRESS, "name", F.explode(numbered_grams(text)).alias("gram")
+        )
+        for role, rows in roles.items()
+    }
+    everywhere = grams["matches"].union(grams["originals"])
+    held = everywhere.groupBy(*_ADDRESS, "gram").agg(F.count(F.lit(1)).alias("held"))
+    held = stage.keep(held, "grams")
+    hot = hot_from_counts(held, [*_ADDRESS, "gram"], "held", hot_rows)
+
+    def keyed(role: str) -> DataFrame:
+        # A name has no more grams than characters.
+        ranked = salted_join(grams[role], held, [*_ADDRESS, "gram"], hot)
+        ordered = F.sort_array(F.collect_list(F.struct("held", "gram")))["gram"].alias("rarest")
+        rows = roles[role].join(
+            ranked.groupBy(*_ADDRESS, "name").agg(ordered), [*_ADDRESS, "name"], "left"
+        )
         is_busy = F.col("n").isNotNull()
-        keys = F.when(is_busy, signatures).otherwise(F.array(F.lit("")))
-        return sized.select(
-            "*", profile(text, is_busy).alias("profile"), F.explode(keys).alias("signature")
+        rarest = F.coalesce("rarest", F.array().cast("array<string>"))
+        keys = signatures(text, rarest, min_score, role == "matches")
+        keys = F.when(is_busy, keys).otherwise(F.array(F.lit("")))
+        return rows.select(
+            *[c for c in roles[role].columns if c != "n"],
+            profile(text, is_busy).alias("profile"),
+            F.explode(keys).alias("signature"),
         )
 
-    m = keyed(matches, probe_signatures(text, min_score)).alias("m")
-    o = keyed(originals, index_signatures(text, min_score)).alias("o")
-    a, b = F.col("m.profile"), F.col("o.profile")
-    condition = (
-        (F.col("m.street") == F.col("o.street"))
-        & (F.col("m.postcode") == F.col("o.postcode"))
-        & (F.col("m.signature") == F.col("o.signature"))
-        & (F.col("m.name") != F.col("o.name"))
-        & may_be_similar(a, b, min_score)
-    )
-    return m.join(o, condition).filter(is_similar(a, b, min_score)).select(
-        F.col("m.name").alias("match"),
-        F.col("o.name").alias("original"),
-        F.col("o.rank").alias("rank"),
-        F.col("o.first_subject").alias("first_subject"),
+    return keyed("matches"), keyed("originals"), seen["largest"]
+
+
+def similar_pairs(
+    names: DataFrame,
+    stage: Stage,
+    min_score: int = MIN_SCORE,
+    quiet_address: int = QUIET_ADDRESS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Pairs (match, original) at one address that score `min_score`.
+
+    Both names must be at the same street and postcode, so that is the join key, with their
+    signatures. Lengths, letters and edit distance decide most pairs that meet; only the others
+    go to the common subsequence.
+    """
+    matches, originals, largest = keyed_names(names, stage, min_score, quiet_address, hot_rows)
+    key = [*_ADDRESS, "signature"]
+    m = matches.select(*key, F.col("name").alias("match"), F.col("profile").alias("a"))
+    o = originals.select(
+        *key, F.col("name").alias("original"), F.col("profile").alias("b"), "rank", "first_subject"
     )
+    hot = hot_from_rows(m, key, hot_rows) if largest >= hot_rows else {}
+    a, b = F.col("a"), F.col("b")
+    met = salted_join(m, o, key, hot).filter("match <> original")
+    near = met.filter(may_be_similar(a, b, min_score)).dropDuplicates(["match", "original"])
+    near = stage.keep(near.withColumn("sure", is_surely_similar(a, b, min_score)), "near")
+    pair = ["match", "original", "rank", "first_subject"]
+    sure = near.filter("sure").select(pair)
+    return sure.union(near.filter("NOT sure").filter(is_similar(a, b, min_score)).select(pair))
 
 
 def promote_similar_names(

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.operators.skew import HOT_ROWS, hot_from_counts, hot_from_rows, salted_join
+from placeweave.operators.skew import HOT_ROWS, hot_from_counts, salted_join
 from placeweave.staging import Stage
 from placeweave.vocabulary import DEFAULT_GRAPH_CLASSES, NAMED_GRAPH_CLASSES, RDF_TYPE
 
@@ -61,10 +61,13 @@ class Nodes:
 
 
 def gather_nodes(triples: DataFrame, properties: list[str], stage: Stage) -> Nodes:
-    """Gather the listed properties of every node; `triples` may carry the graph `g`."""
+    """Gather the listed properties of every node; `triples` may carry the graph `g`.
+
+    A store holds a statement once, so statements that repeat count once.
+    """
     keys = ["g", "s"] if "g" in triples.columns else ["s"]
     properties = list(dict.fromkeys(properties))
-    relevant = triples.filter(F.col("p").isin(properties))
+    relevant = triples.filter(F.col("p").isin(properties)).select(*keys, "p", "o").distinct()
     # Long IRIs that begin alike are compared once per row; the measures compare numbers.
     number = F.array_position(F.array(*map(F.lit, properties)), F.col("p")).cast("int")
     numbered = relevant.select(*keys, number.alias("number"), "o")
@@ -110,7 +113,7 @@ def star(
     many = rows.filter(several).select(*keys, *single)
     for column, iri in spread.items():
         i = nodes.properties.index(iri)
-        hot = hot_from_counts(nodes.table, keys, f"n{i}", hot_rows) if nodes.most[i] >= hot_rows else []
+        hot = hot_from_counts(nodes.table, keys, f"n{i}", hot_rows) if nodes.most[i] >= hot_rows else {}
         objects = nodes.triples.filter(F.col("p") == iri).select(*keys, F.col("o").alias(column))
         many = salted_join(objects, many, keys, hot)
     return plain.unionByName(many.select(plain.columns))
@@ -119,41 +122,47 @@ def star(
 def follow(
     rows: DataFrame,
     link: str,
+    iri: str,
     nodes: Nodes,
     values: dict[str, str],
     one_value: tuple[str, ...] = (),
     hot_rows: int = HOT_ROWS,
     at_most: float = math.inf,
 ) -> DataFrame:
-    """Join each row with the star of the node that its column `link` points at.
+    """Join each row with the star of the node that its column `link` points at by `iri`.
 
-    Many rows (of `at_most` so many) may point at one node, so hot targets are salted. The link
-    column is dropped.
+    Many rows (of `at_most` so many) may point at one node, so hot targets are salted. They are
+    counted among the links alone, times the rows that a link can have at most; the rows
+    themselves are not worked out for it. The link column is dropped.
     """
     target = star(nodes, values, None, one_value, hot_rows).withColumnRenamed("s", link)
     keys = [k if k != "s" else link for k in nodes.keys]
-    hot = hot_from_rows(rows, keys, hot_rows, at_most)
+    hot = {}
+    if at_most >= hot_rows:
+        links = nodes.triples.filter(F.col("p") == iri).withColumn(link, F.col("o"))
+        rows_per_link = math.ceil(at_most / max(1, nodes.size))
+        counts = links.groupBy(*keys).agg((F.count(F.lit(1)) * rows_per_link).alias("_n"))
+        hot = hot_from_counts(counts, keys, "_n", hot_rows)
     return salted_join(rows, target, keys, hot).drop(link)
 
 
 # -- whole-store queries ------------------------------------------------------------------
 
 
-def head(quads: DataFrame, limit: int = 5) -> DataFrame:
+def head(quads: DataFrame, limit: int = 5, ordered: bool = True) -> DataFrame:
     """The first quads: those of named graphs, then default triples that are in no named graph.
 
-    Ordered by (g, s, p, o), so that the answer is the same on every run. The default graph is
-    only compared with the named ones if these alone do not fill the answer.
+    Ordered by (g, s, p, o), so that the answer is the same on every run; without `ordered`, any
+    of them, which need not read the whole store.
     """
     order = [F.asc_nulls_last("g"), "s", "p", "o"]
     columns = ["g", "s", "p", "o"]
-    named = named_graphs(quads).select(columns)
-    if len(named.limit(limit).take(limit)) == limit:
-        return named.orderBy(*order).limit(limit)
+    named = named_graphs(quads).select(columns).distinct()
     known = named.select("s", "p", "o").distinct()
-    rest = default_graph(quads).join(known, ["s", "p", "o"], "left_anti")
+    rest = default_graph(quads).distinct().join(known, ["s", "p", "o"], "left_anti")
     rest = rest.withColumn("g", F.lit(None).cast("string")).select(columns)
-    return named.unionByName(rest).orderBy(*order).limit(limit)
+    found = named.unionByName(rest)
+    return (found.orderBy(*order) if ordered else found).limit(limit)
 
 
 def subject_count(quads: DataFrame, union: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from placeweave.functions.text import strip
 from placeweave.operators.skew import HOT_ROWS, hot_from_rows, salted_join
+from placeweave.staging import Stage
 
 # Where a row comes from: the source's place in the merge, then the row's place in the source.
 SOURCE = "_src"
@@ -19,8 +20,10 @@ Patterns = list[str] | DataFrame
 
 # Lookup tables up to this many rows become literals in the plan; larger ones are joined.
 INLINE_ROWS = 1_000
-# Patterns per regular expression.
+# Patterns per regular expression, of those that mean the same inside a larger one.
 PATTERNS_PER_FILTER = 200
+# No groups that could be numbered anew, no classes, quotes or escapes that could reach further.
+_MERGES = re.compile(r"[\w\s:/.,;=&@%~$^*+?-]*")
 
 
 def with_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,11 +70,15 @@ def collapse_by_id(
 
 
 def inline_map(mapping: Mapping) -> Mapping:
-    """The mapping as a dict, unless it has too many rows to put into a plan."""
+    """The mapping as a dict, unless it has too many rows to put into a plan.
+
+    Either way it has no null key, and of several values of a key the smallest.
+    """
     if isinstance(mapping, dict):
-        return mapping
-    rows = mapping.select("key", "value").limit(INLINE_ROWS + 1).collect()
-    return mapping if len(rows) > INLINE_ROWS else {r["key"]: r["value"] for r in rows}
+        return {k: v for k, v in mapping.items() if k is not None}
+    known = mapping.filter("key IS NOT NULL").groupBy("key").agg(F.min("value").alias("value"))
+    rows = known.limit(INLINE_ROWS + 1).collect()
+    return known if len(rows) > INLINE_ROWS else {r["key"]: r["value"] for r in rows}
 
 
 def is_known_type(types: list[str]) -> Column:
@@ -139,25 +146,29 @@ def matches_any(text: Column, patterns: list[str], mode: str = "regex") -> Colum
     if not patterns:
         return F.lit(False)
     if mode == "exact":
-        hit = text.isin(patterns)
-    else:
-        if mode == "literal":
-            patterns = [re.escape(p) for p in patterns]
-        batches = range(0, len(patterns), PATTERNS_PER_FILTER)
-        hits = [
-            text.rlike("|".join(f"(?:{p})" for p in patterns[i : i + PATTERNS_PER_FILTER]))
-            for i in batches
-        ]
-        hit = reduce(Column.__or__, hits)
-    return F.coalesce(hit, F.lit(False))
+        return F.coalesce(text.isin(patterns), F.lit(False))
+    literal = mode == "literal"
+    together = [re.escape(p) if literal else p for p in patterns if literal or _MERGES.fullmatch(p)]
+    alone = [p for p in patterns if not (literal or _MERGES.fullmatch(p))]
+    for start in range(0, len(together), PATTERNS_PER_FILTER):
+        batch = together[start : start + PATTERNS_PER_FILTER]
+        alone.append("|".join(f"(?:{p})" for p in batch))
+    return F.coalesce(_any([text.rlike(p) for p in alone]), F.lit(False))
+
+
+def _any(tests: list[Column]) -> Column:
+    """The tests joined by OR, as a tree that stays flat however many there are."""
+    while len(tests) > 1:
+        tests = [reduce(Column.__or__, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return tests[0]
 
 
 def remove_quarantined(places: DataFrame, patterns: Patterns, mode: str = "regex") -> DataFrame:
     """Drop the rows whose id matches a pattern; modes as in `matches_any`.
 
     A short list becomes one filter on the id, which also moves below a collapse per id. Long
-    lists of plain ids are joined. Long lists of regular expressions stay on the driver, as a
-    filter has to hold each of them anyway.
+    tables of plain texts are joined. A filter has to hold every regular expression, so a long
+    table of those is refused; give them as a list.
     """
     if mode not in ("regex", "literal", "exact"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -168,46 +179,72 @@ def remove_quarantined(places: DataFrame, patterns: Patterns, mode: str = "regex
             return places.join(ids, "subject", "left_anti")
         if mode == "literal":
             return _remove_containing(places, patterns)
-        patterns = [r["pattern"] for r in patterns.toLocalIterator()]
+        raise ValueError(f"more than {INLINE_ROWS} regular expressions: give them as a list")
     return places.filter(~matches_any(F.col("subject"), patterns, mode))
 
 
 def _remove_containing(places: DataFrame, literals: DataFrame) -> DataFrame:
-    """Drop ids that contain a literal: every substring as long as some literal is looked up."""
-    lengths = [r["n"] for r in literals.select(F.char_length("pattern").alias("n")).distinct().collect()]
+    """Drop ids that contain a literal.
+
+    Ids and literals meet at the substrings as long as the shortest literal, of which a literal
+    takes the one that the fewest literals have; so an id makes fewer rows than it has characters,
+    and a beginning that all literals share is no key.
+    """
+    size = literals.agg(F.min(F.char_length("pattern"))).first()[0] or 1
 
-    def substrings(length: int) -> Column:
-        starts = F.sequence(F.lit(1), F.char_length("subject") - length + 1)
-        parts = F.transform(starts, lambda at: F.substring(F.col("subject"), at, F.lit(length)))
-        return F.when(F.char_length("subject") >= length, parts).otherwise(F.array())
+    def substrings(text: str) -> Column:
+        starts = F.sequence(F.lit(1), F.char_length(text) - size + 1)
+        parts = F.transform(starts, lambda at: F.substring(F.col(text), at, size))
+        return F.when(F.char_length(text) >= size, F.array_distinct(parts)).otherwise(F.array())
 
+    parts = literals.select("pattern", F.explode(substrings("pattern")).alias("part"))
+    held = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(held, "part").groupBy("pattern")
+    keyed = rarest.agg(F.min(F.struct("n", "part")).alias("key")).select("pattern", "key.part")
     ids = places.select("subject").distinct()
-    parts = ids.select("subject", F.explode(F.concat(*map(substrings, lengths))).alias("pattern"))
-    # A substring that all ids share is no use as a join key, so ids are counted out by pattern.
-    hot = hot_from_rows(parts, ["pattern"], HOT_ROWS)
-    hits = salted_join(parts, literals.withColumn("_hit", F.lit(True)), ["pattern"], hot)
+    met = ids.select("subject", F.explode(substrings("subject")).alias("part"))
+    # A substring that all ids share is a hot key.
+    hot = hot_from_rows(met, ["part"], HOT_ROWS)
+    hits = salted_join(met, keyed, ["part"], hot).filter(F.contains("subject", "pattern"))
     return places.join(hits.select("subject").distinct(), "subject", "left_anti")
 
 
 # -- stage counts -------------------------------------------------------------------------
 
 
-def stage_counts(places: DataFrame, mapping: dict[str, str], patterns: list[str]) -> DataFrame:
+def stage_counts(
+    places: DataFrame,
+    mapping: Mapping,
+    patterns: Patterns,
+    stage: Stage,
+    mode: str = "regex",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """Row counts after load, type filter, collapse per id and quarantine, as (stage, n).
 
-    One scan and one combined aggregation per id. Counts are ordinary aggregates, so they stay
-    right when a task runs again.
+    One scan and one combined aggregation per id, written once; mapping and patterns are those of
+    the cleansing job. Counts are ordinary aggregates, so they stay right when a task runs again.
     """
-    places = with_columns(places, ["udbLocationType"])
+    places = with_columns(places, ["udbLocationType"]).select("subject", "udbLocationType")
+    mapping = inline_map(mapping)
+    if isinstance(mapping, dict):
+        known = is_known_type(list(mapping))
+    else:
+        places = _look_up(places, mapping.withColumn("_known", F.lit(True)), hot_rows)
+        known = F.coalesce("_known", F.col("udbLocationType").isNull())
     per_id = places.groupBy("subject").agg(
-        F.count(F.lit(1)).alias("loaded"), F.count_if(is_known_type(list(mapping))).alias("known")
-    )
-    grouped = (F.col("known") > 0) & F.col("subject").isNotNull()
-    kept = grouped & ~matches_any(F.col("subject"), inline_patterns(patterns))
-    totals = per_id.agg(
-        F.coalesce(F.sum("loaded"), F.lit(0)).alias("load"),
-        F.coalesce(F.sum("known"), F.lit(0)).alias("filter"),
-        F.count_if(grouped).alias("group"),
-        F.count_if(kept).alias("remove"),
+        F.count(F.lit(1)).alias("loaded"), F.count_if(known).alias("known")
     )
-    return totals.unpivot([], ["load", "filter", "group", "remove"], "stage", "n")
+    per_id = stage.keep(per_id, "per-id")
+    grouped = per_id.filter("known > 0 AND subject IS NOT NULL").select("subject")
+
+    def rows(name: str, total: Column, table: DataFrame) -> DataFrame:
+        return table.agg(F.coalesce(total, F.lit(0)).alias("n")).select(F.lit(name).alias("stage"), "n")
+
+    counts = [
+        rows("load", F.sum("loaded"), per_id),
+        rows("filter", F.sum("known"), per_id),
+        rows("group", F.count(F.lit(1)), grouped),
+        rows("remove", F.count(F.lit(1)), remove_quarantined(grouped, patterns, mode)),
+    ]
+    return reduce(DataFrame.union, counts)

@@ -6,69 +6,68 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from this many rows on; about one shuffle partition of narrow rows.
+# A key is hot from this many rows on; about one shuffle partition of narrow rows. Its rows are
+# split into parts of about so many.
 HOT_ROWS = 1_000_000
-# At most this many keys are salted. Any other key holds less than a thousandth of all rows.
-HOT_KEYS = 1_000
-# Parts a hot key is split into.
-SALTS = 256
 
-_SALT = "_salt"
+# Hash of a hot key -> number of parts. There is one for each HOT_ROWS rows of a table at most.
+Hot = dict[int, int]
+
+_HASH, _SALT, _PARTS = "_hash", "_salt", "_parts"
 
 
 def key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*keys)
 
 
-def hot_from_counts(counts: DataFrame, keys: list[str], count: str, hot_rows: int) -> list[int]:
-    """Hashes of the hottest keys of a table that has the row count per key.
+def hot_from_counts(counts: DataFrame, keys: list[str], count: str, hot_rows: int) -> Hot:
+    """The hot keys of a table that has the row count per key.
 
-    The list has HOT_KEYS numbers at most, so it may travel through the driver. A hash shared
-    by two keys only means that both are salted.
+    A hash shared by two keys only means that both are split.
     """
-    hottest = (
-        counts.filter(F.col(count) >= hot_rows)
-        .select(key_hash(keys).alias("_hash"), F.col(count).alias("_n"))
-        .orderBy(F.desc("_n"))
-        .limit(HOT_KEYS)
-    )
-    return sorted({row["_hash"] for row in hottest.collect()})
+    parts = F.ceil(F.col(count) / hot_rows).cast("int").alias(_PARTS)
+    hot = counts.filter(F.col(count) >= hot_rows).select(key_hash(keys).alias(_HASH), parts)
+    found: Hot = {}
+    for row in hot.collect():
+        found[row[_HASH]] = max(2, row[_PARTS], found.get(row[_HASH], 0))
+    return found
 
 
 def hot_from_rows(
     rows: DataFrame, keys: list[str], hot_rows: int, at_most: float = math.inf
-) -> list[int]:
+) -> Hot:
     """As `hot_from_counts`, counting `rows`; not needed if there are `at_most` too few rows."""
     if at_most < hot_rows:
-        return []
-    counts = rows.groupBy(key_hash(keys).alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
-    hottest = counts.filter(F.col("_n") >= hot_rows).orderBy(F.desc("_n")).limit(HOT_KEYS)
-    return sorted(row["_hash"] for row in hottest.collect())
+        return {}
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return hot_from_counts(counts, keys, "_n", hot_rows)
 
 
 def salted_join(
     rows: DataFrame,
     table: DataFrame,
     keys: list[str],
-    hot: list[int],
+    hot: Hot,
     how: str = "inner",
     null_safe: bool = False,
 ) -> DataFrame:
     """Join `rows`, where keys may be hot, with `table`; the key columns come out once.
 
-    Rows of a hot key are spread over SALTS parts by a hash of the whole row, which is the same
-    on every attempt of a task, and the table's rows for that key are copied to each part.
+    Rows of a hot key are spread over its parts by a hash of the whole row, which is the same on
+    every attempt of a task, and the table's rows for that key are copied to each part.
     """
     payload = [c for c in table.columns if c not in keys]
+    columns = rows.columns
     on = list(keys)
     if hot:
-        is_hot = key_hash(keys).isin(hot)
-        part = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
-        parts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-        rows = rows.withColumn(_SALT, F.when(is_hot, part).otherwise(0))
-        table = table.withColumn(
-            _SALT, F.explode(F.when(is_hot, parts).otherwise(F.array(F.lit(0))))
-        )
+        # A number per hot key and no text, so Spark sends it along until it gets too large.
+        split = rows.sparkSession.createDataFrame(list(hot.items()), f"{_HASH} long, {_PARTS} int")
+        rows = _with_parts(rows, split, keys)
+        part = F.pmod(F.xxhash64(*columns), F.col(_PARTS)).cast("int")
+        rows = rows.withColumn(_SALT, F.coalesce(part, F.lit(0))).drop(_PARTS)
+        table = _with_parts(table, split, keys)
+        parts = F.sequence(F.lit(0), F.coalesce(_PARTS, F.lit(1)) - 1)
+        table = table.withColumn(_SALT, F.explode(parts)).drop(_PARTS)
         on.append(_SALT)
     left, right = rows.alias("l"), table.alias("r")
 
@@ -77,5 +76,10 @@ def salted_join(
         return a.eqNullSafe(b) if null_safe else a == b
 
     joined = left.join(right, reduce(Column.__and__, map(equal, on)), how)
-    columns = [F.col(f"l.`{c}`") for c in rows.columns if c != _SALT]
-    return joined.select(*columns, *[F.col(f"r.`{c}`") for c in payload])
+    return joined.select(
+        *[F.col(f"l.`{c}`") for c in columns], *[F.col(f"r.`{c}`") for c in payload]
+    )
+
+
+def _with_parts(rows: DataFrame, split: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.withColumn(_HASH, key_hash(keys)).join(split, _HASH, "left").drop(_HASH)

@@ -122,7 +122,7 @@ def _solutions(
     at_most = nodes.solutions_at_most([*values.values(), *links])
     for link, iri in linked.items():
         target = links[iri]
-        rows = follow(rows, link, nodes, target, hot_rows=hot_rows, at_most=at_most)
+        rows = follow(rows, link, iri, nodes, target, hot_rows=hot_rows, at_most=at_most)
         at_most *= nodes.solutions_at_most(target.values()) / max(1, nodes.size)
     return rows
 
@@ -200,6 +200,7 @@ def event_places(
         reached = follow(
             links.withColumn("place", F.col("s")).drop("s"),
             "link",
+            iri,
             nodes,
             values,
             tuple(values),

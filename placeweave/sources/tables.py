@@ -26,11 +26,12 @@ def read_csv(spark: SparkSession, path: str, line_per_record: bool = False) -> D
 
     Quoted cells may hold line breaks, so a file is read by one task; give
     `line_per_record=True` for files known to have none, and large files are split. The files of
-    a folder share one header. Within a file, positions follow its lines however Spark packs the
-    blocks into tasks.
+    a folder share one header. Positions follow the names of the files, and within a file its
+    lines, however Spark packs files and blocks into tasks.
     """
     raw = spark.read.options(**_CSV, multiLine=not line_per_record).csv(path)
     position = F.struct(
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
@@ -69,9 +70,12 @@ def read_bindings(
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of strings as (key, value) rows."""
+    """A JSON object of strings as (key, value) rows; a key that comes twice has its last value."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", "map<string,string>")))
+    entries = F.map_entries(F.from_json("value", "map<string,string>"))
+    rows = text.select(F.posexplode(entries).alias("at", "entry"))
+    last = F.max(F.struct("at", "entry.value")).alias("last")
+    return rows.groupBy("entry.key").agg(last).select("key", "last.value")
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:

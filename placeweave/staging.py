@@ -8,6 +8,7 @@ survives the loss of any executor.
 import atexit
 import functools
 import itertools
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,7 +22,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", None) or ""
+    if not re.match(r"local(\[|$)", master):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     return _local_folder()
 

@@ -128,6 +128,18 @@ def test_fuzzy_equals_model_at_busy_addresses(spark, stage, quiet_address, hot_r
             assert found[row["subject"]][column] == row[column], row["subject"]
 
 
+def test_a_word_that_all_names_share_is_no_key(spark, stage):
+    rng, count = random.Random(3), 4_000
+    names = ["sporthal " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(count)]
+    rows = [(n, n, f"s{i}", "a", "1", f"s{i}", "a", "1") for i, n in enumerate(dict.fromkeys(names))]
+    columns = ("name sorted rank match_street match_postcode first_subject original_street original_postcode").split()
+    table = spark.createDataFrame(rows, " string, ".join(columns) + " string")
+    matches, originals, _ = fuzzy.keyed_names(table, stage, 90, 32, 1_000_000)
+    key = ["street", "postcode", "signature"]
+    met = matches.select(*key).join(originals.select(*key), key).count()
+    assert met <= 0.05 * count * (count - 1)
+
+
 def test_row_order_does_not_matter(spark, stage):
     rows = random_places(150, 4)
     one = jobs.deduplicate(frame(spark, rows), stage).collect()
@@ -147,9 +159,9 @@ def test_every_row_has_one_verdict(spark, stage):
     assert found.filter("NOT is_duplicate AND duplicate_subject IS NOT NULL").count() == 0
 
 
-def test_relative_frequency(spark):
+def test_relative_frequency(spark, stage):
     rows = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "k string")
-    found = {r["k"]: r["share"] for r in dedup.relative_frequency(rows, ["k"]).collect()}
+    found = {r["k"]: r["share"] for r in dedup.relative_frequency(rows, ["k"], stage).collect()}
     assert found == {"a": 0.5, "b": 0.25, None: 0.25}
 
 

@@ -178,6 +178,21 @@ def test_head(spark):
         assert [tuple(r) for r in head(quads, limit).collect()] == everything[:limit]
 
 
+def test_head_in_any_order(spark):
+    rows = [("g1", "s", "p", "o"), ("g2", "s", "p", "o"), (None, "s", "p", "o"), (None, "a", "p", "o")]
+    quads = spark.createDataFrame(rows + rows, SCHEMA)
+    found = [tuple(r) for r in head(quads, 10, ordered=False).collect()]
+    assert sorted(found, key=repr) == sorted([rows[0], rows[1], rows[3]], key=repr)
+    assert head(quads, 2, ordered=False).count() == 2
+
+
+@pytest.mark.parametrize("product", PRODUCTS)
+def test_statements_that_repeat_count_once(spark, stage, product):
+    quads = fixtures.quads(spark, "/root/testdata/sf0.001")
+    once = Counter(map(tuple, fetch(product, quads, stage).collect()))
+    assert once and Counter(map(tuple, fetch(product, quads.union(quads), stage).collect())) == once
+
+
 def test_subject_count(spark):
     rows = [
         ("g", "a", V.RDF_TYPE, V.GEBOUW + "Gebouw"),

@@ -1,5 +1,7 @@
 """Merge, collapse, type filter and mapping, quarantine, stage counts, salted joins."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,7 +94,6 @@ IDS = ["http://x/1", "http://x/12", "http://y.1", "http://ya1", "a+b"]
     "mode, lines, kept",
     [
         ("regex", ["y.1", " ", ""], ["a+b", "http://x/1", "http://x/12"]),
-        ("regex", ["x/1$", "^a"], ["http://x/12", "http://y.1", "http://ya1"]),
         ("literal", ["y.1", "  x/12 ", "a+b"], ["http://x/1", "http://ya1"]),
         ("exact", ["http://x/1", "x/12", ""], ["a+b", "http://x/12", "http://y.1", "http://ya1"]),
         ("exact", [], sorted(IDS)),
@@ -103,8 +104,13 @@ def test_quarantine(spark, monkeypatch, inline_rows, mode, lines, kept):
     frame = spark.createDataFrame([(i,) for i in IDS], "subject string")
     patterns = spark.createDataFrame([(line,) for line in lines], "pattern string")
     assert sorted(r[0] for r in remove_quarantined(frame, patterns, mode).collect()) == kept
-    if inline_rows > 1:
-        assert sorted(r[0] for r in remove_quarantined(frame, lines, mode).collect()) == kept
+    assert sorted(r[0] for r in remove_quarantined(frame, lines, mode).collect()) == kept
+
+
+def test_quarantine_by_two_expressions(spark):
+    frame = spark.createDataFrame([(i,) for i in IDS], "subject string")
+    found = remove_quarantined(frame, ["x/1$", "^a"])
+    assert sorted(r[0] for r in found.collect()) == ["http://x/12", "http://y.1", "http://ya1"]
 
 
 def test_quarantine_batches_patterns(spark, monkeypatch):
@@ -127,11 +133,65 @@ def test_quarantine_filter_moves_below_the_collapse(spark, tmp_path):
     assert text.index("SortAggregate") < text.index("RLIKE(subject") < text.index("FileScan")
 
 
-def test_stage_counts(spark):
+@pytest.mark.parametrize("mode, line", [("regex", "^bad$"), ("literal", "ba"), ("exact", "bad")])
+def test_stage_counts(spark, stage, mapping, mode, line):
     rows = [("a", "k1"), ("a", "k3"), ("b", "k3"), ("c", None), ("bad", "k2"), (None, "k1")]
     frame = spark.createDataFrame(rows, "subject string, udbLocationType string")
-    found = dict(map(tuple, stage_counts(frame, TYPES, ["^bad$"]).collect()))
-    assert found == {"load": 6, "filter": 4, "group": 3, "remove": 2}
+    lines = spark.createDataFrame([(line,)], "pattern string")
+    for patterns in ([line], lines):
+        found = dict(map(tuple, stage_counts(frame, mapping, patterns, stage, mode, 2).collect()))
+        assert found == {"load": 6, "filter": 4, "group": 3, "remove": 2}
+    assert {r["n"] for r in stage_counts(frame.limit(0), mapping, lines, stage).collect()} == {0}
+
+
+@pytest.mark.parametrize("inline_rows", [1_000, 5])
+def test_a_mapping_table_has_one_rule_at_every_size(spark, monkeypatch, inline_rows):
+    monkeypatch.setattr(relational, "INLINE_ROWS", inline_rows)
+    entries = [("k0", "v2"), ("k0", "v1"), (None, "v3"), *((f"k{i}", f"v{i}") for i in range(3, 9))]
+    table = spark.createDataFrame(entries, "key string, value string")
+    rows = [("a", "k0", None), ("b", "k8", "old"), ("c", None, "old"), ("d", "no", None)]
+    frame = spark.createDataFrame(rows, "subject string, udbLocationType string, locationType string")
+    assert values(filter_type(frame, table), "subject") == [("a",), ("b",), ("c",)]
+    assert values(map_type(frame, table), "subject", "locationType") == [
+        ("a", "v1"), ("b", "v8"), ("c", "old"), ("d", None)
+    ]
+
+
+@pytest.mark.parametrize("per_filter", [200, 2, 1])
+def test_a_pattern_means_the_same_in_any_company(spark, monkeypatch, per_filter):
+    monkeypatch.setattr(relational, "PATTERNS_PER_FILTER", per_filter)
+    ids = ["aa", "xbb", "xab", "A|B", "plain"]
+    frame = spark.createDataFrame([(i,) for i in ids], "subject string")
+    lines = [r"(a)\1", r"x(b)\1", "[|]", "plai+n", "(?i)XA"]
+    for count in range(len(lines) + 1):
+        expected = [i for i in ids if not any(re.search(p, i) for p in lines[:count])]
+        found = remove_quarantined(frame, lines[:count])
+        assert sorted(r[0] for r in found.collect()) == sorted(expected)
+    many = remove_quarantined(frame, [f"({i})" for i in range(900)] + lines)
+    assert many.count() == 0
+
+
+def test_many_literals(spark, monkeypatch):
+    ids = [f"http://places.example/{i}" for i in range(3_000)]
+    frame = spark.createDataFrame([(i,) for i in ids], "subject string")
+    literals = [f"http://places.example/{i}" for i in range(2_500, 7_500)] + ["ample/17"]
+    table = spark.createDataFrame([(x,) for x in literals], "pattern string")
+    gone = {i for i in ids if any(x in i for x in literals)}
+    found = remove_quarantined(frame, table, "literal")
+    assert {r[0] for r in found.collect()} == set(ids) - gone
+    with pytest.raises(ValueError, match="list"):
+        remove_quarantined(frame, table, "regex")
+
+
+def test_more_hot_keys_than_a_thousand(spark):
+    rows = spark.range(6_000).selectExpr("id", "id % 1500 AS k").union(
+        spark.range(1_000).selectExpr("id + 6000", "CAST(NULL AS BIGINT) AS k")
+    )
+    hot = hot_from_rows(rows, ["k"], 4)
+    assert len(hot) == 1_501 and sorted(hot.values())[-1] >= 250
+    table = spark.range(1_500).selectExpr("id AS k", "id * 2 AS v")
+    joined = salted_join(rows, table, ["k"], hot, how="left")
+    assert joined.count() == 7_000 and joined.filter("v = k * 2").count() == 6_000
 
 
 @pytest.mark.parametrize("hot", [False, True])
@@ -161,5 +221,5 @@ def test_salted_join_equals_plain_join(spark, hot, how, null_safe):
 
 def test_hot_keys_are_not_looked_for_in_few_rows(spark):
     rows = spark.createDataFrame([("a",)] * 9, "k string")
-    assert hot_from_rows(rows, ["k"], 5, at_most=4) == []
+    assert hot_from_rows(rows, ["k"], 5, at_most=4) == {}
     assert len(hot_from_rows(rows, ["k"], 5, at_most=9)) == 1

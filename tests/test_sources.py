@@ -67,6 +67,30 @@ def test_row_positions_follow_the_file(spark, tmp_path):
     assert {r["subject"]: r["v"] for r in found} == {f"s{i}": str(i) for i in range(50)}
 
 
+@pytest.mark.parametrize("line_per_record", [False, True])
+def test_row_positions_follow_the_names_of_files(spark, tmp_path, line_per_record):
+    (tmp_path / "part-0.csv").write_text("subject,v\n" + "".join(f"s{i},first\n" for i in range(3)))
+    long = "".join(f"s{i % 5},second and longer {i}\n" for i in range(3_000))
+    (tmp_path / "part-1.csv").write_text("subject,v\n" + long)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows = tables.read_csv(spark, str(tmp_path), line_per_record)
+        found = {r["subject"]: r["v"] for r in collapse_by_id(rows, ["_row"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {
+        **{f"s{i}": "first" for i in range(3)},
+        **{f"s{i}": f"second and longer {i}" for i in (3, 4)},
+    }
+
+
+def test_the_last_of_equal_keys_in_a_mapping_file_holds(spark, tmp_path):
+    path = tmp_path / "map.json"
+    path.write_text('{"a": "first", "b": "only", "a": "last"}')
+    found = {r["key"]: r["value"] for r in tables.read_mapping(spark, str(path)).collect()}
+    assert found == {"a": "last", "b": "only"}
+
+
 def test_bindings(spark, tmp_path):
     def response(rows):
         cells = [{k: {"type": "literal", "value": v} for k, v in r.items()} for r in rows]
@@ -158,8 +182,9 @@ def test_folder_is_the_one_the_cluster_names():
     assert checkpoint_folder(named) == "hdfs://nn/shared"
     own = checkpoint_folder(SessionOf(spark_master="local[2]"))
     assert own == checkpoint_folder(SessionOf(spark_master="local[8]"))
-    with pytest.raises(ValueError, match=CHECKPOINT_DIR):
-        checkpoint_folder(SessionOf(spark_master="yarn"))
+    for unnamed in (SessionOf(spark_master="yarn"), SessionOf(spark_master="local-cluster[2,1,1024]"), SessionOf()):
+        with pytest.raises(ValueError, match=CHECKPOINT_DIR):
+            checkpoint_folder(unnamed)
 
 
 def test_empty_tables_go_through(spark, stage):
