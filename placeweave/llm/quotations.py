@@ -125,8 +125,9 @@ def _replies(linked: DataFrame) -> DataFrame:
 def _threads(rows: DataFrame, replies: DataFrame, stage: Stage) -> DataFrame:
     """For each message the message replied to, the first of its thread and the depth.
 
-    Every round doubles the replies that are followed. A reply is later than what it answers, so
-    the rounds end, after the logarithm of the longest chain.
+    Every round doubles the replies that are followed, of the messages that have not yet reached
+    the first of their thread. A reply is later than what it answers, so the rounds end, after the
+    logarithm of the longest chain.
     """
     known = rows.dropna(subset=_MESSAGE).select(*_MESSAGE).distinct()
     start = known.join(replies, _MESSAGE, "left").withColumns(
@@ -136,29 +137,28 @@ def _threads(rows: DataFrame, replies: DataFrame, stage: Stage) -> DataFrame:
             "depth": F.col("reply_turn").isNotNull().cast("int"),
         }
     )
-    state = stage.keep(start, "replies")
-    total = None
-    while True:
-        reached = state.agg(F.sum("depth")).first()[0]
-        if reached == total:
-            return state
-        total = reached
-        onward = state.filter("depth > 0").select(
+    start = stage.keep(start, "replies")
+    columns = start.columns
+    done, under_way = start.filter("depth = 0"), start.filter("depth > 0")
+    while not under_way.isEmpty():
+        onward = done.union(under_way).filter("depth > 0").select(
             F.col("conv_id").alias("thread_conv_id"),
             F.col("turn").alias("thread_turn"),
             F.col("thread_conv_id").alias("_conv_id"),
             F.col("thread_turn").alias("_turn"),
             F.col("depth").alias("_depth"),
         )
-        met = state.join(onward, ["thread_conv_id", "thread_turn"], "left")
-        state = stage.keep(
-            met.select(
-                *_MESSAGE,
-                "reply_conv_id",
-                "reply_turn",
-                F.coalesce("_conv_id", "thread_conv_id").alias("thread_conv_id"),
-                F.coalesce("_turn", "thread_turn").alias("thread_turn"),
-                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            ),
-            "replies",
+        met = under_way.join(onward, ["thread_conv_id", "thread_turn"], "left")
+        met = met.select(
+            *_MESSAGE,
+            "reply_conv_id",
+            "reply_turn",
+            F.coalesce("_conv_id", "thread_conv_id").alias("thread_conv_id"),
+            F.coalesce("_turn", "thread_turn").alias("thread_turn"),
+            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+            F.col("_depth").isNotNull().alias("went_on"),
         )
+        met = stage.keep(met, "replies")
+        done = done.union(met.filter("NOT went_on").select(columns))
+        under_way = met.filter("went_on").select(columns)
+    return done
