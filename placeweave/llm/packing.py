@@ -1,9 +1,11 @@
 """Best-fit packing of token pieces into sequences, certified by lower bounds.
 
 Each partition packs its pieces best-fit decreasing and bounds its number of sequences from below
-by dual feasible functions. Where both numbers agree the partition is done. Where they do not, its
-full sequences stay, and the pieces of the others are exchanged among fewer partitions and packed
-again, until a round brings nothing more. Only piece numbers and lengths travel.
+by dual feasible functions. Where both numbers agree the partition is done, but for its least filled
+sequence, as the sum of the bounds is more than the bound of all. Where they do not, its
+well-filled sequences stay, and the pieces of the least filled quarter are exchanged among fewer
+partitions and packed again, until a round in one partition, or one that brings nothing. Only
+piece numbers and lengths travel.
 """
 
 from collections.abc import Iterator
@@ -15,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placeweave.llm.rows import slices
 from placeweave.llm.tokens import encoder
 from placeweave.staging import Stage
 
@@ -46,7 +49,7 @@ def pack_documents(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             texts = encode.column(batch.column("text"))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), texts):
@@ -101,18 +104,22 @@ def _places(parts: list[DataFrame]) -> DataFrame:
 
 def _packed(pieces: DataFrame, parts: int, turn: int, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        filled = [batch for batch in batches if batch.num_rows]
+        if not filled:
             return
+        table = pa.Table.from_batches(filled)
         rows, lengths = (table.column(c).to_numpy() for c in ("row", "length"))
         order = np.lexsort((rows, -lengths))
         rows, lengths = rows[order], lengths[order]
         bins, offsets, used = best_fit_decreasing(lengths, capacity)
         certified = len(used) == lower_bound(lengths, capacity)
-        settled = certified | (used[bins] == capacity)
+        least_filled = np.argsort(used, kind="stable")
+        settled = np.ones(len(used), bool)
+        settled[least_filled[: 1 if certified else -(-len(used) // 4)]] = False
+        settled |= used == capacity
         first = (turn << 56) + (TaskContext.get().partitionId() << 32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (rows, lengths, bins + first, offsets, settled)],
+            [pa.array(x) for x in (rows, lengths, bins + first, offsets, settled[bins])],
             ["row", "length", "sequence_id", "offset", "settled"],
         )
 
