@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from placeweave.llm.rows import slices
 from placeweave.llm.tokens import encoder
 from placeweave.staging import Stage
 
@@ -52,7 +53,8 @@ def write(
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = next((b for b in batches if b.num_rows), None)
+        batches = slices(batches)
+        batch = next(batches, None)
         if batch is None:
             return
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()

@@ -24,7 +24,7 @@ from placeweave.llm.tokens import RememberingEncoder
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NO_PAIR = np.int32(2**31 - 1)
 # Trees merged together have so many leaves at most in all; larger trees are merged alone.
-LEAVES, LONG = 1 << 20, 1 << 9
+LEAVES, LONG = 1 << 18, 1 << 9
 
 
 def piece_pattern() -> regex.Pattern:
@@ -62,22 +62,28 @@ class Ranks:
         known = (self.pairs[place] == wanted) & (left >= 0) & (right >= 0)
         return np.where(known, self.merged[place], NO_PAIR)
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each piece."""
-        found: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
-        width = [max(2, 1 << (len(p) - 1).bit_length()) if p else 0 for p in pieces]
-        for leaves in sorted(set(width) - {0}):
-            alike = [k for k, w in enumerate(width) if w == leaves]
-            if leaves >= LONG:
-                for k in alike:
-                    found[k] = self._merge_alone(pieces[k], leaves)
-                continue
-            for start in range(0, len(alike), max(1, LEAVES // leaves)):
-                part = alike[start : start + max(1, LEAVES // leaves)]
-                tokens = self._merge_alike([pieces[k] for k in part], leaves)
-                for k, row in zip(part, tokens):
-                    found[k] = row[row >= 0]
-        return found
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and where those of each begin and end."""
+        width = np.array([max(2, 1 << (len(p) - 1).bit_length()) for p in pieces], np.int64)
+        number, done = np.zeros(len(pieces), np.int64), []
+        for leaves in np.unique(width).tolist():
+            alike = np.flatnonzero(width == leaves)
+            step = 1 if leaves >= LONG else LEAVES // leaves
+            for start in range(0, len(alike), step):
+                part = alike[start : start + step]
+                if leaves >= LONG:
+                    tokens = self._merge_alone(pieces[part[0]], leaves)[None, :]
+                else:
+                    tokens = self._merge_alike([pieces[k] for k in part], leaves)
+                number[part] = (tokens >= 0).sum(1)
+                done.append((part, tokens[tokens >= 0]))
+        ends = np.append(0, np.cumsum(number))
+        ids = np.empty(ends[-1], np.int32)
+        for part, tokens in done:
+            own = number[part]
+            inside = np.arange(len(tokens)) - np.repeat(np.cumsum(own) - own, own)
+            ids[np.repeat(ends[part], own) + inside] = tokens
+        return ids, ends
 
     def _merge_alike(self, pieces: list[bytes], leaves: int) -> np.ndarray:
         lengths = np.array([len(p) for p in pieces])
@@ -166,6 +172,9 @@ class Ranks:
 class ByteEncoder(RememberingEncoder):
     """Ids of whole texts as little-endian unsigned 32-bit numbers, without special tokens."""
 
+    # Marks that are a piece of their own behind letters. An apostrophe is not.
+    MARKS = (".", ",", "!", "?", ";", ":")
+
     def __init__(self, path: str, **options):
         super().__init__(**options)
         self.ranks = Ranks(path)
@@ -178,17 +187,23 @@ class ByteEncoder(RememberingEncoder):
         return self.word.findall(text)
 
     def pieces(self, word: str) -> list[str]:
+        """The matches of the pattern in a word; plain letters and a mark need no pattern."""
+        letters = word[1:] if word[0] == " " else word
+        if letters.isascii():
+            if letters.isalpha():
+                return [word]
+            if letters[-1:] in self.MARKS and letters[:-1].isalpha():
+                return [word[:-1], word[-1]]
         return [word] if word.isspace() else self.piece.findall(word)
 
     def learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         pieces = [self.pieces(word) for word in words]
         plain = [p.encode("utf-8", "surrogatepass") for ps in pieces for p in ps]
-        ids = self.ranks.merge(plain)
-        at = 0
-        for word, parts in zip(words, pieces):
-            mine = ids[at : at + len(parts)]
-            at += len(parts)
-            yield word, np.concatenate([*mine, np.empty(0, np.int32)]).astype("<u4").tobytes()
+        ids, ends = self.ranks.merge(plain)
+        data = ids.astype("<u4").tobytes()
+        bounds = ends[np.append(0, np.cumsum([len(ps) for ps in pieces], dtype=np.int64))] * 4
+        for word, start, end in zip(words, bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield word, data[start:end]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.ranks.tokens.__getitem__, ids))
@@ -228,7 +243,10 @@ def decode(rows: DataFrame, ranks: str) -> DataFrame:
         own = encoder(ranks)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            found = [None if x is None else own.decode(x) for x in batch.column("ids").to_pylist()]
+            found = []
+            for ids in batch.column("ids"):
+                known = ids.values
+                found.append(None if known is None else own.decode(known.to_numpy().tolist()))
             return [pa.array(found, pa.binary())]
 
         return compute

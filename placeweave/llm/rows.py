@@ -9,6 +9,15 @@ from pyspark.sql.types import StructType
 
 Compute = Callable[[pa.RecordBatch], list[pa.Array]]
 
+# Rows that are computed at a time, so that what is made of long texts stays small.
+ROWS = 1_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
 
 def with_computed(
     rows: DataFrame, schema: str, make: Callable[[], Compute], drop: tuple[str, ...] = ()
@@ -24,7 +33,7 @@ def with_computed(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(name) for name in names] + compute(batch)
             yield pa.RecordBatch.from_arrays(columns, [*names, *new.names])
 

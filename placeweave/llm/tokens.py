@@ -2,16 +2,18 @@
 
 import os
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
 # A worker remembers up to twice so many words, those it met last.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 300_000
 # Longer words are encoded anew each time.
 LONGEST_WORD = 200
+# Words given to the library at a time.
+WORDS_A_CALL = 5_000
 # Texts are encoded together until they have so many characters.
 TOGETHER = 2_000_000
 
@@ -32,7 +34,8 @@ class RememberingEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(text) for text in texts]
-        missing = set(chain.from_iterable(split)).difference(self.recent)
+        known = self.recent.__contains__
+        missing = set(filterfalse(known, chain.from_iterable(split)))
         if len(self.recent) + len(missing) > self.remembered:
             self.older, self.recent = self.recent, {}
             missing = set(chain.from_iterable(split))
@@ -71,12 +74,15 @@ class WordEncoder(RememberingEncoder):
 
     # A word of its own, whose id no word without it has.
     SEPARATOR = "0"
+    # Marks that are a pre-token of their own behind letters. An apostrophe is not.
+    MARKS = (".", ",", "!", "?", ";", ":")
 
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
         super().__init__(remembered)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         (self.separator,) = self._ids(self.SEPARATOR)
+        self.stems: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
@@ -85,17 +91,35 @@ class WordEncoder(RememberingEncoder):
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """A word of ASCII letters has the ids of its lower case, and a mark after it its own."""
+        stems = {}
+        for word in words:
+            stem = word[:-1] if word[-1:] in self.MARKS else word
+            if stem.isascii() and stem.isalpha():
+                stems[word] = stem.lower(), word[len(stem) :]
+        wanted = {part for pair in stems.values() for part in pair}
+        if len(self.stems) + len(wanted) > self.remembered:
+            self.stems = {}
+        self.stems.update(self._together([w for w in wanted if w not in self.stems]))
+        for word, (stem, mark) in stems.items():
+            yield word, self.stems[stem] + self.stems[mark]
+        yield from self._together([w for w in words if w not in stems])
+
+    def _together(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """One call of the library for many words, set apart by the separator's id."""
         plain = [w for w in words if w and self.SEPARATOR not in w and "<|" not in w]
-        joined = np.array(self._ids(f" {self.SEPARATOR} ".join(plain)), "<u4")
-        cuts = np.flatnonzero(joined == self.separator)
-        alone = set(words)
-        if plain and len(cuts) == len(plain) - 1:
+        alone = set(words).difference(plain)
+        for first in range(0, len(plain), WORDS_A_CALL):
+            part = plain[first : first + WORDS_A_CALL]
+            joined = np.array(self._ids(f" {self.SEPARATOR} ".join(part)), "<u4")
+            cuts = np.flatnonzero(joined == self.separator)
+            if len(cuts) != len(part) - 1:
+                alone.update(part)
+                continue
             data = joined.tobytes()
             starts = (np.append(0, cuts + 1) * 4).tolist()
             ends = (np.append(cuts, len(joined)) * 4).tolist()
-            alone.difference_update(plain)
-            for word, start, end in zip(plain, starts, ends):
+            for word, start, end in zip(part, starts, ends):
                 yield word, data[start:end]
         for word in alone:
             yield word, np.array(self._ids(word), "<u4").tobytes()
