@@ -113,9 +113,16 @@ def near_duplicates(
     links = stage.keep(_confirmed(_stars(roots, sets, percent), texts, width, percent), "links")
     joined = connected(links, stage)
     meetings = _meetings(roots, sets, joined, stage)
-    for turn in range(NEAREST_ROUNDS + 1):
-        near = _compared(meetings, sets, joined, stage, percent, nearest=turn < NEAREST_ROUNDS)
+    for _ in range(NEAREST_ROUNDS):
+        rows = stage.keep(_mixed(meetings, joined), "mixed")
+        near = _nearest(rows, sets, percent)
         links = stage.keep(_confirmed(near, texts, width, percent), "links")
+        if links.isEmpty():
+            break
+        joined = connected(_edges(joined).union(links), stage)
+    rows = stage.keep(_mixed(meetings, joined), "mixed")
+    links = stage.keep(_rest(rows, sets, texts, stage, width, percent), "links")
+    if not links.isEmpty():
         joined = connected(_edges(joined).union(links), stage)
 
     by_class = _labels(joined)
@@ -216,68 +223,104 @@ def _meetings(roots: DataFrame, sets: DataFrame, joined: DataFrame, stage: Stage
         found.append(met.select("node", "id", "n"))
         if level < LEVELS:
             rows = stage.keep(_branch(part.filter(~small), sets, level), "branches")
+            if rows.isEmpty():
+                break
     first, *rest = found
     for frame in rest:
         first = first.union(frame)
     return first
 
 
-def _compared(
-    meetings: DataFrame,
-    sets: DataFrame,
-    joined: DataFrame,
-    stage: Stage,
-    percent: int,
-    nearest: bool,
-) -> DataFrame:
-    """Pairs (a, b) of sets with similar sketches that meet in a node and are not joined yet; with
-    `nearest`, for each set only the most similar one."""
-    rows = stage.keep(_mixed(meetings, joined), "mixed")
+def _sketched_tiles(rows: DataFrame, sets: DataFrame) -> DataFrame:
     sketched = rows.join(sets.select("id", "sketch"), "id")
     dealt = tiles.tiled(sketched, F.col("node"), F.col("id"), SMALL_NODE)
-    columns = [tiles.KEY, tiles.SIDE, tiles.DIAGONAL, "id", "n", "component", "sketch"]
-    dealt = tiles.by_tile(dealt.select(columns))
-    compare = _comparer(percent, nearest)
-    found = dealt.mapInArrow(compare, "a long, b long, score double")
-    if not nearest:
-        return found.select("a", "b").distinct()
-    best = found.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best"))
-    a, b = F.col("a"), F.col("best.b")
-    return best.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    columns = [tiles.KEY, tiles.SIDE, tiles.DIAGONAL, "node", "id", "n", "component", "sketch"]
+    return tiles.by_tile(dealt.select(columns))
+
 
+def _near_pairs(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Positions (i, j) and scores of pairs in a tile that may be links between components."""
+    n, component = (table.column(c).to_numpy() for c in ("n", "component"))
+    sketches = _sketches(table.column("sketch"))
+    for i, j in tiles.pairs(table, BLOCK):
+        fit = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+        fit &= component[i] != component[j]
+        i, j = i[fit], j[fit]
+        score = sketch_similarity(sketches[i], sketches[j])
+        near = score >= percent / 100 - MARGIN
+        yield i[near], j[near], score[near]
 
-def _comparer(percent: int, nearest: bool):
-    least = percent / 100 - MARGIN
+
+def _nearest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For each set of `rows` that has one, the pair (a, b) with the most similar other sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tiles.whole_tiles(batches):
-            ids, n, component = (table.column(c).to_numpy() for c in ("id", "n", "component"))
-            sketches = _sketches(table.column("sketch"))
+            ids = table.column("id").to_numpy()
             best, partner = np.zeros(len(ids)), np.full(len(ids), -1)
-            for i, j in tiles.pairs(table, BLOCK):
-                fit = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
-                fit &= component[i] != component[j]
-                i, j = i[fit], j[fit]
-                score = sketch_similarity(sketches[i], sketches[j])
-                near = score >= least
-                i, j, score = i[near], j[near], score[near]
-                if not nearest:
-                    yield _scored(np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j]), score)
-                    continue
+            for i, j, score in _near_pairs(table, percent):
                 order = np.argsort(score, kind="stable")
                 for x, y in ((i[order], j[order]), (j[order], i[order])):
                     better = score[order] > best[x]
                     best[x[better]], partner[x[better]] = score[order][better], y[better]
             has = np.flatnonzero(partner >= 0)
-            yield _scored(ids[has], ids[partner[has]], best[has])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (ids[has], ids[partner[has]], best[has])], ["a", "b", "score"]
+            )
+
+    found = _sketched_tiles(rows, sets).mapInArrow(run, "a long, b long, score double")
+    best = found.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best"))
+    a, b = F.col("a"), F.col("best.b")
+    return best.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
 
-    return run
 
+def _rest(
+    rows: DataFrame, sets: DataFrame, texts: DataFrame, stage: Stage, width: int, percent: int
+) -> DataFrame:
+    """All links (a, b) between components that are left, but for those that others make needless.
 
-def _scored(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a), pa.array(b), pa.array(score)], ["a", "b", "score"]
-    )
+    The rows with any similar sketch in their node are marked, and only those are brought together
+    again, with their texts. So no pair leaves its tile unless it is a link.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tiles.whole_tiles(batches):
+            near = np.zeros(table.num_rows, bool)
+            for i, j, _ in _near_pairs(table, percent):
+                near[i] = near[j] = True
+            yield from table.select(["node", "id"]).filter(pa.array(near)).to_batches()
+
+    marked = _sketched_tiles(rows, sets).mapInArrow(mark, "node long, id long").distinct()
+    marked = stage.keep(marked, "marked")
+    sizes = marked.groupBy("node").agg(F.count(F.lit(1)).alias(tiles.SIZE))
+    marked = rows.drop(tiles.SIZE).join(marked, ["node", "id"]).join(sizes, "node")
+    marked = marked.join(sets.select("id", "sketch"), "id").join(texts, "id")
+    dealt = tiles.tiled(marked, F.col("node"), F.col("id"), SMALL_NODE)
+    columns = [tiles.KEY, tiles.SIDE, tiles.DIAGONAL, "id", "n", "component", "sketch", "text"]
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tiles.whole_tiles(batches):
+            ids = table.column("id").to_numpy()
+            sets_here: dict[int, np.ndarray] = {}
+            component = table.column("component").to_numpy().copy()
+            links = []
+            for i, j, _ in _near_pairs(table, percent):
+                for x, y in zip(i.tolist(), j.tolist()):
+                    if component[x] == component[y]:
+                        continue
+                    for k in (x, y):
+                        if k not in sets_here:
+                            sets_here[k] = shingle_set(table.column("text")[k].as_py(), width)
+                    if similar(sets_here[x], sets_here[y], percent):
+                        links.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+                        component[component == component[x]] = component[y]
+            found = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"]
+            )
+
+    dealt = tiles.by_tile(dealt.select(columns))
+    return dealt.mapInArrow(confirm, "a long, b long").distinct()
 
 
 # -- confirmation -------------------------------------------------------------------------

@@ -9,27 +9,29 @@ from placeweave.staging import Stage
 def connected(edges: DataFrame, stage: Stage) -> DataFrame:
     """Rows (id, component) for each id of the edges (a, b); component is the smallest id reached.
 
-    Alternates two steps until nothing changes: link each larger neighbour to a node's smallest
+    Alternates two steps until the links are stars: link each larger neighbour to a node's smallest
     neighbour, then each smaller one. A node's neighbours are never gathered: its minimum is an
     aggregate, and the join that hands it back may be split where one node has many edges.
     """
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     links = edges.filter("a <> b").select(u, v).distinct()
-    seen = None
-    while True:
-        links, state = _kept(links, stage)
-        if state == seen:
-            return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-                links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        seen = state
-        links = _smaller(_larger(links))
-
-
-def _kept(links: DataFrame, stage: Stage) -> tuple[DataFrame, tuple]:
     links = stage.keep(links, "links")
-    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    return links, tuple(links.agg(F.count(F.lit(1)), total).first())
+    while not _are_stars(links):
+        links = stage.keep(_smaller(_larger(links)), "links")
+    return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
+        links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    )
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether no id has two smaller neighbours, or a smaller and a larger one.
+
+    Then the smaller of each link is the smallest of its component.
+    """
+    down = links.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    up = links.select(F.col("v").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    ids = down.union(up).groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return ids.filter("down > 1 OR (down = 1 AND up = 1)").isEmpty()
 
 
 def _larger(links: DataFrame) -> DataFrame:
