@@ -383,6 +383,7 @@ def test_near_duplicates_equal_brute_force(spark, stage, width):
 
 def test_large_nodes_branch_and_tile(spark, stage, monkeypatch):
     monkeypatch.setattr(chosen_path, "SMALL_NODE", 4)
+    monkeypatch.setattr(chosen_path, "TILE", 8)
     draw = random.Random(7)
     base = ["".join(draw.choices("abcdefgh", k=4)) for _ in range(100)]
     texts = {k: " ".join(w if draw.random() > 0.06 else f"x{k}" for w in base) for k in range(120)}
