@@ -26,6 +26,8 @@ TREES = 8
 LEVELS = 3
 # Nodes of up to so many sets are compared, larger ones branch while levels are left.
 SMALL_NODE = 128
+# Sets in a chunk of a node that is large at the last level; its rows are copied once per chunk.
+TILE = 1024
 # Bins of a sketch, and how far below the threshold the similarity of two sketches may lie: the
 # standard error at 0.8 is 0.02 or less, so that one link in 30,000 is lost to the sketches.
 BINS = 256
@@ -233,7 +235,7 @@ def _meetings(roots: DataFrame, sets: DataFrame, joined: DataFrame, stage: Stage
 
 def _sketched_tiles(rows: DataFrame, sets: DataFrame) -> DataFrame:
     sketched = rows.join(sets.select("id", "sketch"), "id")
-    dealt = tiles.tiled(sketched, F.col("node"), F.col("id"), SMALL_NODE)
+    dealt = tiles.tiled(sketched, F.col("node"), F.col("id"), TILE)
     columns = [tiles.KEY, tiles.SIDE, tiles.DIAGONAL, "node", "id", "n", "component", "sketch"]
     return tiles.by_tile(dealt.select(columns))
 
@@ -295,7 +297,7 @@ def _rest(
     sizes = marked.groupBy("node").agg(F.count(F.lit(1)).alias(tiles.SIZE))
     marked = rows.drop(tiles.SIZE).join(marked, ["node", "id"]).join(sizes, "node")
     marked = marked.join(sets.select("id", "sketch"), "id").join(texts, "id")
-    dealt = tiles.tiled(marked, F.col("node"), F.col("id"), SMALL_NODE)
+    dealt = tiles.tiled(marked, F.col("node"), F.col("id"), TILE)
     columns = [tiles.KEY, tiles.SIDE, tiles.DIAGONAL, "id", "n", "component", "sketch", "text"]
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,9 @@ FEATURES = 4096
 # The regression is fitted on about so many labelled rows, chosen by a hash of doc_id; the ratios
 # and the choice of features use all of them.
 FIT_ROWS = 20_000
-FIT_STEPS, STEP, PENALTY = 300, 0.05, 1e-4
+FIT_STEPS, STEP = 300, 0.05
+# The penalty weighs as much as one row does, so that it matters where there are few.
+PENALTY = 1.0
 
 
 class Model(NamedTuple):
@@ -136,7 +138,7 @@ def _fit(sample: list, ratios: np.ndarray, features: np.ndarray, constant: float
         sums = np.bincount(lines, theta[columns] * values, len(each)) + theta[-1]
         error = (probability(sums) - truth) / len(each)
         down = np.append(np.bincount(columns, error[lines] * values, len(features)), error.sum())
-        down[:-1] += PENALTY * theta[:-1]
+        down[:-1] += PENALTY / len(each) * theta[:-1]
         slope = 0.9 * slope + 0.1 * down
         square = 0.999 * square + 0.001 * down**2
         size = np.sqrt(square / (1 - 0.999**step)) + 1e-8
