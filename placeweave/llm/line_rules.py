@@ -16,7 +16,8 @@ LEAST_WORDS, WINDOW, MOST_REPEATED_PERCENT = 10, 5, 20
 MARKS, LEAST_MARKS, MOST_MARKS_PERCENT = SYMBOLS + "!{}=~^\\", 6, 12
 # Navigation: a line fails with so many separators standing alone, and one per so many words.
 SEPARATORS, LEAST_SEPARATORS, WORDS_PER_SEPARATOR = frozenset("|>»›·•/") | {"::", "->"}, 3, 5
-# Boilerplate: phrases of site furniture and licences, and lines that go round in a few words.
+# Boilerplate: phrases of site furniture and licences that make up so much of a line's letters, and
+# lines that go round in a few words.
 PHRASES = (
     "all rights reserved",
     "cookie policy",
@@ -30,7 +31,10 @@ PHRASES = (
     "permission is hereby granted",
     "licensed under the",
 )
-LEAST_ROUND, WORDS_PER_DISTINCT = 12, 3
+LEAST_PHRASE_PERCENT = 5
+# A line goes round if words, or 5-word windows of a line longer than a stretch, occur so many times
+# on average. Words are counted in stretches of one length, as any text repeats its words by and by.
+LEAST_ROUND, WORDS_PER_DISTINCT, STRETCH = 12, 3, 500
 # A document is rejected if less than this share of its word characters is left.
 LEAST_LEFT_PERCENT = 50
 
@@ -57,6 +61,21 @@ def repeated_words(words: list[bytes]) -> int:
     return len(set(chain.from_iterable(range(p, p + WINDOW) for p in again)))
 
 
+def goes_round(words: list[str]) -> bool:
+    """Whether a line repeats a few words throughout, or the same passage. The last stretch of a
+    long line ends with it."""
+    if len(words) < LEAST_ROUND:
+        return False
+    last = max(0, len(words) - STRETCH)
+    stretches = [words[k : k + STRETCH] for k in (*range(0, last, STRETCH), last)]
+    if sum(len(set(s)) for s in stretches) * WORDS_PER_DISTINCT <= sum(map(len, stretches)):
+        return True
+    if not last:
+        return False
+    windows = set(zip(*(words[k:] for k in range(WINDOW))))
+    return len(windows) * WORDS_PER_DISTINCT <= len(words) - WINDOW + 1
+
+
 def line_passes(line: str, low: str) -> bool:
     """Whether a line breaks no rule. `low` is the line in lower case."""
     marks = sum(map(line.count, MARKS))
@@ -66,9 +85,10 @@ def line_passes(line: str, low: str) -> bool:
     alone = sum(w in SEPARATORS for w in words)
     if alone >= LEAST_SEPARATORS and alone * WORDS_PER_SEPARATOR >= len(words):
         return False
-    if len(words) >= LEAST_ROUND and len(set(words)) * WORDS_PER_DISTINCT <= len(words):
+    if goes_round(words):
         return False
-    return not any(phrase in low for phrase in PHRASES)
+    said = sum(low.count(phrase) * word_characters(phrase) for phrase in PHRASES)
+    return not said or said * 100 < LEAST_PHRASE_PERCENT * word_characters(low)
 
 
 def judge(text: str | None) -> tuple:

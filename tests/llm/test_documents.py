@@ -245,6 +245,23 @@ def test_line_rules(spark):
     assert not line_rules.clean_lines(docs.limit(0)).collect()
 
 
+def test_long_lines_are_judged_by_share_and_not_by_length(spark):
+    draw = random.Random(5)
+    prose = draw.choices([f"word{k}" for k in range(15_000)], k=60_000)
+    passage = draw.choices([f"word{k}" for k in range(900)], k=900)
+    lines = {
+        1: " ".join(prose),
+        2: " ".join([*prose[:400], "see our privacy policy", *prose[400:600]]),
+        3: " ".join(draw.choices(prose[:100], k=5_000)),
+        4: " ".join(passage * 6),
+        5: " ".join([*prose[:20], "All rights reserved. Privacy policy."]),
+    }
+    found = {r.doc_id: r for r in line_rules.clean_lines(documents(spark, list(lines.items()))).collect()}
+    assert [found[k].n_lines_removed for k in lines] == [0, 0, 1, 1, 1]
+    assert all(found[k].kept and found[k].clean_text == lines[k] for k in (1, 2))
+    assert not any(found[k].kept for k in (3, 4, 5))
+
+
 # -- 5 ------------------------------------------------------------------------------------
 
 
