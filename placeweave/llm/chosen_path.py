@@ -20,9 +20,12 @@ from placeweave.llm.components import connected
 from placeweave.llm.rows import mix, seeds, shingle_set, with_computed
 from placeweave.staging import Stage
 
-# Independent trees. At similarity 0.8 a tree keeps a pair together with probability 0.84 on each
-# level, so eight trees miss it at two levels in less than one case in 10,000.
-TREES = 8
+# Independent trees, for less than one pair in 10,000 missed at the last level, where large tables
+# compare most sets. At similarity 0.8 a tree whose root has one coordinate parts a pair by its third
+# level with probability 0.434, one with two 0.285 (the nodes of a level share coordinates, so its
+# branches are not independent). Nine and three of them miss one pair in 79,000, at two levels one in
+# 4 million; eight trees would miss one in 1,800 and one in 26,000.
+TREES = 12
 LEVELS = 3
 # Nodes of up to so many sets are compared, larger ones branch while levels are left.
 SMALL_NODE = 128
@@ -42,11 +45,14 @@ BLOCK = 20_000
 _COORDINATES = TREES * LEVELS * 2
 _SEEDS = seeds(_COORDINATES, 3)
 _SKETCH_SEED = seeds(1, 4)[0]
-_SIGNATURE = "n_shingles long, k1 long, k2 long, coordinates array<long>, sketch binary"
+_SIGNATURE = "n_shingles long, k1 long, k2 long, coordinates array<int>, sketch binary"
 
 
 def signature(shingles: np.ndarray) -> tuple:
-    """Two keys that equal sets share, minwise tokens, and a sketch of a byte for each bin."""
+    """Two keys that equal sets share, minwise tokens, and a sketch of a byte for each bin.
+
+    A token keeps 32 bits: equal ones stay equal, and the few others that meet are compared in vain.
+    """
     if not len(shingles):
         return 0, None, None, None, None
     keys = [mix(shingles).sum(), mix(shingles ^ _SKETCH_SEED).sum()]
@@ -59,7 +65,7 @@ def signature(shingles: np.ndarray) -> tuple:
     return (
         len(shingles),
         *[int(k.astype(np.int64)) for k in keys],
-        least.view(np.int64),
+        least.astype(np.uint32).view(np.int32),
         sketch.tobytes(),
     )
 
@@ -68,7 +74,7 @@ def _signatures(width: int):
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = batch.column("text")
         found = [signature(shingle_set(t.as_py(), width)) for t in texts]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
         return [pa.array(x, k) for x, k in zip(zip(*found), kinds)] if found else [
             pa.array([], k) for k in kinds
         ]

@@ -1,6 +1,7 @@
 """Operators on documents against brute-force versions."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -408,6 +409,23 @@ def test_large_nodes_branch_and_tile(spark, stage, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == classes_by_brute_force(texts, 2)[1]
 
 
+def test_trees_miss_few_pairs_at_the_last_level(spark):
+    draw, pairs = np.random.default_rng(8), 4_000
+    width = chosen_path.TREES * chosen_path.LEVELS * 2
+    left, right = draw.integers(0, 2**62, (2, pairs, width))
+    right = np.where(draw.random((pairs, width)) < 0.8, left, right)
+    rows = [(2 * k + side, 1, v.tolist()) for side, part in enumerate((left, right)) for k, v in enumerate(part)]
+    sets = spark.createDataFrame(rows, "id long, n long, coordinates array<long>")
+    nodes = chosen_path._branches_of_roots(sets)
+    for level in range(1, chosen_path.LEVELS):
+        nodes = chosen_path._branch(nodes, sets, level)
+    pair = F.floor(F.col("id") / 2).alias("pair")
+    met = nodes.groupBy("tree", "node", pair).agg(F.count_distinct("id").alias("sides")).filter("sides = 2")
+    met = met.groupBy("tree").agg(F.count_distinct("pair").alias("n")).collect()
+    assert len(met) == chosen_path.TREES
+    assert math.prod(1 - r.n / pairs for r in met) < 1e-4
+
+
 def test_sketches_do_not_lose_long_texts(spark, stage):
     # 4,000 of 5,000 words are shared, which the sketches of this pair put at 0.711.
     words = [f"s1149w{k}" for k in range(5_000)]
