@@ -8,19 +8,24 @@ bound of the threshold are computed exactly, and only those decide.
 """
 
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.llm import tiles
 from placeweave.llm.components import connected
+from placeweave.operators import skew
 from placeweave.staging import Stage
 
-# The share of pairs at the threshold that meet in a bucket; nearer pairs meet more often.
-RECALL = 0.99
+# The share of pairs at the threshold that meet in a bucket; nearer pairs meet more often. Of so many
+# drawn pairs, in blocks, no more than half of the allowed ones may miss each other.
+RECALL = 0.999
+PAIRS, PAIR_BLOCK = 20_000, 1_000
 # Vectors without a near one that a bucket should hold.
 BUCKET = 4
 # The bound on an estimate's error, in standard errors.
@@ -41,12 +46,45 @@ class Plan(NamedTuple):
         return -(-self.bits * self.bands // size)
 
 
-def plan_for(largest: int, threshold: float) -> Plan:
-    """Longer keys where more vectors are compared, and as many as the recall takes."""
-    bits = min(32, max(4, round(np.log2(max(1, largest) / BUCKET)) + 1))
+# Plans by the size of vectors and the bits of a key.
+Plans = dict[tuple[int, int], Plan]
+
+
+def bits_for(count: Column) -> Column:
+    """Longer keys where more vectors are compared: the bits for a group of `count` vectors."""
+    bits = F.round(F.log2(count / BUCKET)).cast("int") + 1
+    return F.least(F.lit(32), F.greatest(F.lit(4), bits))
+
+
+@cache
+def plan_for(size: int, bits: int, threshold: float) -> Plan:
+    """As many keys as the recall takes, measured with the rotations for vectors of `size` numbers."""
     same = 1 - np.arccos(threshold) / np.pi
-    bands = int(np.ceil(np.log(1 - RECALL) / np.log(1 - same**bits)))
-    return Plan(bits, max(1, bands), threshold)
+    bands = max(1, int(np.ceil(np.log(1 - RECALL) / np.log(1 - same**bits))))
+    if size < 2:  # The cosine of two numbers is 1 or -1.
+        return Plan(bits, 1, threshold)
+    while True:
+        bands += bands // 2 + 1
+        first = first_bands(size, Plan(bits, bands, threshold), [_SEED, size, bits])
+        allowed = int(len(first) * (1 - RECALL) / 2)
+        needed = int(np.sort(first)[-1 - allowed]) + 1
+        if needed <= bands:
+            return Plan(bits, needed, threshold)
+
+
+def first_bands(size: int, plan: Plan, seed: list[int]) -> np.ndarray:
+    """For drawn pairs at the threshold, the first band that they share, or the number of bands."""
+    draw, found = np.random.default_rng(seed), []
+    for _ in range(PAIRS // PAIR_BLOCK):
+        left, other = draw.standard_normal((2, PAIR_BLOCK, size))
+        left /= np.linalg.norm(left, axis=1, keepdims=True)
+        other -= (other * left).sum(1, keepdims=True) * left
+        other /= np.linalg.norm(other, axis=1, keepdims=True)
+        right = plan.threshold * left + np.sqrt(1 - plan.threshold**2) * other
+        keys = codes(np.concatenate([left, right]), plan)[2]
+        same = keys[:PAIR_BLOCK] == keys[PAIR_BLOCK:]
+        found.append(np.where(same.any(1), same.argmax(1), plan.bands))
+    return np.concatenate(found)
 
 
 def rotation(size: int, number: int) -> np.ndarray:
@@ -99,11 +137,19 @@ def near_duplicates(vectors: DataFrame, stage: Stage, threshold: float = 0.93) -
     usable = rows.filter(usable & F.col("id").isNotNull()).select(
         "id", F.xxhash64("label", F.size("embedding")).alias("group"), numbers.alias("vector")
     )
-    largest = usable.groupBy("group").count().agg(F.max("count")).first()[0] or 0
-    plan = plan_for(largest, threshold)
-    coded = usable.mapInArrow(_coder(plan), "id long, group long, vector array<double>, keys array<long>")
+    usable = usable.withColumn("size", F.size("vector"))
+    groups = usable.groupBy("group", "size").agg(F.count(F.lit(1)).alias("n"))
+    groups = stage.keep(groups.withColumn("bits", bits_for(F.col("n"))), "groups")
+    kinds = groups.select("size", "bits").distinct().collect()
+    plans = {(r["size"], r["bits"]): plan_for(r["size"], r["bits"], threshold) for r in kinds}
+    on = ["group", "size"]
+    hot = skew.hot_from_counts(groups, on, "n", skew.HOT_ROWS)
+    planned = skew.salted_join(usable, groups.drop("n"), on, hot).select("id", "group", "bits", "vector")
+    coded = planned.mapInArrow(
+        _coder(plans), "id long, group long, bits int, vector array<double>, keys array<long>"
+    )
     coded = stage.keep(coded, "codes")
-    found = stage.keep(_links(coded, plan), "found")
+    found = stage.keep(_links(coded, plans), "found")
     counts = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     joined = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")), stage)
     joined = joined.groupBy("id").agg(F.min("component").alias("component"))
@@ -126,23 +172,29 @@ def unit_rows(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
     return rows / np.sqrt((rows**2).sum(1, keepdims=True))
 
 
-def _coder(plan: Plan):
+def _by_plan(table: pa.RecordBatch | pa.Table, plans: Plans) -> Iterator[tuple]:
+    """The rows of each plan, with the size of their vectors."""
+    sizes = pc.list_value_length(table.column("vector")).to_numpy()
+    bits = table.column("bits").to_numpy()
+    for size, length in sorted(set(zip(sizes.tolist(), bits.tolist()))):
+        part = table.filter(pa.array((sizes == size) & (bits == length)))
+        yield part, size, plans[size, length]
+
+
+def _coder(plans: Plans):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("vector")
-            sizes = np.diff(vectors.offsets.to_numpy())
-            for size in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == size))
-                keys = codes(unit_rows(part.column("vector"), int(size)), plan)[2]
+            for part, size, plan in _by_plan(batch, plans):
+                keys = codes(unit_rows(part.column("vector"), size), plan)[2]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(list(keys), pa.list_(pa.int64()))],
-                    ["id", "group", "vector", "keys"],
+                    ["id", "group", "bits", "vector", "keys"],
                 )
 
     return run
 
 
-def _links(coded: DataFrame, plan: Plan) -> DataFrame:
+def _links(coded: DataFrame, plans: Plans) -> DataFrame:
     """(id, n_links, root) from each tile where a vector has links: how many of them are counted
     there, and the smallest id that it reaches there."""
     banded = coded.select("id", "group", F.posexplode("keys").alias("band", "key"))
@@ -150,23 +202,20 @@ def _links(coded: DataFrame, plan: Plan) -> DataFrame:
     sizes = banded.groupBy(bucket).agg(F.count(F.lit(1)).alias(tiles.SIZE))
     shared = banded.join(sizes.filter(F.col(tiles.SIZE) > 1), bucket)
     met = shared.select("id", "group", "band", "key", tiles.SIZE).join(
-        coded.select("id", "vector", "keys"), "id"
+        coded.select("id", "bits", "vector"), "id"
     )
     dealt = tiles.tiled(met, F.struct(*bucket), F.col("id"), TILE)
-    columns = [tiles.KEY, tiles.SIDE, tiles.DIAGONAL, "id", "band", "group", "vector", "keys"]
+    columns = [tiles.KEY, tiles.SIDE, tiles.DIAGONAL, "id", "band", "group", "bits", "vector"]
     return tiles.by_tile(dealt.select(columns)).mapInArrow(
-        _comparer(plan), "id long, n_links long, root long"
+        _comparer(plans), "id long, n_links long, root long"
     )
 
 
-def _comparer(plan: Plan):
+def _comparer(plans: Plans):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tiles.whole_tiles(batches):
-            if not table.num_rows:
-                continue
-            sizes = np.array([len(v) for v in table.column("vector")])
-            for size in np.unique(sizes):
-                yield _compare(table.filter(pa.array(sizes == size)), int(size), plan)
+            for part, size, plan in _by_plan(table, plans):
+                yield _compare(part, size, plan)
 
     return run
 

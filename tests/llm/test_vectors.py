@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from placeweave.llm import binary_codes
 from placeweave.llm.queries import queries
@@ -65,6 +66,33 @@ def test_recall_at_the_threshold(spark, stage):
     check(found, rows, recall=0.95)
 
 
+@pytest.mark.parametrize(("size", "bits"), [(64, 4), (64, 10), (64, 21), (16, 21)])
+def test_plans_reach_their_recall(size, bits):
+    plan = binary_codes.plan_for(size, bits, 0.93)
+    first = binary_codes.first_bands(size, plan, [77, size])
+    assert (first < plan.bands).mean() >= 0.999 - 2 * math.sqrt(0.001 / len(first))
+
+
+def test_other_labels_change_no_links(spark, stage):
+    draw = np.random.default_rng(5)
+    one = draw.standard_normal((1_000, 16))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other = draw.standard_normal((1_000, 16))
+    other -= (other * one).sum(1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = 0.931 * one + math.sqrt(1 - 0.931**2) * other
+    rows = [(k, v.tolist(), k % 1_000) for k, v in enumerate(np.concatenate([one, near]))]
+    crowd = [(2_000 + k, v.tolist(), 1_000) for k, v in enumerate(draw.standard_normal((4_000, 16)))]
+
+    def links(table):
+        found = binary_codes.near_duplicates(spark.createDataFrame(table, KIND), stage).collect()
+        return {r.vec_id: (r.n_links, r.component_id) for r in found if r.vec_id < 2_000}
+
+    alone = links(rows)
+    assert links(rows + crowd) == alone
+    assert sum(n for n, _ in alone.values()) >= 0.997 * 2_000
+
+
 def test_group_larger_than_a_tile(spark, stage, monkeypatch):
     monkeypatch.setattr(binary_codes, "TILE", 8)
     draw = np.random.default_rng(2)
