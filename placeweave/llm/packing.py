@@ -1,7 +1,8 @@
 """Best-fit packing of token pieces into sequences, certified by lower bounds.
 
 Each partition packs its pieces best-fit decreasing and bounds its number of sequences from below
-by dual feasible functions. Where both numbers agree the partition is done, but for its least filled
+by dual feasible functions. Where they differ, the pieces of its least filled quarter are packed again
+in other orders, until a round gains nothing. Where both numbers agree the partition is done, but for its least filled
 sequence, as the sum of the bounds is more than the bound of all. Where they do not, its
 well-filled sequences stay, and the pieces of the least filled quarter are exchanged among fewer
 partitions and packed again, until a round in one partition, or one that brings nothing. Only
@@ -24,16 +25,20 @@ from placeweave.staging import Stage
 # Pieces that one task packs; 16 bytes each.
 PIECES_PER_TASK = 200_000
 ROUNDS = 8
+# Other orders that a round of one partition tries.
+ORDERS = 8
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 class Packed(NamedTuple):
     """`pieces`: row, doc_id, piece, start, length, ids (little-endian unsigned 32-bit numbers).
-    `places`: row, sequence_id, offset."""
+    `places`: row, sequence_id, offset. `certified`: whether no packing has fewer sequences, as far
+    as the lower bound tells."""
 
     pieces: DataFrame
     places: DataFrame
+    certified: bool
 
 
 def pack_documents(
@@ -68,7 +73,16 @@ def pack_documents(
     path = stage.path("pieces")
     pieces.write.option("compression", "zstd").parquet(path)
     pieces = stage.spark.read.schema(pieces.schema).parquet(path)
-    return Packed(pieces, pack(pieces.select("row", "length"), stage, capacity))
+    places = pack(pieces.select("row", "length"), stage, capacity)
+    return Packed(pieces, places, is_certified(pieces, places, capacity))
+
+
+def is_certified(pieces: DataFrame, places: DataFrame, capacity: int) -> bool:
+    """Whether `places` has as few sequences as the lower bound of all `pieces`."""
+    number = np.zeros(capacity + 1, np.int64)
+    for length, count in pieces.groupBy("length").count().collect():
+        number[length] = count
+    return places.filter("offset = 0").count() == bound_of_counts(number)
 
 
 def pack(pieces: DataFrame, stage: Stage, capacity: int) -> DataFrame:
@@ -112,7 +126,9 @@ def _packed(pieces: DataFrame, parts: int, turn: int, capacity: int) -> DataFram
         order = np.lexsort((rows, -lengths))
         rows, lengths = rows[order], lengths[order]
         bins, offsets, used = best_fit_decreasing(lengths, capacity)
-        certified = len(used) == lower_bound(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
+        bins, offsets, used = repacked(lengths, bins, offsets, used, capacity, bound)
+        certified = len(used) == bound
         least_filled = np.argsort(used, kind="stable")
         settled = np.ones(len(used), bool)
         settled[least_filled[: 1 if certified else -(-len(used) // 4)]] = False
@@ -132,7 +148,7 @@ def _packed(pieces: DataFrame, parts: int, turn: int, capacity: int) -> DataFram
 def best_fit_decreasing(
     lengths: np.ndarray, capacity: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bin and offset of each of the descending `lengths`, and what each bin holds."""
+    """The bin and offset of each of the `lengths`, in their order, and what each bin holds."""
     open_by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms = 0  # bit r is set if a bin has room r
     used: list[int] = []
@@ -156,13 +172,50 @@ def best_fit_decreasing(
     return bins, offsets, np.array(used, np.int64)
 
 
+def repacked(
+    lengths: np.ndarray,
+    bins: np.ndarray,
+    offsets: np.ndarray,
+    used: np.ndarray,
+    capacity: int,
+    bound: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The packing after rounds that pack the least filled quarter of the bins, and some that are
+    drawn, best-fit in other orders; the last one reaches the bound or gains nothing."""
+    draw = np.random.default_rng(len(lengths))
+    gained = True
+    while gained and len(used) > bound:
+        gained = False
+        for _ in range(ORDERS):
+            again = draw.random(len(used)) < 0.1
+            again[np.argsort(used, kind="stable")[: -(-len(used) // 4)]] = True
+            again &= used < capacity
+            loose = np.flatnonzero(again[bins])
+            loose = loose[np.argsort(-lengths[loose] * draw.uniform(0.7, 1, len(loose)))]
+            packed, places, filled = best_fit_decreasing(lengths[loose], capacity)
+            if len(filled) >= again.sum():
+                continue
+            number = np.cumsum(~again) - 1
+            bins = number[bins]
+            bins[loose], offsets[loose] = packed + (~again).sum(), places
+            used = np.append(used[~again], filled)
+            gained = True
+            if len(used) <= bound:
+                break
+    return bins, offsets, used
+
+
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64))
+
+
+def bound_of_counts(number: np.ndarray) -> int:
     """No packing has fewer bins: the best of two families of dual feasible functions.
 
     The first drops lengths below a limit and rounds those above capacity minus limit up to
     capacity; the second rounds multiples of capacity / (k + 1) down, as fractions of k.
     """
-    number = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    capacity = len(number) - 1
     x = np.arange(capacity + 1, dtype=np.int64)
     above = np.cumsum(number[::-1])[::-1]
     weight = np.append(0, np.cumsum(number * x))

@@ -342,6 +342,21 @@ def test_partitions_with_gaps_pack_again(spark, stage, monkeypatch):
     assert check_packing(found, 1_000) <= 1.02 * bound
 
 
+def test_one_partition_packs_again_up_to_the_bound(spark, stage):
+    draw = random.Random(5)
+    lengths = [draw.randint(10, 50) for _ in range(40)]
+    ordered = np.array(sorted(lengths, reverse=True))
+    bound = packing.lower_bound(ordered, 100)
+    assert len(packing.best_fit_decreasing(ordered, 100)[2]) > bound
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "row long, length long")
+    places = packing.pack(pieces, stage, 100)
+    found = places.join(pieces, "row").collect()
+    assert sorted(r.row for r in found) == list(range(40))
+    assert check_packing(found, 100) == bound and packing.is_certified(pieces, places, 100)
+    alone = spark.createDataFrame([(k, k, 0) for k in range(40)], places.schema)
+    assert not packing.is_certified(pieces, alone, 100)
+
+
 def test_packing_of_odd_rows(spark, stage):
     docs = documents(spark, [(None, None, 1), (1, "", 1), (1, "", 1), (2, "a b " * 5_000, 1)], ", row int")
     packed = packing.pack_documents(docs, stage, WORDS, 64)
