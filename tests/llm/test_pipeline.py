@@ -2,11 +2,12 @@
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from placeweave.llm import line_rules
+from placeweave.llm import line_rules, toxicity
 from tests.llm.test_documents import check_packing, classes_by_brute_force
 
 FOLDER = "/root/testdata/sf0.001"
@@ -47,3 +48,19 @@ def test_stages(spark, tmp_path):
     assert {(r.doc_id, r.piece, r.length) for r in run.collect()} == {
         (r.doc_id, r.piece, r.length) for r in kept[3]
     }
+
+
+def test_toxicity_stage_on_held_out_labels(spark, tmp_path):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    corpus_pipeline.quality_rules(spark, docs, folder).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter(toxicity.held_out(F.col("doc_id")))
+    held = labels.join(docs.select("doc_id"), "doc_id").collect()
+    clean = {r.doc_id for r in held if r.toxic == 0}
+    toxic = {r.doc_id for r in held if r.toxic == 1}
+    # Of 83 toxic rows 67 went when this was written; the model misses the others.
+    assert len(clean) >= 100 and len(toxic) >= 20
+    assert len(clean - kept) <= 0.02 * len(clean)
+    assert len(toxic & kept) <= 0.25 * len(toxic)
