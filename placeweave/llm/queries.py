@@ -11,10 +11,14 @@ from placeweave.llm import (
     binary_codes,
     byte_bpe,
     chosen_path,
+    chunk_terms,
+    contamination,
     edit_counts,
     histogram_sort,
     line_rules,
+    oracles,
     packing,
+    posting_lists,
     quotations,
     toxicity,
 )
@@ -169,6 +173,23 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(docs, Stage(spark), width=2, percent=80)
 
 
+def op11_prefix_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "benchmark")
+    return contamination.contaminated(_documents(spark, sf_dir), items, Stage(spark))
+
+
+def op12_chunk_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("lang", "source", "text")
+    return chunk_terms.source_divergence(docs, Stage(spark))
+
+
+def op13_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = Stage(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    entries = posting_lists.failing_ids(docs, _table(spark, sf_dir, "labels"), stage)
+    return posting_lists.audit(entries, stage, list(posting_lists.FILTERS), ["good", "toxic"])
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_histogram_sort": op1_histogram_sort,
@@ -181,8 +202,11 @@ def queries() -> dict[str, Query]:
         "op8_binary_codes": op8_binary_codes,
         "op9_edit_counts": op9_edit_counts,
         "op10_chosen_path": op10_chosen_path,
+        "op11_prefix_set_join": op11_prefix_set_join,
+        "op12_chunk_factorization": op12_chunk_factorization,
+        "op13_posting_lists": op13_posting_lists,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
