@@ -6,21 +6,27 @@ group, each globally distinct chunk is cut into terms once, and the terms are jo
 counts. What groups share is then compared in whole numbers.
 """
 
+import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeweave.llm.columns import hot_rows, lower_ascii
+from placeweave.llm.columns import hot_rows
 from placeweave.llm.rows import slices
 from placeweave.operators.skew import hot_from_counts, salted_join
 from placeweave.staging import Stage
 
-# A term: letters, and all that is not ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# A term: letters, and all that is not ASCII; A-Z are in lower case by then.
+TERM = re.compile(rb"[^\x00-\x60\x7B-\x7F]+")
+_LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 # A language keeps the terms of so many documents. The smallest and the largest document of a chunk
 # tell all of its documents if these are two, so this is three at most.
 LEAST_DOCUMENTS = 3
@@ -30,60 +36,79 @@ UNIT = 1_000_000_000
 _SMALL_COUNT = 9_000_000_000
 # Terms of a group in the report.
 TOP_TERMS = 200
-# Chunks of a task that are counted before they are given out.
-CHUNKS_TOGETHER = 400_000
+# Bytes of text whose chunks are counted together, and terms that are summed together.
+TEXT_TOGETHER = 32_000_000
+TERMS_TOGETHER = 400_000
 
 _GROUP = ["lang", "source"]
-_COUNTS = "lang string, source string, chunk string, docs long, n long, low long, high long"
+_CHUNKS = "lang string, source string, chunk string, docs long, n long, low long, high long"
+_TERMS = "lang string, source string, term string, n long, enough boolean, rare array<long>"
 
 
 # -- counting chunks -------------------------------------------------------------------------
 
 
-def _given_out(found: dict) -> Iterator[pa.RecordBatch]:
-    names = [field.split()[0] for field in _COUNTS.split(", ")]
-    for (lang, source), chunks in found.items():
-        docs, n, low, high = zip(*chunks.values())
-        size = len(chunks)
-        columns = [
-            pa.array([lang] * size, pa.string()),
-            pa.array([source] * size, pa.string()),
-            pa.array(chunks.keys(), pa.binary()).cast(pa.string()),
-            *(pa.array(x, pa.int64()) for x in (docs, n, low, high)),
-        ]
-        yield from slices([pa.RecordBatch.from_arrays(columns, names)])
+def _batches(columns: list[pa.Array], schema: str) -> Iterator[pa.RecordBatch]:
+    names = [field.split()[0] for field in schema.split(", ")]
+    yield from slices([pa.RecordBatch.from_arrays(columns, names)])
+
+
+def _count(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Per group and chunk of some rows the documents, the occurrences, the first and last document."""
+    keys = pc.binary_join_element_wise(rows["lang"], rows["source"], "\x1f").combine_chunks()
+    groups = keys.dictionary_encode().indices.to_numpy()
+    order = np.lexsort((rows["id"].to_numpy(), groups))
+    rows, groups = rows.take(pa.array(order)), groups[order]
+    ids = rows["id"].to_numpy()
+    cut = pc.ascii_split_whitespace(rows["text"].combine_chunks())
+    flat = cut.flatten().dictionary_encode()
+    codes = flat.indices.to_numpy().astype(np.int64)
+    place = np.repeat(np.arange(len(ids)), cut.value_lengths().to_numpy())
+    filled = pc.binary_length(flat.dictionary).to_numpy() > 0
+    met = np.sort((codes * len(ids) + place)[filled[codes]])
+    if not len(met):
+        return
+    firsts = np.flatnonzero(np.diff(met, prepend=-1))  # of a chunk in a document
+    n = np.diff(np.append(firsts, len(met)))
+    code, place = np.divmod(met[firsts], len(ids))
+    group = groups[place]
+    starts = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+    docs = np.diff(np.append(starts, len(code)))
+    by_group = np.argsort(group[starts], kind="stable")
+    first, last = place[starts], place[starts + docs - 1]
+    yield from _batches(
+        [
+            *(rows[c].combine_chunks().take(pa.array(first[by_group])) for c in _GROUP),
+            flat.dictionary.take(pa.array(code[starts][by_group])),
+            *(
+                pa.array(x[by_group].astype(np.int64))
+                for x in (docs, np.add.reduceat(n, starts), ids[first], ids[last])
+            ),
+        ],
+        _CHUNKS,
+    )
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per group and chunk the documents, the occurrences, and the first and last document."""
-    found: dict[tuple, dict] = {}
-    size = 0
+def _count_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    together, size = [], 0
     for batch in batches:
-        groups = zip(*(batch.column(c).to_pylist() for c in ("id", "lang", "source")))
-        for (row, lang, source), text in zip(groups, batch.column("text").cast(pa.binary())):
-            chunks = found.setdefault((lang, source), {})
-            size -= len(chunks)
-            for chunk, n in Counter((text.as_py() or b"").split()).items():
-                seen = chunks.get(chunk)
-                if seen is None:
-                    chunks[chunk] = [1, n, row, row]
-                else:
-                    seen[0] += 1
-                    seen[1] += n
-                    seen[3] = row
-            size += len(chunks)
-            if size >= CHUNKS_TOGETHER:
-                yield from _given_out({g: c for g, c in found.items() if c})
-                found, size = {}, 0
-    yield from _given_out({g: c for g, c in found.items() if c})
+        start = 0
+        for row, length in enumerate(pc.binary_length(batch.column("text")).to_pylist(), 1):
+            size += length
+            if size >= TEXT_TOGETHER:
+                yield from _count(pa.Table.from_batches([*together, batch.slice(start, row - start)]))
+                together, size, start = [], 0, row
+        together.append(batch.slice(start))
+    if together:
+        yield from _count(pa.Table.from_batches(together))
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, chunk, docs, n, low, high) of `docs` (lang, source, text), in partitions by
+    """(chunk, lang, source, docs, n, low, high) of `docs` (lang, source, text), in partitions by
     chunk: how many documents of the group have the chunk and how often, and the smallest and
     largest of them by a number that each row gets."""
     numbered = docs.select(F.monotonically_increasing_id().alias("id"), *_GROUP, "text")
-    counted = numbered.mapInArrow(_count, _COUNTS).repartition("chunk")
+    counted = numbered.mapInArrow(_count_together, _CHUNKS).repartition("chunk")
     return counted.groupBy("chunk", *_GROUP).agg(
         F.sum("docs").alias("docs"),
         F.sum("n").alias("n"),
@@ -92,11 +117,66 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def terms_of_chunks(chunks: DataFrame) -> DataFrame:
-    """(chunk, term) for each occurrence of a term in a distinct chunk."""
-    found = F.regexp_extract_all(lower_ascii(F.col("chunk")), F.lit(TERM), F.lit(0))
-    terms = chunks.select("chunk").distinct().select("chunk", F.explode_outer(found).alias("term"))
-    return terms.filter("term IS NOT NULL")
+# -- terms of chunks -------------------------------------------------------------------------
+
+
+def _given_out(found: dict[tuple, list]) -> Iterator[pa.RecordBatch]:
+    if found:
+        lang, source, term = zip(*found)
+        n, enough, rare = zip(*found.values())
+        columns = [
+            pa.array(lang, pa.string()),
+            pa.array(source, pa.string()),
+            pa.array(term, pa.binary()).cast(pa.string()),
+            pa.array(n, pa.int64()),
+            pa.array(enough, pa.bool_()),
+            pa.array(rare, pa.list_(pa.int64())),
+        ]
+        yield from _batches(columns, _TERMS)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    columns = ["chunk", *_GROUP, "docs", "n", "low", "high"]
+    for batch in batches:
+        chunks = batch.column("chunk").cast(pa.binary()).to_pylist()
+        yield from zip(chunks, *(batch.column(c).to_pylist() for c in columns[1:]))
+
+
+def _join_terms(least: int):
+    """Sums per group and term from rows that are sorted by chunk; each chunk is cut once.
+
+    `enough` says that a chunk with the term has `least` documents in the language. Otherwise `rare`
+    holds the documents of the group that have it, or `least` of them, which is enough.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list] = {}
+        for chunk, rows in groupby(_rows(batches), lambda row: row[0]):
+            terms = Counter(TERM.findall(chunk.translate(_LOWER)))
+            if not terms:
+                continue
+            rows = list(rows)  # one for each group
+            documents: Counter = Counter()
+            for _, lang, _, docs, *_ in rows:
+                documents[lang] += docs
+            for _, lang, source, _, n, low, high in rows:
+                enough = documents[lang] >= least
+                for term, times in terms.items():
+                    key = (lang, source, term)
+                    entry = found.get(key)
+                    if entry is None:
+                        entry = found[key] = [0, False, ()]
+                    entry[0] += n * times
+                    if enough:
+                        entry[1], entry[2] = True, ()
+                    elif not entry[1] and len(entry[2]) < least:
+                        entry[2] = tuple({*entry[2], low, high})
+            if len(found) >= TERMS_TOGETHER:
+                yield from _given_out(found)
+                found = {}
+        yield from _given_out(found)
+
+    return run
 
 
 def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -104,34 +184,27 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 
     n are the occurrences in the group, lang_n in the language; `first` marks one row per language
     and term. Whether a term has enough documents follows exactly from its chunks: one of them has
-    enough, or all have so few that their documents are known and can be counted.
+    enough, or all have so few that their documents are known and can be counted. What a term sums
+    up in a task is combined there, so a term of very many chunks makes few rows.
     """
     if not 1 <= least <= 3:
         raise ValueError("the documents of a term are known up to three")
-    counts = chunk_counts(docs)
-    in_lang = Window.partitionBy("chunk", "lang")
-    counts = counts.withColumn("most", F.sum("docs").over(in_lang))
-    cut = counts.join(terms_of_chunks(counts), "chunk")
-    # The documents of a rare chunk, each a row; the occurrences go with the first.
-    rare = F.when(F.col("most") < least, F.array_distinct(F.array("low", "high")))
-    known = cut.select(*_GROUP, "term", "most", "n", F.posexplode_outer(rare).alias("at", "doc"))
-    n = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n")).otherwise(0)
-    per_group = known.groupBy("lang", "term", "source").agg(
-        F.sum(n).alias("n"), F.max("most").alias("most"), F.count_distinct("doc").alias("rare")
+    counts = chunk_counts(docs).sortWithinPartitions("chunk")
+    cut = counts.mapInArrow(_join_terms(least), _TERMS).repartition("lang", "term")
+    # A task gives out `least` + 1 documents of a term at most.
+    known = F.size(F.array_distinct(F.flatten(F.collect_list("rare"))))
+    per_group = cut.groupBy("lang", "term", "source").agg(
+        F.sum("n").alias("n"), F.max("enough").alias("enough"), known.alias("rare")
     )
     of_term = Window.partitionBy("lang", "term")
-    enough = (F.max("most").over(of_term) >= least) | (F.sum("rare").over(of_term) >= least)
-    return (
-        per_group.withColumns(
-            {
-                "lang_n": F.sum("n").over(of_term),
-                "first": F.row_number().over(of_term.orderBy("source")) == 1,
-                "_enough": enough,
-            }
-        )
-        .filter("_enough")
-        .select(*_GROUP, "term", "n", "lang_n", "first")
+    per_group = per_group.withColumns(
+        {
+            "lang_n": F.sum("n").over(of_term),
+            "first": F.row_number().over(of_term.orderBy("source")) == 1,
+            "_enough": F.max("enough").over(of_term) | (F.sum("rare").over(of_term) >= least),
+        }
     )
+    return per_group.filter("_enough").select(*_GROUP, "term", "n", "lang_n", "first")
 
 
 # -- comparing groups ------------------------------------------------------------------------
