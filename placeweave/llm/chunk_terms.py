@@ -6,12 +6,8 @@ group, each globally distinct chunk is cut into terms once, and the terms are jo
 counts. What groups share is then compared in whole numbers.
 """
 
-import re
-import string
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +20,8 @@ from placeweave.llm.rows import slices
 from placeweave.operators.skew import hot_from_counts, salted_join
 from placeweave.staging import Stage
 
-# A term: letters, and all that is not ASCII; A-Z are in lower case by then.
-TERM = re.compile(rb"[^\x00-\x60\x7B-\x7F]+")
-_LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
+# What parts terms, A-Z being in lower case: ASCII but for a-z.
+GAPS = r"[\x00-\x60\x7B-\x7F]+"
 # A language keeps the terms of so many documents. The smallest and the largest document of a chunk
 # tell all of its documents if these are two, so this is three at most.
 LEAST_DOCUMENTS = 3
@@ -36,54 +31,86 @@ UNIT = 1_000_000_000
 _SMALL_COUNT = 9_000_000_000
 # Terms of a group in the report.
 TOP_TERMS = 200
-# Bytes of text whose chunks are counted together, and terms that are summed together.
-TEXT_TOGETHER = 32_000_000
-TERMS_TOGETHER = 400_000
+# Bytes of text whose chunks are counted together, and counts that are summed together.
+TEXT_TOGETHER = 16_000_000
+COUNTS_TOGETHER = 400_000
 
 _GROUP = ["lang", "source"]
-_CHUNKS = "lang string, source string, chunk string, docs long, n long, low long, high long"
-_TERMS = "lang string, source string, term string, n long, enough boolean, rare array<long>"
+# A source is a hash of 64 bits until the report; `_groups` makes sure that no two are equal.
+_CHUNKS = (
+    "chunk string, lang string, sources array<long>, docs array<int>, n array<int>, "
+    "low array<long>, span array<int>"
+)
+_TERMS = "term string, lang string, sources array<long>, n array<long>, enough boolean, rare array<long>"
+_KEPT = "term string, lang string, hash long, n long, lang_n long, first boolean"
 
 
-# -- counting chunks -------------------------------------------------------------------------
-
-
-def _batches(columns: list[pa.Array], schema: str) -> Iterator[pa.RecordBatch]:
+def _given_out(columns: list[pa.Array], schema: str) -> Iterator[pa.RecordBatch]:
     names = [field.split()[0] for field in schema.split(", ")]
     yield from slices([pa.RecordBatch.from_arrays(columns, names)])
 
 
+def _lists(starts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    offsets = pa.array(np.append(starts, len(values)), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(values.astype(kind.to_pandas_dtype())))
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it; the first does."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    differs = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
+    return np.append(0, np.flatnonzero(differs) + 1)
+
+
+# -- counting chunks -------------------------------------------------------------------------
+
+
 def _count(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Per group and chunk of some rows the documents, the occurrences, the first and last document."""
-    keys = pc.binary_join_element_wise(rows["lang"], rows["source"], "\x1f").combine_chunks()
-    groups = keys.dictionary_encode().indices.to_numpy()
-    order = np.lexsort((rows["id"].to_numpy(), groups))
-    rows, groups = rows.take(pa.array(order)), groups[order]
-    ids = rows["id"].to_numpy()
+    """Per chunk and language of some rows, for each source, the documents, the occurrences, and the
+    first and the last document."""
+    langs = rows["lang"].combine_chunks().dictionary_encode()
+    order = np.lexsort([rows["id"].to_numpy(), rows["hash"].to_numpy(), langs.indices.to_numpy()])
+    ids, hashes = rows["id"].to_numpy()[order], rows["hash"].to_numpy()[order]
+    lang = langs.indices.to_numpy()[order]
+    group = np.zeros(len(ids), np.int32)
+    group[_changes(lang, hashes)[1:]] = 1
+    group = np.cumsum(group)
+
     cut = pc.ascii_split_whitespace(rows["text"].combine_chunks())
-    flat = cut.flatten().dictionary_encode()
-    codes = flat.indices.to_numpy().astype(np.int64)
-    place = np.repeat(np.arange(len(ids)), cut.value_lengths().to_numpy())
-    filled = pc.binary_length(flat.dictionary).to_numpy() > 0
-    met = np.sort((codes * len(ids) + place)[filled[codes]])
-    if not len(met):
-        return
-    firsts = np.flatnonzero(np.diff(met, prepend=-1))  # of a chunk in a document
+    chunks = cut.flatten().dictionary_encode()
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    met = chunks.indices.to_numpy() * np.int64(len(ids))
+    met += np.repeat(place, cut.value_lengths().to_numpy())
+    del cut
+    empty = pc.index(chunks.dictionary, "").as_py()
+    if empty >= 0:
+        met = met[met // len(ids) != empty]
+    met.sort()
+    firsts = _changes(met)  # of a chunk in a document
     n = np.diff(np.append(firsts, len(met)))
     code, place = np.divmod(met[firsts], len(ids))
-    group = groups[place]
-    starts = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+    del met
+    starts = _changes(code, group[place])  # of a chunk in a group
+    if not len(starts):
+        return
     docs = np.diff(np.append(starts, len(code)))
-    by_group = np.argsort(group[starts], kind="stable")
     first, last = place[starts], place[starts + docs - 1]
-    yield from _batches(
+    code = code[starts]
+    outer = _changes(code, lang[first])
+    lists = [
+        (hashes[first], pa.int64()),
+        (docs, pa.int32()),
+        (np.add.reduceat(n, starts), pa.int32()),
+        (ids[first], pa.int64()),
+        (ids[last] - ids[first], pa.int32()),
+    ]
+    yield from _given_out(
         [
-            *(rows[c].combine_chunks().take(pa.array(first[by_group])) for c in _GROUP),
-            flat.dictionary.take(pa.array(code[starts][by_group])),
-            *(
-                pa.array(x[by_group].astype(np.int64))
-                for x in (docs, np.add.reduceat(n, starts), ids[first], ids[last])
-            ),
+            chunks.dictionary.take(pa.array(code[outer])),
+            langs.dictionary.take(pa.array(lang[first[outer]])),
+            *(_lists(outer, values, kind) for values, kind in lists),
         ],
         _CHUNKS,
     )
@@ -104,107 +131,192 @@ def _count_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
-    """(chunk, lang, source, docs, n, low, high) of `docs` (lang, source, text), in partitions by
-    chunk: how many documents of the group have the chunk and how often, and the smallest and
-    largest of them by a number that each row gets."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("id"), *_GROUP, "text")
-    counted = numbered.mapInArrow(_count_together, _CHUNKS).repartition("chunk")
-    return counted.groupBy("chunk", *_GROUP).agg(
-        F.sum("docs").alias("docs"),
-        F.sum("n").alias("n"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-    )
+    """(chunk, lang, sources, docs, n, low, span) of `docs` (lang, source, text): in how many
+    documents of each source some of the rows have a chunk and how often, and the smallest of these
+    documents, by a number that each row gets, and how far from it the largest is."""
+    number, source = F.monotonically_increasing_id().alias("id"), F.xxhash64("source").alias("hash")
+    return docs.select(number, "lang", source, "text").mapInArrow(_count_together, _CHUNKS)
 
 
 # -- terms of chunks -------------------------------------------------------------------------
 
 
-def _given_out(found: dict[tuple, list]) -> Iterator[pa.RecordBatch]:
-    if found:
-        lang, source, term = zip(*found)
-        n, enough, rare = zip(*found.values())
-        columns = [
-            pa.array(lang, pa.string()),
-            pa.array(source, pa.string()),
-            pa.array(term, pa.binary()).cast(pa.string()),
-            pa.array(n, pa.int64()),
-            pa.array(enough, pa.bool_()),
-            pa.array(rare, pa.list_(pa.int64())),
-        ]
-        yield from _batches(columns, _TERMS)
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    columns = ["chunk", *_GROUP, "docs", "n", "low", "high"]
+def _in_groups(
+    batches: Iterator[pa.RecordBatch], keys: list[str]
+) -> Iterator[pa.Table]:
+    """The sorted rows in tables of about COUNTS_TOGETHER counts that part no equal keys."""
+    rest: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        chunks = batch.column("chunk").cast(pa.binary()).to_pylist()
-        yield from zip(chunks, *(batch.column(c).to_pylist() for c in columns[1:]))
+        rest.append(batch)
+        size += len(batch.column("sources").flatten())
+        if size < COUNTS_TOGETHER:
+            continue
+        table = pa.Table.from_batches(rest).combine_chunks()
+        codes = [table[k].chunk(0).dictionary_encode().indices.to_numpy() for k in keys]
+        last = int(_changes(*codes)[-1])
+        if last:
+            yield table.slice(0, last).combine_chunks()
+            rest = table.slice(last).to_batches()
+            size = sum(len(b.column("sources").flatten()) for b in rest)
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(lengths.sum()) + np.repeat(starts - (ends - lengths), lengths)
+
+
+class _Sums:
+    """Counts summed per term and language (`pair`, a number) and source.
+
+    `pairs` are the different pairs in order, `starts` where the sources of each begin in `sources`
+    and `n`; a pair has `enough` documents if any of its rows has, else `rare` are the different
+    documents of its rows, of which those of pair k begin at `rare_starts[k]`.
+    """
+
+    def __init__(self, pair, source, n, enough, rare_pair, rare):
+        order = np.lexsort([source, pair])
+        pair, source = pair[order], source[order]
+        cells = _changes(pair, source)
+        self.n = np.add.reduceat(n[order], cells)
+        self.sources = source[cells]
+        self.starts = _changes(pair[cells])
+        self.pairs = pair[cells][self.starts]
+        self.enough = np.logical_or.reduceat(enough[order], _changes(pair))
+        order = np.lexsort([rare, rare_pair])
+        rare_pair, rare = rare_pair[order], rare[order]
+        kept = _changes(rare_pair, rare)
+        rare_pair, self.rare = rare_pair[kept], rare[kept]
+        self.rare_starts = np.searchsorted(rare_pair, self.pairs)
+        self.rare_counts = np.searchsorted(rare_pair, self.pairs, "right") - self.rare_starts
 
 
 def _join_terms(least: int):
-    """Sums per group and term from rows that are sorted by chunk; each chunk is cut once.
+    """Sums per term from rows sorted by chunk: each chunk is cut once, its terms get its counts.
 
     `enough` says that a chunk with the term has `least` documents in the language. Otherwise `rare`
-    holds the documents of the group that have it, or `least` of them, which is enough.
+    holds the documents that have it, or `least` of them, which is enough.
     """
 
+    def sums(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = {c: rows[c].chunk(0) for c in rows.column_names}
+        chunks, langs = rows["chunk"].dictionary_encode(), rows["lang"].dictionary_encode()
+        chunk, lang = chunks.indices.to_numpy().astype(np.int64), langs.indices.to_numpy()
+        cut = pc.split_pattern_regex(pc.ascii_lower(chunks.dictionary), GAPS)
+        terms = cut.flatten().dictionary_encode()
+        term, held = terms.indices.to_numpy(), cut.value_lengths().to_numpy()
+        begins = np.cumsum(held) - held
+
+        lengths = rows["sources"].value_lengths().to_numpy()
+        flat = {c: rows[c].flatten().to_numpy() for c in ("sources", "docs", "n", "low", "span")}
+        # Documents of a chunk in a language, over all rows.
+        _, of_row = np.unique(chunk * len(langs.dictionary) + lang, return_inverse=True)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        documents = np.bincount(of_row[row], flat["docs"])[of_row]
+        enough = documents >= least
+
+        # A row for each count of a chunk and each of its terms.
+        times = held[chunk[row]]
+        count = np.repeat(np.arange(len(row)), times)
+        met = term[_spread(begins[chunk[row]], times)].astype(np.int64)
+        filled = (pc.binary_length(terms.dictionary).to_numpy() > 0)[met]
+        count, met = count[filled], met[filled]
+        if not len(met):
+            return
+        pair = met * len(langs.dictionary) + lang[row[count]]
+        seldom = ~enough[row[count]]
+        few, low = pair[seldom], flat["low"][count[seldom]]
+        found = _Sums(
+            pair,
+            flat["sources"][count],
+            flat["n"][count].astype(np.int64),
+            ~seldom,
+            np.concatenate([few, few]),
+            np.concatenate([low, low + flat["span"][count[seldom]]]),
+        )
+        shown = np.where(found.enough, 0, np.minimum(found.rare_counts, least))
+        rare = found.rare[_spread(found.rare_starts, shown)]
+        yield from _given_out(
+            [
+                terms.dictionary.take(pa.array(found.pairs // len(langs.dictionary))),
+                langs.dictionary.take(pa.array(found.pairs % len(langs.dictionary))),
+                _lists(found.starts, found.sources, pa.int64()),
+                _lists(found.starts, found.n, pa.int64()),
+                pa.array(found.enough),
+                _lists(np.cumsum(shown) - shown, rare, pa.int64()),
+            ],
+            _TERMS,
+        )
+
+    return _of_tables(sums, ["chunk"])
+
+
+def _of_tables(compute: Callable[[pa.Table], Iterator[pa.RecordBatch]], keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, list] = {}
-        for chunk, rows in groupby(_rows(batches), lambda row: row[0]):
-            terms = Counter(TERM.findall(chunk.translate(_LOWER)))
-            if not terms:
-                continue
-            rows = list(rows)  # one for each group
-            documents: Counter = Counter()
-            for _, lang, _, docs, *_ in rows:
-                documents[lang] += docs
-            for _, lang, source, _, n, low, high in rows:
-                enough = documents[lang] >= least
-                for term, times in terms.items():
-                    key = (lang, source, term)
-                    entry = found.get(key)
-                    if entry is None:
-                        entry = found[key] = [0, False, ()]
-                    entry[0] += n * times
-                    if enough:
-                        entry[1], entry[2] = True, ()
-                    elif not entry[1] and len(entry[2]) < least:
-                        entry[2] = tuple({*entry[2], low, high})
-            if len(found) >= TERMS_TOGETHER:
-                yield from _given_out(found)
-                found = {}
-        yield from _given_out(found)
+        for table in _in_groups(batches, keys):
+            if table.num_rows:
+                yield from compute(table)
 
     return run
 
 
+def _keep_terms(least: int):
+    """The counts of the terms that have enough documents, from rows sorted by term and language."""
+
+    def kept(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = {c: rows[c].chunk(0) for c in rows.column_names}
+        terms, langs = rows["term"].dictionary_encode(), rows["lang"].dictionary_encode()
+        pair = terms.indices.to_numpy().astype(np.int64) * len(langs.dictionary) + langs.indices.to_numpy()
+        lengths, known = (rows[c].value_lengths().to_numpy() for c in ("sources", "rare"))
+        found = _Sums(
+            np.repeat(pair, lengths),
+            rows["sources"].flatten().to_numpy(),
+            rows["n"].flatten().to_numpy(),
+            np.repeat(rows["enough"].to_numpy(zero_copy_only=False), lengths),
+            np.repeat(pair, known),
+            rows["rare"].flatten().to_numpy(),
+        )
+        stays = found.enough | (found.rare_counts >= least)
+        sizes = np.diff(np.append(found.starts, len(found.n)))
+        shown = np.repeat(stays, sizes)
+        if not shown.any():
+            return
+        first = np.zeros(len(shown), bool)
+        first[found.starts] = True
+        pairs = np.repeat(found.pairs, sizes)[shown]
+        yield from _given_out(
+            [
+                terms.dictionary.take(pa.array(pairs // len(langs.dictionary))),
+                langs.dictionary.take(pa.array(pairs % len(langs.dictionary))),
+                pa.array(found.sources[shown]),
+                pa.array(found.n[shown]),
+                pa.array(np.repeat(np.add.reduceat(found.n, found.starts), sizes)[shown]),
+                pa.array(first[shown]),
+            ],
+            _KEPT,
+        )
+
+    return _of_tables(kept, ["term", "lang"])
+
+
 def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(lang, source, term, n, lang_n, first) of the terms in `least` documents of a language or more.
+    """(term, lang, hash, n, lang_n, first) of the terms in `least` documents of a language or more.
 
-    n are the occurrences in the group, lang_n in the language; `first` marks one row per language
-    and term. Whether a term has enough documents follows exactly from its chunks: one of them has
-    enough, or all have so few that their documents are known and can be counted. What a term sums
-    up in a task is combined there, so a term of very many chunks makes few rows.
+    n are the occurrences in the source with that hash, lang_n in the language; `first` marks one row
+    per language and term. Whether a term has enough documents follows exactly from its chunks: one
+    of them has enough, or all have so few that their documents are known and can be counted. What a
+    term sums up to in a task is combined there, so a chunk or a term that all documents have makes
+    few rows.
     """
     if not 1 <= least <= 3:
         raise ValueError("the documents of a term are known up to three")
-    counts = chunk_counts(docs).sortWithinPartitions("chunk")
-    cut = counts.mapInArrow(_join_terms(least), _TERMS).repartition("lang", "term")
-    # A task gives out `least` + 1 documents of a term at most.
-    known = F.size(F.array_distinct(F.flatten(F.collect_list("rare"))))
-    per_group = cut.groupBy("lang", "term", "source").agg(
-        F.sum("n").alias("n"), F.max("enough").alias("enough"), known.alias("rare")
-    )
-    of_term = Window.partitionBy("lang", "term")
-    per_group = per_group.withColumns(
-        {
-            "lang_n": F.sum("n").over(of_term),
-            "first": F.row_number().over(of_term.orderBy("source")) == 1,
-            "_enough": F.max("enough").over(of_term) | (F.sum("rare").over(of_term) >= least),
-        }
-    )
-    return per_group.filter("_enough").select(*_GROUP, "term", "n", "lang_n", "first")
+    counts = chunk_counts(docs).repartition("chunk").sortWithinPartitions("chunk")
+    sums = counts.mapInArrow(_join_terms(least), _TERMS)
+    sums = sums.repartition("lang", "term").sortWithinPartitions("term", "lang")
+    return sums.mapInArrow(_keep_terms(least), _KEPT)
 
 
 # -- comparing groups ------------------------------------------------------------------------
@@ -234,9 +346,10 @@ def source_divergence(docs: DataFrame, stage: Stage, top: int = TOP_TERMS) -> Da
     docs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in (*_GROUP, "text")])
     kept = stage.keep(kept_terms(docs), "terms")
     groups = _groups(docs, kept, stage)
-    hot = hot_from_counts(groups, _GROUP, "terms", hot_rows(groups.agg(F.sum("terms")).first()[0] or 0))
-    numbers = groups.select(*_GROUP, "total", "size", "lang_total", "none")
-    rows = salted_join(kept, numbers, _GROUP, hot)
+    size = groups.agg(F.sum("terms")).first()[0] or 0
+    hot = hot_from_counts(groups, ["lang", "hash"], "terms", hot_rows(size))
+    numbers = groups.select("lang", "hash", "source", "total", "size", "lang_total", "none")
+    rows = salted_join(kept, numbers, ["lang", "hash"], hot)
     p = probability(F.col("n"), F.col("total"), F.col("size")).alias("p")
     q = probability(F.col("lang_n"), F.col("lang_total"), F.col("size")).alias("q")
     rows = rows.select(*_GROUP, "term", "n", p, q, "none")
@@ -257,20 +370,25 @@ def source_divergence(docs: DataFrame, stage: Stage, top: int = TOP_TERMS) -> Da
 def _groups(docs: DataFrame, kept: DataFrame, stage: Stage) -> DataFrame:
     """Per group the sum of its counts, its terms, those of the language, and the probability of a
     term that it lacks (`none`); null where the language keeps no term."""
-    of_source = kept.groupBy(*_GROUP).agg(
+    of_source = kept.groupBy("lang", "hash").agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms")
     )
     of_lang = kept.groupBy("lang").agg(
         F.sum("n").alias("lang_total"), F.count_if("first").alias("size")
     )
-    groups = docs.select(_GROUP).distinct().join(of_source, _GROUP, "left").join(of_lang, "lang", "left")
+    groups = docs.select(_GROUP).distinct().withColumn("hash", F.xxhash64("source"))
+    groups = groups.join(of_source, ["lang", "hash"], "left").join(of_lang, "lang", "left")
     zero = F.lit(0).cast("long")
     groups = groups.select(
         *_GROUP,
+        "hash",
         *[F.coalesce(c, zero).alias(c) for c in ("total", "terms", "lang_total", "size")],
     )
     none = F.when(F.col("size") > 0, probability(zero, F.col("total"), F.col("size")))
-    return stage.keep(groups.withColumn("none", none), "groups")
+    groups = stage.keep(groups.withColumn("none", none), "groups")
+    if not groups.groupBy("lang", "hash").count().filter("count > 1").isEmpty():
+        raise ValueError("two sources of a language have the same hash")
+    return groups
 
 
 def _pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
