@@ -31,16 +31,15 @@ UNIT = 1_000_000_000
 _SMALL_COUNT = 9_000_000_000
 # Terms of a group in the report.
 TOP_TERMS = 200
-# Bytes of text whose chunks are counted together, and counts that are summed together.
+# Bytes of text whose chunks are counted together, and of counts that are summed together.
 TEXT_TOGETHER = 16_000_000
-COUNTS_TOGETHER = 400_000
+COUNTS_TOGETHER = 16_000_000
 
 _GROUP = ["lang", "source"]
 # A source is a hash of 64 bits until the report; `_groups` makes sure that no two are equal.
-_CHUNKS = (
-    "chunk string, lang string, sources array<long>, docs array<int>, n array<int>, "
-    "low array<long>, span array<int>"
-)
+_CHUNKS = "chunk string, lang string, counts binary"
+# What a chunk's counts hold for each source that has it.
+_COUNT = np.dtype([("source", "<i8"), ("docs", "<i4"), ("n", "<i4"), ("low", "<i8"), ("span", "<i4")])
 _TERMS = "term string, lang string, sources array<long>, n array<long>, enough boolean, rare array<long>"
 _KEPT = "term string, lang string, hash long, n long, lang_n long, first boolean"
 
@@ -99,18 +98,16 @@ def _count(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     first, last = place[starts], place[starts + docs - 1]
     code = code[starts]
     outer = _changes(code, lang[first])
-    lists = [
-        (hashes[first], pa.int64()),
-        (docs, pa.int32()),
-        (np.add.reduceat(n, starts), pa.int32()),
-        (ids[first], pa.int64()),
-        (ids[last] - ids[first], pa.int32()),
-    ]
+    counts = np.empty(len(starts), _COUNT)
+    counts["source"], counts["docs"], counts["n"] = hashes[first], docs, np.add.reduceat(n, starts)
+    counts["low"], counts["span"] = ids[first], ids[last] - ids[first]
+    ends = np.append(outer, len(counts)).astype(np.int32) * np.int32(_COUNT.itemsize)
+    packed = [None, pa.py_buffer(ends), pa.py_buffer(counts)]
     yield from _given_out(
         [
             chunks.dictionary.take(pa.array(code[outer])),
             langs.dictionary.take(pa.array(lang[first[outer]])),
-            *(_lists(outer, values, kind) for values, kind in lists),
+            pa.Array.from_buffers(pa.binary(), len(outer), packed),
         ],
         _CHUNKS,
     )
@@ -131,9 +128,9 @@ def _count_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
-    """(chunk, lang, sources, docs, n, low, span) of `docs` (lang, source, text): in how many
-    documents of each source some of the rows have a chunk and how often, and the smallest of these
-    documents, by a number that each row gets, and how far from it the largest is."""
+    """(chunk, lang, counts) of `docs` (lang, source, text): for each source, in how many documents
+    some of the rows have a chunk and how often, the smallest of these documents, by a number that
+    each row gets, and how far from it the largest is."""
     number, source = F.monotonically_increasing_id().alias("id"), F.xxhash64("source").alias("hash")
     return docs.select(number, "lang", source, "text").mapInArrow(_count_together, _CHUNKS)
 
@@ -141,15 +138,13 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
 # -- terms of chunks -------------------------------------------------------------------------
 
 
-def _in_groups(
-    batches: Iterator[pa.RecordBatch], keys: list[str]
-) -> Iterator[pa.Table]:
-    """The sorted rows in tables of about COUNTS_TOGETHER counts that part no equal keys."""
+def _in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The sorted rows in tables of about COUNTS_TOGETHER bytes that part no equal keys."""
     rest: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         rest.append(batch)
-        size += len(batch.column("sources").flatten())
+        size += batch.nbytes
         if size < COUNTS_TOGETHER:
             continue
         table = pa.Table.from_batches(rest).combine_chunks()
@@ -158,7 +153,7 @@ def _in_groups(
         if last:
             yield table.slice(0, last).combine_chunks()
             rest = table.slice(last).to_batches()
-            size = sum(len(b.column("sources").flatten()) for b in rest)
+            size = sum(b.nbytes for b in rest)
     if rest:
         yield pa.Table.from_batches(rest).combine_chunks()
 
@@ -210,8 +205,8 @@ def _join_terms(least: int):
         term, held = terms.indices.to_numpy(), cut.value_lengths().to_numpy()
         begins = np.cumsum(held) - held
 
-        lengths = rows["sources"].value_lengths().to_numpy()
-        flat = {c: rows[c].flatten().to_numpy() for c in ("sources", "docs", "n", "low", "span")}
+        lengths = pc.binary_length(rows["counts"]).to_numpy() // _COUNT.itemsize
+        flat = np.frombuffer(b"".join(rows["counts"].to_pylist()), _COUNT)
         # Documents of a chunk in a language, over all rows.
         _, of_row = np.unique(chunk * len(langs.dictionary) + lang, return_inverse=True)
         row = np.repeat(np.arange(len(lengths)), lengths)
@@ -231,7 +226,7 @@ def _join_terms(least: int):
         few, low = pair[seldom], flat["low"][count[seldom]]
         found = _Sums(
             pair,
-            flat["sources"][count],
+            flat["source"][count],
             flat["n"][count].astype(np.int64),
             ~seldom,
             np.concatenate([few, few]),
