@@ -1,10 +1,11 @@
 """Token ids of whole texts, with a bounded memory of the words a worker has met."""
 
 import os
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, filterfalse
 
-import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
@@ -12,8 +13,6 @@ from tokenizers import Tokenizer
 REMEMBERED_WORDS = 300_000
 # Longer words are encoded anew each time.
 LONGEST_WORD = 200
-# Words given to the library at a time.
-WORDS_A_CALL = 5_000
 # Texts are encoded together until they have so many characters.
 TOGETHER = 2_000_000
 
@@ -65,64 +64,75 @@ class RememberingEncoder:
         yield from self.encode(together)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable Latin-1 characters for themselves, the other
+    bytes in order for the characters from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(byte if byte in printable else next(others)) for byte in range(256)]
+
+
 class WordEncoder(RememberingEncoder):
     """Ids as little-endian unsigned 32-bit numbers, equal to `Tokenizer.encode` of the text.
 
     For tokenizers whose pre-tokens never reach over a space or line feed and whose normaliser
-    treats the parts between them apart, so that a text's ids are those of its words in a row.
+    treats the parts between them apart, so that a text's ids are those of its words in a row. Words
+    of ASCII and Latin-1 letters go straight to the library's model, a pre-token at a time, if the
+    tokenizer cuts and writes them as PIECES says; all others go through the whole tokenizer.
     """
 
-    # A word of its own, whose id no word without it has.
-    SEPARATOR = "0"
-    # Marks that are a pre-token of their own behind letters. An apostrophe is not.
-    MARKS = (".", ",", "!", "?", ";", ":")
+    # Words without white space, marks that combine, and letters whose lower case is disputed.
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    # The pre-tokens of such a word in lower case.
+    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    SPECIAL = "<|"
+    PROBES = (
+        *map(chr, [*range(0x21, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]),
+        "Word,", "it's", "IT'S", "we'll-they'd", "o'clock", "a1b22", "...!?", "'tis", "l'été", "ÀÉÎßÿ",
+        "don't.", "$$$x###", "(x)", "e-mail@x.org", "'re're", "x'", "'", "STRASSE", "Straße,",
+    )
 
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
         super().__init__(remembered)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        (self.separator,) = self._ids(self.SEPARATOR)
-        self.stems: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {}
+        self.direct = all(self._in_pieces(w) == self._whole(w) for w in self.PROBES)
 
     def split(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _in_pieces(self, word: str) -> bytes:
+        return b"".join(map(self._piece, self.PIECES.findall(word.lower())))
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            letters = piece
+            if not piece.isascii():
+                letters = "".join([self.letters[byte] for byte in piece.encode()])
+            found = array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
+            if len(self.pieces) >= self.remembered:
+                self.pieces.clear()
+            if len(piece) <= LONGEST_WORD:
+                self.pieces[piece] = found
+        return found
 
     def learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """A word of ASCII letters has the ids of its lower case, and a mark after it its own."""
-        stems = {}
         for word in words:
-            stem = word[:-1] if word[-1:] in self.MARKS else word
-            if stem.isascii() and stem.isalpha():
-                stems[word] = stem.lower(), word[len(stem) :]
-        wanted = {part for pair in stems.values() for part in pair}
-        if len(self.stems) + len(wanted) > self.remembered:
-            self.stems = {}
-        self.stems.update(self._together([w for w in wanted if w not in self.stems]))
-        for word, (stem, mark) in stems.items():
-            yield word, self.stems[stem] + self.stems[mark]
-        yield from self._together([w for w in words if w not in stems])
-
-    def _together(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """One call of the library for many words, set apart by the separator's id."""
-        plain = [w for w in words if w and self.SEPARATOR not in w and "<|" not in w]
-        alone = set(words).difference(plain)
-        for first in range(0, len(plain), WORDS_A_CALL):
-            part = plain[first : first + WORDS_A_CALL]
-            joined = np.array(self._ids(f" {self.SEPARATOR} ".join(part)), "<u4")
-            cuts = np.flatnonzero(joined == self.separator)
-            if len(cuts) != len(part) - 1:
-                alone.update(part)
-                continue
-            data = joined.tobytes()
-            starts = (np.append(0, cuts + 1) * 4).tolist()
-            ends = (np.append(cuts, len(joined)) * 4).tolist()
-            for word, start, end in zip(part, starts, ends):
-                yield word, data[start:end]
-        for word in alone:
-            yield word, np.array(self._ids(word), "<u4").tobytes()
+            if not self.direct:
+                yield word, self._whole(word)
+            elif word.isascii() and word.isalpha():
+                yield word, self._piece(word.lower())
+            elif self.PLAIN.fullmatch(word) and self.SPECIAL not in word:
+                yield word, self._in_pieces(word)
+            else:
+                yield word, self._whole(word)
 
 
 _encoders: dict[str, WordEncoder] = {}
