@@ -9,9 +9,14 @@ thread.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeweave.llm.columns import hot_rows
+from placeweave.operators.skew import Hot, hot_from_rows, salted_join
 from placeweave.staging import Stage
 
-_MARKS = r"^[ \t]*((?:>[ \t]?)+)"
+# Possessive, so that a line of very many marks is matched without recursion.
+_MARKS = r"^[ \t]*+((?:>[ \t]?+)++)"
+# What \s matches.
+_SPACE = " \t\n\x0b\x0c\r"
 _MESSAGE = ["conv_id", "turn"]
 
 
@@ -33,7 +38,7 @@ def own_text(text: Column) -> Column:
     """The message without quoted lines and without blank lines at its ends."""
     kept = F.filter(lines(text), lambda line: line["level"] == 0)
     joined = F.array_join(F.transform(kept, lambda line: line["content"]), "\n")
-    return F.regexp_replace(joined, r"\A\s+|\s+\z", "")
+    return F.trim(joined, F.lit(_SPACE))
 
 
 def passage_hash(content: Column) -> Column:
@@ -67,9 +72,10 @@ def link_quotations(messages: DataFrame, stage: Stage) -> DataFrame:
     passages = passages.select(
         *_MESSAGE, "line.level", passage_hash(F.col("line.content")).alias("hash")
     ).filter("hash IS NOT NULL")
-    passages = stage.keep(passages, "passages")
+    passages, seen = stage.keep_measured(passages, "passages", size=F.count(F.lit(1)))
     quoted = passages.filter("level > 0")
-    linked = stage.keep(_sources(quoted, passages.filter("level = 0")), "sources")
+    hot = hot_from_rows(quoted, ["hash"], hot_rows(seen["size"]), seen["size"])
+    linked = stage.keep(_sources(quoted, passages.filter("level = 0"), hot), "sources")
     numbers = quoted.groupBy(*_MESSAGE).agg(F.count(F.lit(1)).alias("n_quoted"))
     found = linked.groupBy(*_MESSAGE).agg(F.count(F.lit(1)).alias("n_linked"))
     threads = _threads(rows, _replies(linked), stage)
@@ -93,15 +99,16 @@ def link_quotations(messages: DataFrame, stage: Stage) -> DataFrame:
     ).orderBy("thread_conv_id", "thread_turn", "depth", "conv_id", "turn")
 
 
-def _sources(quoted: DataFrame, own: DataFrame) -> DataFrame:
+def _sources(quoted: DataFrame, own: DataFrame, hot: Hot) -> DataFrame:
     """The quoted passages whose original is found, with the message that it is in.
 
     Originals are reduced to one message per passage before the join, so a passage that very many
-    messages hold makes one row, and only its quotations are many.
+    messages hold makes one row, and only its quotations are many; those of `hot` ones are split.
     """
     here = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("here"))
     anywhere = own.groupBy("hash").agg(F.min(F.struct(*_MESSAGE)).alias("anywhere"))
-    met = quoted.join(here, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
+    met = quoted.join(here, ["conv_id", "hash"], "left")
+    met = salted_join(met, anywhere, ["hash"], hot, "left")
     inside = F.col("here") < F.col("turn")
     before = F.col("anywhere") < F.struct(*_MESSAGE)
     source = F.when(inside, F.struct(F.col("conv_id"), F.col("here").alias("turn"))).when(

@@ -197,6 +197,36 @@ def test_quotations(spark, stage):
     assert not quotations.link_quotations(spark.createDataFrame([], kind), stage).collect()
 
 
+def test_quotations_of_odd_messages(spark, stage):
+    deep, wide = ">" * 100_000 + " far down", "x" + " " * 200_000 + "y  \n"
+    rows = [
+        (1, 0, "user", "asked", "a"),
+        (1, 1, "user", deep, "a"),
+        (1, 2, "user", wide, None),
+        (1, 3, "user", "> asked\nfirst part", "b"),
+        (1, 3, "user", "second part", "b"),
+        (1, 4, "user", "> second   part\n" + wide, "b"),
+        (1, 5, "user", "> asked\nother branch", "b"),
+    ]
+    kind = "conv_id long, turn long, role string, text string, depth string"
+    found = quotations.link_quotations(spark.createDataFrame(rows, kind), stage).collect()
+    assert len(found) == len(rows)
+    seen = {(r.turn, r.message): r for r in found}
+    assert seen[1, "<|user|>\n"].n_quoted == 1
+    assert seen[2, "<|user|>\n" + wide.strip()].depth == 0
+    # Two rows of one message hold the lines of both.
+    assert {(r.reply_turn, r.depth) for r in found if r.turn == 3} == {(0, 1)}
+    assert seen[4, "<|user|>\n" + wide.strip()].reply_turn == 3
+    assert seen[5, "<|user|>\nother branch"].thread_turn == 0
+
+
+def test_a_passage_that_very_many_quote(spark, stage):
+    rows = [(0, 0, "user", "said once")] + [(k, 1, "user", "> said once\nyes") for k in range(1, 3_000)]
+    kind = "conv_id long, turn long, role string, text string"
+    found = quotations.link_quotations(spark.createDataFrame(rows, kind), stage)
+    assert found.filter("reply_conv_id = 0 AND reply_turn = 0 AND depth = 1").count() == 2_999
+
+
 def test_quotation_query_finds_what_was_quoted(spark):
     turns = spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()
     original = {(t.conv_id, t.turn): t for t in turns}
@@ -451,3 +481,13 @@ def test_sketches_do_not_lose_long_texts(spark, stage):
 
 def test_no_documents(spark, stage):
     assert not chosen_path.near_duplicates(documents(spark, []), stage).collect()
+
+
+def test_a_doc_id_that_repeats_with_other_texts(spark, stage):
+    text = "one two three four five six seven eight nine ten " * 3
+    near = text + "eleven"
+    for other in (None, "", "  ", "quite another text with many words of its own"):
+        rows = [(1, text), (2, near), (1, other), (2, other), (3, "alone in this table of texts")]
+        found = chosen_path.near_duplicates(documents(spark, rows), stage, 2, 80).collect()
+        assert Counter(r.doc_id for r in found) == Counter(k for k, _ in rows)
+        assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (2, 1), (3, 3)}

@@ -148,7 +148,8 @@ def test_files_give_the_ids_back(spark, stage, length):
         sequences = arrow_files.Sequences(file.ids_file)
         count = -(-file.n_ids // length)
         masks = [sequences.sequence(k)[1] for k in range(count)]
-        assert sum(m.sum() for m in masks) == file.n_ids
+        assert sum(m.true_count for m in masks) == file.n_ids
+        assert masks[0].buffers()[1].address == sequences.masks[0].buffers()[1].address
         assert all(len(m) == length for m in masks)
         assert np.shares_memory(sequences.sequence(0)[0], sequences.flat[0])
 
