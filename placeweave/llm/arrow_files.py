@@ -79,7 +79,8 @@ def write(
 def read(files: DataFrame) -> DataFrame:
     """The documents of the files: doc_id, start (ids of all documents before), n_tokens, ids.
 
-    `ids` are little-endian unsigned 32-bit numbers. A file is read by one task, batch by batch.
+    `ids` are little-endian unsigned 32-bit numbers. A file is read by a task of its own, batch by
+    batch.
     """
     # One row per file, of numbers only.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +108,8 @@ def read(files: DataFrame) -> DataFrame:
                             ["doc_id", "start", "n_tokens", "ids"],
                         )
 
-    dealt = placed.repartition("ids_file").select("ids_file", "documents_file", "base")
+    # As many partitions as files: by a key alone, Spark would merge the few bytes of their names.
+    dealt = placed.select("ids_file", "documents_file", "base").repartition(max(1, files.count()))
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
@@ -119,13 +121,14 @@ class Sequences:
             self.batches = list(stream)
         self.length = self.batches[0].column("ids").type.list_size if self.batches else 1
         self.flat = [b.column("ids").flatten().to_numpy() for b in self.batches]
+        self.masks = [b.column("mask").flatten() for b in self.batches]
         self.each = len(self.flat[0]) if self.flat else 1
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence k of the file; the ids are a view of the file."""
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence k of the file, both views of the file."""
         number, at = divmod(k, self.each // self.length)
         ids = self.flat[number][at * self.length : (at + 1) * self.length]
-        return ids, np.array(self.batches[number].column("mask")[at].as_py())
+        return ids, self.masks[number].slice(at * self.length, self.length)
 
     def ids(self, start: int, number: int) -> np.ndarray:
         """Ids from place `start` on; a view of the file unless they reach into another batch."""
