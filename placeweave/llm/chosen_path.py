@@ -119,11 +119,14 @@ def near_duplicates(
     classes = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = usable.select("doc_id", "k1", "k2").distinct().join(classes, ["k1", "k2"])
     members = stage.keep(members.select("doc_id", "rep"), "members")
-    sets = signed.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id")
-    sets = sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "coordinates", "sketch")
+    # One row per class that a doc_id stands for; rows of that doc_id without shingles are no sets.
+    sets = usable.dropDuplicates(["doc_id", "k1", "k2"]).join(classes, ["k1", "k2"])
+    sets = sets.filter("doc_id = rep").select(
+        F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "coordinates", "sketch"
+    )
     sets = stage.keep(sets, "sets")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    texts = texts.filter(F.col("text").isNotNull())
+    texts = texts.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
     roots = stage.keep(_branches_of_roots(sets), "roots")
     links = stage.keep(_confirmed(_stars(roots, sets, percent), texts, width, percent), "links")
