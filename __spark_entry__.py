@@ -16,7 +16,7 @@ from placeweave.functions.text import clean_name, drop_decimal_zero
 from placeweave.operators import dedup, fuzzy, relational
 from placeweave.plans import jobs, products
 from placeweave.schema import KEY_COLUMNS, PLACE_COLUMNS, VERDICT_COLUMNS
-from placeweave.sources import tables
+from placeweave.sources import store, tables
 from placeweave.staging import Stage
 
 try:
@@ -80,6 +80,14 @@ def product(name: str, spark: SparkSession, sf_dir: str, **options) -> DataFrame
     return products.fetch(name, fixtures.quads(spark, sf_dir), Stage(spark), **options)
 
 
+def product_from_store(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product, from a store that is laid out by predicate and subject."""
+    stage = Stage(spark)
+    path = stage.path("store")
+    store.write_store(fixtures.quads(spark, sf_dir), path, buckets=8)
+    return products.fetch(name, store.read_store(spark, path, buckets=8), stage)
+
+
 # -- relational ---------------------------------------------------------------------------
 
 
@@ -152,10 +160,10 @@ def mapping_file(stage: Stage) -> DataFrame:
     return tables.read_mapping(stage.spark, path)
 
 
-def pattern_file(stage: Stage) -> DataFrame:
+def pattern_file(stage: Stage, lines: list[str] = fixtures.LONG_QUARANTINE_TEXT) -> DataFrame:
     """The quarantined texts, with many that no id has, read from a text file."""
     path = stage.path("patterns")
-    _write_text(stage, path, fixtures.LONG_QUARANTINE_TEXT)
+    _write_text(stage, path, lines)
     return tables.read_patterns(stage.spark, path)
 
 
@@ -179,6 +187,14 @@ def remove_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.remove_quarantined(fixtures.places(spark, sf_dir), patterns, "literal")
 
 
+def remove_regex_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with 5,000 regular expressions."""
+    stage = Stage(spark)
+    patterns = pattern_file(stage, fixtures.LONG_QUARANTINE)
+    places = fixtures.places(spark, sf_dir)
+    return relational.remove_quarantined(places, patterns, "regex", stage)
+
+
 def filter_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.filter_type(fixtures.places(spark, sf_dir), fixtures.MAPPING)
 
@@ -321,6 +337,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filter_type_file": filter_type_file,
         "map_type_file": map_type_file,
         "remove_file": remove_file,
+        "remove_regex_file": remove_regex_file,
         "clean_names": partial(clean_names, None),
         "clean_names_null_text": partial(clean_names, "nan"),
         "fix_postcodes": fix_postcodes,
@@ -341,6 +358,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for name in products.PRODUCTS:
         found[f"product_{name}"] = partial(product, name)
+    found["product_jeugdmaps_store"] = partial(product_from_store, "jeugdmaps")
+    found["product_publiq_store"] = partial(product_from_store, "publiq")
     found["product_erfgoed_union"] = partial(product, "erfgoed", union=True)
     if llm is not None:
         found |= llm.queries() | {"pipeline": corpus_pipeline.run}

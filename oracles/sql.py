@@ -222,6 +222,28 @@ def pattern(triples, columns: dict[str, str], graph: str = "default", extra: str
     return f"SELECT {select} FROM {', '.join(tables)} WHERE {' AND '.join(tests)}{extra}"
 
 
+def chain(triples, columns: dict[str, str]) -> str:
+    """As `pattern` in the default graph, one written join after the other, so that the order of the
+    joins is the order of the triples, of which each after the first meets a variable of those before."""
+    bound: dict[str, str] = {}
+    steps = []
+    for i, (s, p, o) in enumerate(triples):
+        tests, new = ["t.g IS NULL", f"t.p = {quoted(p)}"], ["b.*"] if i else []
+        for term, column in ((s, "t.s"), (o, "t.o")):
+            if not term.startswith("?"):
+                tests.append(f"{column} = {quoted(term)}")
+            elif term in bound:
+                tests.append(f"{column} = b.{bound[term]}")
+            else:
+                bound[term] = f"x{len(bound)}"
+                new.append(f"{column} AS {bound[term]}")
+        source = f"step{i - 1} b JOIN quads t ON" if i else "quads t WHERE"
+        select = f"SELECT {', '.join(new)} FROM {source} {' AND '.join(tests)}"
+        steps.append(f"step{i} AS MATERIALIZED ({select})")
+    select = ", ".join(f"{bound.get(v, v)} AS {c}" for c, v in columns.items())
+    return f"WITH {', '.join(steps)} SELECT {select} FROM step{len(triples) - 1}"
+
+
 def record(**bound: str) -> dict[str, str]:
     return {c: bound.get(c, "''") for c in RECORD_COLUMNS}
 
@@ -284,19 +306,19 @@ EVENTS = (
 PRODUCTS = {
     "publiq": EVENTS,
     "jeugdmaps": f"{BUILDING} UNION ALL {OPEN_AIR}",
-    "kiosk": pattern(
+    "kiosk": chain(
         [("?s", V.RDF_TYPE, V.INFRA + "Infrastructuur"),
          ("?s", V.INFRA + "Infrastructuur.locatie", "?a"), *address(SITE_NUMBER),
          ("?s", V.ADMS + "identifier", "?id"), ("?id", V.PLATFORM + "bron", "?bron")],
         record(subject="?s", locationName="CAST(NULL AS VARCHAR)",
                locationType="CAST(NULL AS VARCHAR)", bron="?bron", **STREET, **NUMBER),
     ),
-    "erfgoed": pattern(
+    "erfgoed": chain(
         [*IDENTIFIED, ("?node", NAAM, "?name"), ("?node", TYPE, "?type"),
          ("?node", V.INFRA + "Infrastructuur.locatie", "?a"), *address(SITE_NUMBER)],
         record(**BASICS, **STREET, **NUMBER),
     ),
-    "kampas": pattern(
+    "kampas": chain(
         [*IDENTIFIED, ("?node", V.GEBOUW + "gebouwnaam", "?name"), ("?node", TYPE, "?type"),
          ("?node", V.GEBOUW + "adres", "?a"), *address(SITE_NUMBER)],
         record(**BASICS, **STREET, **NUMBER),
@@ -428,6 +450,8 @@ def oracle_sql() -> dict[str, str]:
     )
     triples = "triples AS MATERIALIZED (SELECT DISTINCT s, p, o FROM quads)"
     found["product_erfgoed_union"] = query(erfgoed, quads_cte(), triples)
+    found["product_jeugdmaps_store"] = found["product_jeugdmaps"]
+    found["product_publiq_store"] = found["product_publiq"]
     found |= {
         "collapse_overrides": query(
             f"SELECT {PLACE_LIST} FROM collapsed", places_cte(), MERGED_CTE,
@@ -441,6 +465,7 @@ def oracle_sql() -> dict[str, str]:
         "filter_type_file": found["filter_type"],
         "map_type_file": found["map_type"],
         "remove_file": found["remove_literal"],
+        "remove_regex_file": found["remove_quarantined"],
         "clean_names_null_text": query(
             "SELECT subject, locationName FROM cleaned", places_cte(),
             "named AS (SELECT * REPLACE (coalesce(locationName, 'nan') AS locationName) FROM places)",

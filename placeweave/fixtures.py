@@ -91,6 +91,7 @@ QUARANTINE_IDS = [f"https://places.example/id/{i:08d}" for i in (3, 16, 45, 190)
 
 # Longer lists than plans hold as literals; nothing in the places meets what is added.
 LONG_MAPPING = {**{f"https://taxonomy.example/none/{i}": "none" for i in range(1_200)}, **MAPPING}
+LONG_QUARANTINE = [*QUARANTINE, *(f"nowhere/{i}[a-c]+(?:/|$)" for i in range(5_000))]
 LONG_QUARANTINE_TEXT = [*QUARANTINE_TEXT, *(f"nowhere/{i}" for i in range(1_200))]
 
 # Added to the position of a place that a CSV source lists again.

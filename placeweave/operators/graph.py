@@ -8,11 +8,12 @@ the nodes that have several.
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.operators.skew import HOT_ROWS, hot_from_counts, salted_join
+from placeweave.operators.skew import HOT_ROWS, Hot, hot_from_counts, salted_join
 from placeweave.staging import Stage
 from placeweave.vocabulary import DEFAULT_GRAPH_CLASSES, NAMED_GRAPH_CLASSES, RDF_TYPE
 
@@ -111,39 +112,91 @@ def star(
     plain = plain.select(*keys, *[nodes.value(p).alias(c) for c, p in values.items()])
     single = [nodes.value(p).alias(c) for c, p in values.items() if c not in spread]
     many = rows.filter(several).select(*keys, *single)
+    # A node's rows after each join are the product of its counts so far.
+    joined: list[str] = []
     for column, iri in spread.items():
-        i = nodes.properties.index(iri)
-        hot = hot_from_counts(nodes.table, keys, f"n{i}", hot_rows) if nodes.most[i] >= hot_rows else {}
+        joined.append(iri)
+        hot = {}
+        if math.prod(nodes.most[nodes.properties.index(p)] for p in joined) >= hot_rows:
+            made = rows.select(*keys, solutions(nodes, joined).alias("_n"))
+            hot = hot_from_counts(made, keys, "_n", hot_rows)
         objects = nodes.triples.filter(F.col("p") == iri).select(*keys, F.col("o").alias(column))
         many = salted_join(objects, many, keys, hot)
     return plain.unionByName(many.select(plain.columns))
 
 
+def solutions(nodes: Nodes, iris: Iterable[str]) -> Column:
+    """A node's number of solutions over some properties, as a double, which no product exceeds."""
+    return reduce(Column.__mul__, [nodes.count(p).cast("double") for p in iris], F.lit(1.0))
+
+
+def weights(
+    nodes: Nodes,
+    own: list[str],
+    followed: dict[str, list[str]],
+    where: Column | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The rows that each node contributes: its solutions over `own`, times, for each link in
+    `followed`, the solutions that all its targets have over their properties (keys, `_weight`)."""
+    rows = nodes.table if where is None else nodes.table.filter(where)
+    for iri in (*own, *followed):
+        rows = rows.filter(nodes.count(iri) > 0)
+    keys = list(nodes.keys)
+    found = rows.select(*keys, solutions(nodes, own).alias("_weight"))
+    for iri, properties in followed.items():
+        target = nodes.table.select(
+            *[F.col(k).alias("_link") if k == "s" else F.col(k) for k in keys],
+            solutions(nodes, properties).alias("_solutions"),
+        )
+        ends = [k if k != "s" else "_link" for k in keys]
+        links = _links(nodes, iri, "_link")
+        hot = hot_targets(nodes, iri, None, hot_rows, "_link")
+        sums = salted_join(links, target.filter("_solutions > 0"), ends, hot)
+        sums = sums.groupBy(*keys).agg(F.sum("_solutions").alias("_sum"))
+        found = found.join(sums, keys).select(*keys, (F.col("_weight") * F.col("_sum")).alias("_weight"))
+    return found
+
+
+def _links(nodes: Nodes, iri: str, link: str) -> DataFrame:
+    return nodes.triples.filter(F.col("p") == iri).select(*nodes.keys, F.col("o").alias(link))
+
+
+def hot_targets(
+    nodes: Nodes, iri: str, weight: DataFrame | None, hot_rows: int, link: str = "link"
+) -> Hot:
+    """The targets of links by `iri` that so many rows reach, counted exactly.
+
+    Each link brings the `weight` of its node, or one row. So there are as many hot targets at most
+    as all rows have `hot_rows`, whatever single nodes are like.
+    """
+    links = _links(nodes, iri, link)
+    rows = F.lit(1)
+    if weight is not None:
+        i = nodes.properties.index(iri)
+        keys = list(nodes.keys)
+        hot = hot_from_counts(nodes.table, keys, f"n{i}", hot_rows) if nodes.most[i] >= hot_rows else {}
+        links, rows = salted_join(links, weight, keys, hot), F.col("_weight")
+    ends = [k if k != "s" else link for k in nodes.keys]
+    return hot_from_counts(links.groupBy(*ends).agg(F.sum(rows).alias("_n")), ends, "_n", hot_rows)
+
+
 def follow(
     rows: DataFrame,
     link: str,
-    iri: str,
     nodes: Nodes,
     values: dict[str, str],
     one_value: tuple[str, ...] = (),
     hot_rows: int = HOT_ROWS,
-    at_most: float = math.inf,
+    hot: Hot | None = None,
 ) -> DataFrame:
-    """Join each row with the star of the node that its column `link` points at by `iri`.
+    """Join each row with the star of the node that its column `link` points at.
 
-    Many rows (of `at_most` so many) may point at one node, so hot targets are salted. They are
-    counted among the links alone, times the rows that a link can have at most; the rows
-    themselves are not worked out for it. The link column is dropped.
+    Many rows may point at one node, so the `hot` targets are salted. The link column is dropped.
     """
     target = star(nodes, values, None, one_value, hot_rows).withColumnRenamed("s", link)
     keys = [k if k != "s" else link for k in nodes.keys]
-    hot = {}
-    if at_most >= hot_rows:
-        links = nodes.triples.filter(F.col("p") == iri).withColumn(link, F.col("o"))
-        rows_per_link = math.ceil(at_most / max(1, nodes.size))
-        counts = links.groupBy(*keys).agg((F.count(F.lit(1)) * rows_per_link).alias("_n"))
-        hot = hot_from_counts(counts, keys, "_n", hot_rows)
-    return salted_join(rows, target, keys, hot).drop(link)
+    return salted_join(rows, target, keys, hot or {}).drop(link)
 
 
 # -- whole-store queries ------------------------------------------------------------------

@@ -3,11 +3,12 @@
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeweave.functions.patterns import required_literals
 from placeweave.functions.text import strip
-from placeweave.operators.skew import HOT_ROWS, hot_from_rows, salted_join
 from placeweave.staging import Stage
 
 # Where a row comes from: the source's place in the merge, then the row's place in the source.
@@ -22,6 +23,8 @@ Patterns = list[str] | DataFrame
 INLINE_ROWS = 1_000
 # Patterns per regular expression, of those that mean the same inside a larger one.
 PATTERNS_PER_FILTER = 200
+# Characters by which ids and long tables of literals meet.
+LITERAL_KEY = 8
 # No groups that could be numbered anew, no classes, quotes or escapes that could reach further.
 _MERGES = re.compile(r"[\w\s:/.,;=&@%~$^*+?-]*")
 
@@ -86,18 +89,18 @@ def is_known_type(types: list[str]) -> Column:
     return F.col("udbLocationType").isin(types) | F.col("udbLocationType").isNull()
 
 
-def filter_type(places: DataFrame, mapping: Mapping, hot_rows: int = HOT_ROWS) -> DataFrame:
+def filter_type(places: DataFrame, mapping: Mapping) -> DataFrame:
     """Keep the rows whose catalogue type is a key of the mapping or absent."""
     places = with_columns(places, ["udbLocationType"])
     mapping = inline_map(mapping)
     if isinstance(mapping, dict):
         return places.filter(is_known_type(list(mapping)))
-    found = _look_up(places, mapping.withColumn("_known", F.lit(True)), hot_rows)
+    found = _look_up(places, mapping.withColumn("_known", F.lit(True)))
     kept = found.filter(F.col("_known") | F.col("udbLocationType").isNull())
     return kept.select(places.columns)
 
 
-def map_type(places: DataFrame, mapping: Mapping, hot_rows: int = HOT_ROWS) -> DataFrame:
+def map_type(places: DataFrame, mapping: Mapping) -> DataFrame:
     """Set the location type to the mapped catalogue type, where there is one.
 
     A mapped type replaces an existing location type; otherwise that type stays.
@@ -105,7 +108,7 @@ def map_type(places: DataFrame, mapping: Mapping, hot_rows: int = HOT_ROWS) -> D
     places = with_columns(places, ["udbLocationType", "locationType"])
     mapping = inline_map(mapping)
     if not isinstance(mapping, dict):
-        found = _look_up(places, mapping, hot_rows)
+        found = _look_up(places, mapping)
         mapped = F.col("value")
     elif mapping:
         found = places
@@ -117,11 +120,13 @@ def map_type(places: DataFrame, mapping: Mapping, hot_rows: int = HOT_ROWS) -> D
     return found.withColumn("locationType", location_type).select(places.columns)
 
 
-def _look_up(places: DataFrame, mapping: DataFrame, hot_rows: int) -> DataFrame:
-    # Few types cover most rows, so the hot ones are salted.
-    table = mapping.withColumnRenamed("key", "udbLocationType")
-    hot = hot_from_rows(places, ["udbLocationType"], hot_rows)
-    return salted_join(places, table, ["udbLocationType"], hot, how="left")
+def _look_up(places: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The rows with their value of the mapping, by a plain join that reads the places once.
+
+    Few types cover most rows. A mapping that Spark can send along needs no shuffle; beyond that
+    size Spark splits the partitions that come out too large, as only the places can be many.
+    """
+    return places.join(mapping.withColumnRenamed("key", "udbLocationType"), "udbLocationType", "left")
 
 
 # -- quarantine ---------------------------------------------------------------------------
@@ -163,50 +168,70 @@ def _any(tests: list[Column]) -> Column:
     return tests[0]
 
 
-def remove_quarantined(places: DataFrame, patterns: Patterns, mode: str = "regex") -> DataFrame:
+def remove_quarantined(
+    places: DataFrame, patterns: Patterns, mode: str = "regex", stage: Stage | None = None
+) -> DataFrame:
     """Drop the rows whose id matches a pattern; modes as in `matches_any`.
 
-    A short list becomes one filter on the id, which also moves below a collapse per id. Long
-    tables of plain texts are joined. A filter has to hold every regular expression, so a long
-    table of those is refused; give them as a list.
+    A short list becomes one filter on the id, which also moves below a collapse per id. A long
+    table is joined. The ids are compared apart from the rows, so with a `stage` the rows are
+    written first; without one Spark works them out twice.
     """
     if mode not in ("regex", "literal", "exact"):
         raise ValueError(f"unknown mode {mode!r}")
     patterns = inline_patterns(patterns)
-    if isinstance(patterns, DataFrame):
-        if mode == "exact":
-            ids = patterns.withColumnRenamed("pattern", "subject")
-            return places.join(ids, "subject", "left_anti")
-        if mode == "literal":
-            return _remove_containing(places, patterns)
-        raise ValueError(f"more than {INLINE_ROWS} regular expressions: give them as a list")
-    return places.filter(~matches_any(F.col("subject"), patterns, mode))
-
-
-def _remove_containing(places: DataFrame, literals: DataFrame) -> DataFrame:
-    """Drop ids that contain a literal.
-
-    Ids and literals meet at the substrings as long as the shortest literal, of which a literal
-    takes the one that the fewest literals have; so an id makes fewer rows than it has characters,
-    and a beginning that all literals share is no key.
+    if isinstance(patterns, list):
+        return places.filter(~matches_any(F.col("subject"), patterns, mode))
+    if mode == "exact":
+        return places.join(patterns.withColumnRenamed("pattern", "subject"), "subject", "left_anti")
+    if stage:
+        places = stage.keep(places, "quarantine")
+        patterns = stage.keep(patterns, "patterns")
+    if mode == "literal":
+        keyed = patterns.select("pattern", F.col("pattern").alias("literal"))
+        return _remove_containing(places, keyed, F.lit(True))
+    literals = F.pandas_udf(_required_literals, "array<string>")(F.col("pattern"))
+    keyed = patterns.select("pattern", F.explode_outer(literals).alias("literal"))
+    kept = _remove_containing(
+        places, keyed.filter("literal IS NOT NULL"), F.rlike("subject", F.col("pattern"))
+    )
+    # What no fixed text belongs to has to be tried on every id; that is bounded in no other way.
+    alone = [r["pattern"] for r in keyed.filter("literal IS NULL").select("pattern").collect()]
+    return kept.filter(~matches_any(F.col("subject"), alone))
+
+
+def _required_literals(patterns: pd.Series) -> pd.Series:
+    return patterns.map(required_literals)
+
+
+def _remove_containing(places: DataFrame, keyed: DataFrame, also: Column) -> DataFrame:
+    """Drop ids that contain the literal of a row of `keyed` (pattern, literal) for which `also` holds.
+
+    Ids and literals meet at the literal's first LITERAL_KEY characters, or at any other so many in a
+    row that fewer literals have; a shorter literal is a key as a whole. So an id makes no more rows
+    than it has characters for each length of key, and a beginning that all literals share is no
+    key. A key that very many ids hold lies on the side that Spark splits when it is too large.
     """
-    size = literals.agg(F.min(F.char_length("pattern"))).first()[0] or 1
 
-    def substrings(text: str) -> Column:
-        starts = F.sequence(F.lit(1), F.char_length(text) - size + 1)
-        parts = F.transform(starts, lambda at: F.substring(F.col(text), at, size))
-        return F.when(F.char_length(text) >= size, F.array_distinct(parts)).otherwise(F.array())
+    def substrings(text: str, size: Column | int) -> Column:
+        last = F.char_length(text) - size + 1
+        parts = F.transform(F.sequence(F.lit(1), last), lambda at: F.substring(F.col(text), at, size))
+        return F.when(last >= 1, F.array_distinct(parts)).otherwise(F.array())
 
-    parts = literals.select("pattern", F.explode(substrings("pattern")).alias("part"))
+    size = F.least(F.char_length("literal"), F.lit(LITERAL_KEY))
+    parts = keyed.select("pattern", "literal", F.explode(substrings("literal", size)).alias("part"))
     held = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    rarest = parts.join(held, "part").groupBy("pattern")
-    keyed = rarest.agg(F.min(F.struct("n", "part")).alias("key")).select("pattern", "key.part")
+    rarest = parts.join(held, "part").groupBy("pattern", "literal")
+    keyed = rarest.agg(F.min(F.struct("n", "part")).alias("key"))
+    keyed = keyed.select("pattern", "literal", "key.part")
+    sizes = [r[0] for r in keyed.select(F.char_length("part")).distinct().collect()]
+    if not sizes:
+        return places
     ids = places.select("subject").distinct()
-    met = ids.select("subject", F.explode(substrings("subject")).alias("part"))
-    # A substring that all ids share is a hot key.
-    hot = hot_from_rows(met, ["part"], HOT_ROWS)
-    hits = salted_join(met, keyed, ["part"], hot).filter(F.contains("subject", "pattern"))
-    return places.join(hits.select("subject").distinct(), "subject", "left_anti")
+    held_by_id = F.concat(*[substrings("subject", size) for size in sorted(sizes)])
+    met = ids.select("subject", F.explode(held_by_id).alias("part")).join(keyed, "part")
+    hits = met.filter(F.contains("subject", "literal") & also).select("subject").distinct()
+    return places.join(hits, "subject", "left_anti")
 
 
 # -- stage counts -------------------------------------------------------------------------
@@ -218,7 +243,6 @@ def stage_counts(
     patterns: Patterns,
     stage: Stage,
     mode: str = "regex",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Row counts after load, type filter, collapse per id and quarantine, as (stage, n).
 
@@ -230,7 +254,7 @@ def stage_counts(
     if isinstance(mapping, dict):
         known = is_known_type(list(mapping))
     else:
-        places = _look_up(places, mapping.withColumn("_known", F.lit(True)), hot_rows)
+        places = _look_up(places, mapping.withColumn("_known", F.lit(True)))
         known = F.coalesce("_known", F.col("udbLocationType").isNull())
     per_id = places.groupBy("subject").agg(
         F.count(F.lit(1)).alias("loaded"), F.count_if(known).alias("known")
@@ -245,6 +269,6 @@ def stage_counts(
         rows("load", F.sum("loaded"), per_id),
         rows("filter", F.sum("known"), per_id),
         rows("group", F.count(F.lit(1)), grouped),
-        rows("remove", F.count(F.lit(1)), remove_quarantined(grouped, patterns, mode)),
+        rows("remove", F.count(F.lit(1)), remove_quarantined(grouped, patterns, mode, stage)),
     ]
     return reduce(DataFrame.union, counts)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # split into parts of about so many.
 HOT_ROWS = 1_000_000
 
+# A count may be a product that no table can hold.
+MOST_PARTS = 1 << 30
+
 # Hash of a hot key -> number of parts. There is one for each HOT_ROWS rows of a table at most.
 Hot = dict[int, int]
 
@@ -25,7 +28,7 @@ def hot_from_counts(counts: DataFrame, keys: list[str], count: str, hot_rows: in
 
     A hash shared by two keys only means that both are split.
     """
-    parts = F.ceil(F.col(count) / hot_rows).cast("int").alias(_PARTS)
+    parts = F.ceil(F.least(F.col(count) / hot_rows, F.lit(MOST_PARTS))).cast("int").alias(_PARTS)
     hot = counts.filter(F.col(count) >= hot_rows).select(key_hash(keys).alias(_HASH), parts)
     found: Hot = {}
     for row in hot.collect():

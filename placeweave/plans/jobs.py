@@ -95,7 +95,7 @@ def cleanse(
     """
     order = order or [c for c in (SOURCE, ROW) if c in rows.columns]
     known = filter_type(with_columns(rows, PLACE_COLUMNS), mapping)
-    places = collapse_by_id(remove_quarantined(known, patterns, mode), order)
+    places = collapse_by_id(remove_quarantined(known, patterns, mode, stage), order)
     # Read twice, for the compared columns and for the others.
     places = stage.keep(map_type(clean_columns(places, null_name_text), mapping), "places")
     return deduplicate(places, stage, null_keys_match, hot_rows)

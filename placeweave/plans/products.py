@@ -15,9 +15,11 @@ from placeweave.operators.graph import (
     follow,
     gather_nodes,
     head,
+    hot_targets,
     named_graphs,
     star,
     subject_count,
+    weights,
 )
 from placeweave.operators.skew import HOT_ROWS
 from placeweave.schema import PLACE_COLUMNS, RECORD_COLUMNS
@@ -120,10 +122,18 @@ def _solutions(
     linked = {f"link{i}": iri for i, iri in enumerate(links)}
     rows = star(nodes, {**values, **linked}, where, hot_rows=hot_rows)
     at_most = nodes.solutions_at_most([*values.values(), *links])
+    followed: dict[str, list[str]] = {}
     for link, iri in linked.items():
         target = links[iri]
-        rows = follow(rows, link, iri, nodes, target, hot_rows=hot_rows, at_most=at_most)
+        hot = {}
+        if at_most >= hot_rows:
+            # What multiplies a link: the node's own values, its other links, and what was reached.
+            own = [*values.values(), *(other for other in links if other not in (iri, *followed))]
+            weight = weights(nodes, own, followed, where, hot_rows)
+            hot = hot_targets(nodes, iri, weight, hot_rows, link)
+        rows = follow(rows, link, nodes, target, hot_rows=hot_rows, hot=hot)
         at_most *= nodes.solutions_at_most(target.values()) / max(1, nodes.size)
+        followed[iri] = list(target.values())
     return rows
 
 
@@ -197,16 +207,11 @@ def event_places(
     places = star(nodes, own, is_place, one_value=tuple(own))
     for iri, values in targets.items():
         links = star(nodes, {"link": iri}, is_place, hot_rows=hot_rows)
-        reached = follow(
-            links.withColumn("place", F.col("s")).drop("s"),
-            "link",
-            iri,
-            nodes,
-            values,
-            tuple(values),
-            hot_rows,
-            nodes.solutions_at_most([iri]),
-        )
+        links = links.withColumn("place", F.col("s")).drop("s")
+        hot = {}
+        if nodes.solutions_at_most([iri]) >= hot_rows:
+            hot = hot_targets(nodes, iri, None, hot_rows)
+        reached = follow(links, "link", nodes, values, tuple(values), hot_rows, hot)
         smallest = [F.min(c).alias(c) for c in values]
         reached = reached.groupBy("g", F.col("place").alias("s")).agg(*smallest)
         places = places.join(reached, ["g", "s"])

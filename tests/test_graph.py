@@ -4,13 +4,18 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from oracles.sql import IDENTIFIED, NAAM, SITE_NUMBER, TYPE, address
 from placeweave import fixtures
 from placeweave import vocabulary as V
+from placeweave.operators import graph
 from placeweave.operators.graph import head, subject_count
+from placeweave.operators.skew import key_hash
+from placeweave.plans import products
 from placeweave.plans.products import PRODUCTS, fetch
 from placeweave.schema import PLACE_COLUMNS, RECORD_COLUMNS
+from placeweave.sources import store
 from tests.compare import checking_database
 
 SCHEMA = "g string, s string, p string, o string"
@@ -222,3 +227,54 @@ def test_both_engines_derive_the_same_quads(spark):
     found = Counter(map(tuple, fixtures.quads(spark, sf_dir).collect()))
     rows = checking_database(sf_dir).sql(f"WITH {fixtures.quads_cte()} SELECT * FROM quads").fetchall()
     assert found == Counter(rows)
+
+
+def busy_store(spark, own):
+    """200 sites, each with its identifier; every fourth shares an address. One has `own` names and
+    `own` types."""
+    rows = []
+    values = {
+        V.ADRES + "gemeentenaam": "city", V.LOCN + "fullAddress": "full", V.LOCN + "postCode": "code",
+        V.LOCN + "thoroughfare": "street", V.ADRES + "Adresvoorstelling.huisnummer": "1",
+    }
+    for n in range(200):
+        node, ident, place = f"node{n}", f"id{n}", f"place{n // 4}"
+        rows += [(node, V.ADMS + "identifier", ident), (ident, V.SKOS + "notation", node)]
+        rows += [(ident, V.PLATFORM + "bron", "b"), (node, V.INFRA + "Infrastructuur.locatie", place)]
+        rows += [(place, p, o) for p, o in values.items()]
+        for k in range(own if n == 17 else 1):
+            rows += [(node, V.INFRA + "Infrastructuur.naam", f"name{k}")]
+            rows += [(node, V.INFRA + "Infrastructuur.type", f"type{k}")]
+    return spark.createDataFrame([(None, *row) for row in set(rows)], SCHEMA)
+
+
+def test_hot_targets_are_those_that_many_rows_reach(spark, stage, monkeypatch):
+    quads = busy_store(spark, 25)
+    plain = Counter(map(tuple, fetch("erfgoed", quads, stage).collect()))
+    assert sum(plain.values()) == 199 + 25 * 25
+    found = []
+
+    def recorded(nodes, iri, *rest):
+        found.append(graph.hot_targets(nodes, iri, *rest))
+        return found[-1]
+
+    monkeypatch.setattr(products, "hot_targets", recorded)
+    assert Counter(map(tuple, fetch("erfgoed", quads, stage, hot_rows=300).collect())) == plain
+    hashes = spark.createDataFrame([("id17",), ("place4",)], "s string")
+    expected = [r[0] for r in hashes.select(key_hash(["s"])).collect()]
+    assert [list(hot) for hot in found] == [[h] for h in expected]
+    assert [set(hot.values()) for hot in found] == [{3}, {3}]
+
+
+def test_a_store_is_read_by_predicate_and_without_shuffle(spark, stage, monkeypatch):
+    path = stage.path("store")
+    quads = fixtures.quads(spark, "/root/testdata/sf0.001")
+    store.write_store(quads.union(quads.limit(3).withColumn("s", F.lit(None))), path, 4)
+    stored = store.read_store(spark, path, 4)
+    assert Counter(map(tuple, stored.collect())) == Counter(map(tuple, quads.collect()))
+    nodes = graph.gather_nodes(graph.default_graph(stored), [V.LOCN + "gml", V.LOCN + "geometry"], stage)
+    grouped = nodes.triples.groupBy("s").agg(F.count("o"))
+    plan = grouped._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert "Exchange" not in plan and "PartitionFilters: [p" in plan and "Bucketed: true" in plan

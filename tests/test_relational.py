@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeweave.operators import relational
+from placeweave.plans import jobs
 from placeweave.operators.relational import (
     collapse_by_id,
     filter_type,
@@ -61,10 +62,10 @@ def mapping(request, spark, monkeypatch):
 def test_types(spark, mapping):
     rows = [(str(i), t, "old" if i % 2 else None) for i, t in enumerate(["k1", "k2", "k3", None] * 5)]
     frame = spark.createDataFrame(rows, "subject string, udbLocationType string, locationType string")
-    kept = filter_type(frame, mapping, hot_rows=2)
+    kept = filter_type(frame, mapping)
     assert kept.columns == frame.columns
     assert {r["subject"] for r in kept.collect()} == {s for s, t, _ in rows if t != "k3"}
-    mapped = map_type(frame, mapping, hot_rows=2)
+    mapped = map_type(frame, mapping)
     assert mapped.columns == frame.columns
     assert values(mapped, "subject", "locationType") == sorted(
         ((s, TYPES.get(t, old)) for s, t, old in rows), key=repr
@@ -139,7 +140,7 @@ def test_stage_counts(spark, stage, mapping, mode, line):
     frame = spark.createDataFrame(rows, "subject string, udbLocationType string")
     lines = spark.createDataFrame([(line,)], "pattern string")
     for patterns in ([line], lines):
-        found = dict(map(tuple, stage_counts(frame, mapping, patterns, stage, mode, 2).collect()))
+        found = dict(map(tuple, stage_counts(frame, mapping, patterns, stage, mode).collect()))
         assert found == {"load": 6, "filter": 4, "group": 3, "remove": 2}
     assert {r["n"] for r in stage_counts(frame.limit(0), mapping, lines, stage).collect()} == {0}
 
@@ -179,8 +180,41 @@ def test_many_literals(spark, monkeypatch):
     gone = {i for i in ids if any(x in i for x in literals)}
     found = remove_quarantined(frame, table, "literal")
     assert {r[0] for r in found.collect()} == set(ids) - gone
-    with pytest.raises(ValueError, match="list"):
-        remove_quarantined(frame, table, "regex")
+
+
+def test_a_long_table_of_expressions_equals_the_list(spark, stage):
+    ids = [f"http://places.example/{i}" for i in range(3_000)] + [None, "", "A|B", "x.y", "añb\U0001f600"]
+    frame = spark.createDataFrame([(i,) for i in ids], "subject string")
+    lines = [
+        *(rf"example/{i}[0-3]$" for i in range(4_000, 8_980)), *(f"ample/{i}$" for i in range(40)),
+        r"e/(?:1[0-5]|7)77\b", r"\QA|B\E", r"^x\.y$", "\U0001f600+", "e/2(9)\\1", "[]x]9{4}", "nowhere|/12.4",
+        "(?i)EXAMPLE/1999", r"/29\d5|/2(?=888)", " ",
+    ]
+    assert len(lines) > 5_000
+    table = spark.createDataFrame([(x,) for x in lines], "pattern string")
+    expected = set(remove_quarantined(frame, lines).collect())
+    assert 50 < len(ids) - len(expected) < 300
+    for given in (stage, None):
+        assert set(remove_quarantined(frame, table, "regex", given).collect()) == expected
+
+
+def test_a_long_list_reads_its_input_once(spark, stage):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    columns = "subject string, udbLocationType string, locationName string, _row int"
+    rows = [(f"id/{i}", f"k{i % 7}", f"name {i}", i) for i in range(500)]
+    frame = spark.createDataFrame(rows, columns).mapInArrow(count, columns)
+    mapping = spark.createDataFrame([(f"k{i}", "v") for i in range(2_000)], "key string, value string")
+    for mode, lines in (("regex", [f"d/{i}$" for i in range(1_200)]), ("literal", [f"d/9{i}" for i in range(1_200)])):
+        before = seen.value
+        patterns = spark.createDataFrame([(x,) for x in lines], "pattern string")
+        jobs.cleanse(frame, mapping, patterns, stage, mode=mode).collect()
+        assert seen.value - before == 500
 
 
 def test_more_hot_keys_than_a_thousand(spark):
