@@ -241,7 +241,7 @@ def chain(triples, columns: dict[str, str]) -> str:
         select = f"SELECT {', '.join(new)} FROM {source} {' AND '.join(tests)}"
         steps.append(f"step{i} AS MATERIALIZED ({select})")
     select = ", ".join(f"{bound.get(v, v)} AS {c}" for c, v in columns.items())
-    return f"WITH {', '.join(steps)} SELECT {select} FROM step{len(triples) - 1}"
+    return f"SELECT * FROM (WITH {', '.join(steps)} SELECT {select} FROM step{len(triples) - 1})"
 
 
 def record(**bound: str) -> dict[str, str]:
