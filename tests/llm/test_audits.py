@@ -1,0 +1,283 @@
+"""Decontamination, source divergence and filter interaction against SQL and brute force."""
+
+import hashlib
+import itertools
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from placeweave.llm import chunk_terms, contamination, posting_lists
+from placeweave.llm.queries import oracle_sql, queries
+from placeweave.staging import Stage
+from tests.compare import checking_database, database_rows, spark_rows
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", ["op11_prefix_set_join", "op12_chunk_factorization", "op13_posting_lists"])
+def test_query_equals_sql(spark, name):
+    database = checking_database(FOLDER)
+    assert spark_rows(queries()[name](spark, FOLDER)) == database_rows(database, oracle_sql()[name])
+
+
+def ascii_lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+# -- 11 -----------------------------------------------------------------------------------
+
+
+def hits_by_brute_force(docs, items, window):
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+
+    of = defaultdict(set)
+    for item_id, text in items:
+        found = words(text)
+        if item_id is not None and found:
+            for k in range(max(1, len(found) - window + 1)):
+                of[tuple(found[k : k + window])].add(str(item_id))
+    rows = []
+    for doc_id, text in docs:
+        found, hit, ids = words(text), set(), set()
+        for size in {len(w) for w in of}:
+            for k in range(len(found) - size + 1):
+                held = of.get(tuple(found[k : k + size]), ())
+                if held:
+                    ids |= held
+                    hit |= set(range(k, k + size))
+        digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        rows.append((doc_id, len(found), len(hit), len(ids), digest, bool(hit)))
+    return Counter(rows)
+
+
+@pytest.mark.parametrize("block", [2_000_000, 7])
+@pytest.mark.parametrize("window", [4, 10])
+def test_contamination_equals_brute_force(spark, stage, window, block):
+    draw = random.Random(window)
+
+    def text(n):
+        return " ".join(draw.choice(["a", "b", "c", "É", "Zz9", "日本"]) for _ in range(n))
+
+    items = [(k, text(draw.randint(1, 14))) for k in range(25)]
+    items += [(3, text(12)), (90, items[4][1]), (None, "a b"), (91, None), (92, ""), (93, " ., "), (94, "b")]
+    docs = [(k, text(draw.randint(0, 80)).replace(" ", draw.choice([" ", ", ", "\n"]))) for k in range(60)]
+    docs += [(7, docs[8][1]), (7, docs[8][1]), (None, docs[9][1]), (None, docs[9][1]), (100, None), (101, "")]
+    docs += [(102, items[0][1].upper()), (103, ("x " * 5_000 + items[1][1] + " ") * 20), (104, "y" * 300_000)]
+    wide = spark.createDataFrame(docs, "doc_id long, text string").withColumns(
+        {"words": F.lit(1), "item_id": F.lit("x"), "unit": F.lit(2), "h1": F.lit(3)}
+    )
+    listed = spark.createDataFrame(items, "item_id long, text string").withColumn("content", F.lit(1))
+    found = contamination.contaminated(wide, listed, stage, window, 3, block).collect()
+    assert Counter(map(tuple, found)) == hits_by_brute_force(docs, items, window)
+
+
+def test_contamination_of_empty_tables(spark, stage):
+    docs = spark.createDataFrame([(1, "a b c"), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "d e f")], "item_id long, text string")
+    clean = hits_by_brute_force([(1, "a b c"), (None, None)], [], 10)
+    for listed in (items, items.limit(0)):
+        assert Counter(map(tuple, contamination.contaminated(docs, listed, stage).collect())) == clean
+    assert not contamination.contaminated(docs.limit(0), items, stage).collect()
+
+
+def test_contamination_stays_native(spark, stage):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    plan = contamination.contaminated(docs, items, stage)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_a_passage_that_a_third_of_all_documents_hold(spark, stage):
+    passage = " ".join(f"w{k}" for k in range(30))
+    docs = [(k, f"start{k} {passage} end{k}" if k % 3 == 0 else f"start{k} other") for k in range(6_000)]
+    items = [(k, passage) for k in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = contamination.contaminated(frame, spark.createDataFrame(items, "item_id long, text string"), stage)
+    counts = found.groupBy("n_hit", "n_items").count().collect()
+    assert {tuple(r) for r in counts} == {(30, 40, 2_000), (0, 0, 4_000)}
+
+
+# -- 12 -----------------------------------------------------------------------------------
+
+
+def divergence_by_brute_force(docs, least=3, top=200):
+    counts, documents = Counter(), defaultdict(set)
+    groups = {(lang or "", source or "") for lang, source, _ in docs}
+    for row, (lang, source, text) in enumerate(docs):
+        for term in re.findall(r"[^\x00-\x60\x7B-\x7F]+", ascii_lower(text)):
+            counts[lang or "", source or "", term] += 1
+            documents[lang or "", term].add(row)
+    rows = []
+    for lang in {g[0] for g in groups}:
+        terms = sorted(t for (x, t), held in documents.items() if x == lang and len(held) >= least)
+        sources = sorted(s for x, s in groups if x == lang)
+
+        def shares(count):
+            total = sum(map(count, terms))
+            return {t: 1 + 10**9 * (count(t) + 1) // (total + len(terms)) for t in terms}
+
+        p = {s: shares(lambda t: counts[lang, s, t]) for s in sources}
+        q = shares(lambda t: sum(counts[lang, s, t] for s in sources))
+        for s in sources:
+            pairs = [(-sum((p[s][t] - p[o][t]) ** 2 // p[o][t] for t in terms), o.encode()) for o in sources if o != s]
+            over = [t for t in terms if counts[lang, s, t] and p[s][t] > q[t]]
+            more = [(-((p[s][t] - q[t]) ** 2 // q[t]), t.encode()) for t in over]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(more)[:top])):
+                rows += [(lang, s, part, i.decode(), -v, k) for k, (v, i) in enumerate(found, 1)]
+    return Counter(rows)
+
+
+KINDS = "lang string, source string, text string"
+
+
+@pytest.mark.parametrize("least, partitions", [(3, 1), (3, 9), (2, 9), (1, 4)])
+def test_divergence_equals_brute_force(spark, stage, monkeypatch, least, partitions):
+    draw = random.Random(least)
+    words = ["the", "The", "the,", "(The)", "id1", "id2", "id3x", "don't", "été", "ÉTÉ", "日本 x", " ", "--", "7"]
+    words += [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80)]
+
+    def text():
+        return draw.choice([" ", "\n", "\t "]).join(draw.choices(words, k=draw.randint(0, 12)))
+
+    docs = [(draw.choice(["en", "fr", None]), draw.choice(["a", "b", "c", "é", None]), text()) for _ in range(90)]
+    docs += [("en", "empty", None), ("de", "x", "lone words here"), ("de", "y", ""), ("nl", "z", "  ")]
+    docs += [("en", "a", "the " * 40_000), ("en", "b", "q" * 200_000)] + [("en", "c", "copy of the text")] * 7
+    docs += [("fr", "a", "http://x.org/%d?%d" % (k, k)) for k in range(50)]
+    kept_terms = chunk_terms.kept_terms
+    monkeypatch.setattr(chunk_terms, "kept_terms", lambda rows: kept_terms(rows, least))
+    frame = spark.createDataFrame(docs, KINDS).repartition(partitions)
+    wide = frame.withColumns({"term": F.lit(1), "n": F.lit("x"), "hash": F.lit(0), "id": F.lit("y")})
+    found = chunk_terms.source_divergence(wide, stage, top=20)
+    assert Counter(map(tuple, found.collect())) == divergence_by_brute_force(docs, least, 20)
+
+
+def test_divergence_of_empty_tables(spark, stage):
+    none = spark.createDataFrame([], KINDS)
+    assert not chunk_terms.source_divergence(none, stage).collect()
+    blank = spark.createDataFrame([("en", "a", None), ("en", "b", " "), ("fr", "c", "")], KINDS)
+    found = {tuple(r) for r in chunk_terms.source_divergence(blank, stage).collect()}
+    assert found == {("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)}
+    with pytest.raises(ValueError):
+        chunk_terms.kept_terms(none, 4)
+
+
+def test_blocks_of_any_size_count_alike():
+    import pyarrow as pa
+
+    draw = random.Random(8)
+    rows = [(k, draw.choice("ab"), draw.randint(-3, 3), " ".join(draw.choices("xyzuvw", k=draw.randint(0, 9)))) for k in range(50)]
+    names = ["id", "lang", "hash", "text"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+    found = Counter()
+    for out in chunk_terms._count_together(iter([batch.slice(0, 20), batch.slice(20, 0), batch.slice(20)])):
+        for r in out.to_pylist():
+            for cell in np.frombuffer(r["counts"], chunk_terms._COUNT):
+                found[r["chunk"], r["lang"], int(cell["source"])] += int(cell["n"])
+                assert cell["docs"] >= 1 and cell["span"] >= 0
+    assert found == Counter((c, lang, h) for _, lang, h, text in rows for c in text.split())
+
+
+def test_probabilities_of_very_large_counts(spark):
+    rows = [(8_999_999_999, 10**15, 10**9), (9_000_000_000, 10**15, 10**9), (10**14, 10**15, 7), (0, 0, 1)]
+    frame = spark.createDataFrame(rows, "n long, total long, size long")
+    columns = chunk_terms.probability(F.col("n"), F.col("total"), F.col("size"))
+    assert [r[0] for r in frame.select(columns).collect()] == [1 + 10**9 * (n + 1) // (t + v) for n, t, v in rows]
+
+
+# -- 13 -----------------------------------------------------------------------------------
+
+
+def audit_by_brute_force(docs, labels):
+    first = {}
+    for doc_id, text, _ in docs:
+        if doc_id is not None:
+            first[text or ""] = min(doc_id, first.get(text or "", doc_id))
+    parts = defaultdict(list)
+    for doc_id, text, source in docs:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        fails = {
+            "A": len(words) < 200,
+            "B": 100 * len(set(words)) < 50 * len(words),
+            "C": 100 * len(re.findall("[A-Z]", text)) > 2 * len(text),
+            "D": bool(re.search("[#$%&*|]", text)),
+            "E": doc_id is not None and doc_id > first[text],
+        }
+        marks = [any(k == doc_id is not None and x[i] == 1 for k, *x in labels) for i in (0, 1)]
+        parts[source or ""].append(({f for f in fails if fails[f]}, *marks))
+    rows = []
+    for part, members in parts.items():
+        removed_in, found = Counter(), []
+        for order in itertools.permutations("ABCDE"):
+            left = members
+            for step, f in enumerate(order, 1):
+                gone = [m for m in left if f in m[0]]
+                left = [m for m in left if f not in m[0]]
+                removed_in[f] += len(gone)
+                failing = sum(f in m[0] for m in members)
+                unique = sum(m[0] == {f} for m in members)
+                lost = [sum(m[i] for m in gone) for i in (1, 2)]
+                found.append((part, "".join(order), step, len(left), len(gone), failing - len(gone), unique, *lost, f))
+        rows += [(*r[:-1], removed_in[r[-1]]) for r in found]
+    return Counter(rows)
+
+
+DOCS, LABELS = "doc_id long, text string, source string", "doc_id long, quality int, toxic int"
+
+
+def audited(spark, docs, labels):
+    stage = Stage(spark)
+    entries = posting_lists.failing_ids(docs, labels, stage)
+    return posting_lists.audit(entries, stage, list("ABCDE"), ["good", "toxic"])
+
+
+def test_audit_equals_brute_force(spark):
+    draw = random.Random(3)
+    rich = " ".join(f"word{k}" for k in range(220))
+    texts = [None, "", " ", "short", "Short %", rich, rich + " $", rich.upper(), "a b " * 150, "É" * 40 + "A", "x" * 500_000]
+    docs = [(draw.choice([None, *range(60)]), draw.choice(texts), draw.choice(["a", "b", None, ""])) for _ in range(150)]
+    docs += docs[:5] + [(70, "only here", "lonely")]
+    labels = [(k, draw.choice([0, 1, None]), draw.choice([0, 1, None])) for k in [*range(50), *range(20), 70]] + [(None, 1, 1)]
+    frame = spark.createDataFrame(docs, DOCS).repartition(5).withColumns(
+        {"id": F.lit("x"), "part": F.lit(0), "fails": F.lit(1), "digest": F.lit(2), "list": F.lit(3)}
+    )
+    marks = spark.createDataFrame(labels, LABELS).withColumn("marks", F.lit(1))
+    assert Counter(map(tuple, audited(spark, frame, marks).collect())) == audit_by_brute_force(docs, labels)
+
+
+def test_audit_of_empty_tables(spark):
+    none, labels = spark.createDataFrame([], DOCS), spark.createDataFrame([], LABELS)
+    assert not audited(spark, none, labels).collect()
+    one = [(1, "few words", None)]
+    found = audited(spark, spark.createDataFrame(one, DOCS), labels).collect()
+    assert Counter(map(tuple, found)) == audit_by_brute_force(one, [])
+
+
+def test_a_large_group_of_copies(spark):
+    docs = [(k, "same text" if k % 3 == 0 else f"text {k}", "s") for k in range(9_000)]
+    found = audited(spark, spark.createDataFrame(docs, DOCS), spark.createDataFrame([], LABELS))
+    row = found.filter("filter_order = 'EABCD' AND step = 1").first()
+    assert (row.removed, row.kept, row.unique_fails) == (2_999, 6_001, 0)
+
+
+def test_merges_equal_sets():
+    draw = random.Random(9)
+    for _ in range(200):
+        a, b = (sorted(draw.sample(range(60), draw.randint(0, 40))) for _ in range(2))
+        x, y = np.array(a, np.int64), np.array(b, np.int64)
+        assert posting_lists.union(x, y).tolist() == sorted({*a, *b})
+        assert posting_lists.difference(x, y).tolist() == sorted({*a} - {*b})
+
+
+def test_orders_of_one_and_of_too_many_filters(spark, stage):
+    rows = [("p", k, "all") for k in range(3)] + [("p", 1, "F")]
+    entries = spark.createDataFrame(rows, "part string, id long, list string")
+    (row,) = posting_lists.audit(entries, stage, ["F"], []).collect()
+    assert tuple(row) == ("p", "F", 1, 2, 1, 0, 1, 1)
+    with pytest.raises(ValueError):
+        posting_lists.audit(entries, stage, list("ABCDEFGH"), [])
