@@ -6,7 +6,9 @@ from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, filterfalse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # A worker remembers up to twice so many words, those it met last.
@@ -75,12 +77,14 @@ def _byte_letters() -> list[str]:
 class WordEncoder(RememberingEncoder):
     """Ids as little-endian unsigned 32-bit numbers, equal to `Tokenizer.encode` of the text.
 
-    For tokenizers whose pre-tokens never reach over a space or line feed and whose normaliser
+    For tokenizers whose pre-tokens never reach over ASCII white space and whose normaliser
     treats the parts between them apart, so that a text's ids are those of its words in a row. Words
     of ASCII and Latin-1 letters go straight to the library's model, a pre-token at a time, if the
     tokenizer cuts and writes them as PIECES says; all others go through the whole tokenizer.
     """
 
+    # Words that are remembered, in either of two turns, and bytes of texts that are encoded together.
+    REMEMBERED, BLOCK = 400_000, 6_000_000
     # Words without white space, marks that combine, and letters whose lower case is disputed.
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
     # The pre-tokens of such a word in lower case.
@@ -92,7 +96,7 @@ class WordEncoder(RememberingEncoder):
         "don't.", "$$$x###", "(x)", "e-mail@x.org", "'re're", "x'", "'", "STRASSE", "Straße,",
     )
 
-    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         super().__init__(remembered)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
@@ -101,8 +105,57 @@ class WordEncoder(RememberingEncoder):
         self.pieces: dict[str, bytes] = {}
         self.direct = all(self._in_pieces(w) == self._whole(w) for w in self.PROBES)
 
-    def split(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return list(self.column(pa.array(texts, pa.string())))
+
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        texts = texts.fill_null("")
+        together, size = 0, 0
+        for at, length in enumerate(pc.binary_length(texts).to_pylist()):
+            if size + length > self.BLOCK and at > together:
+                yield from self._block(texts.slice(together, at - together))
+                together, size = at, 0
+            if length > self.BLOCK:
+                yield b"".join(self._block(pa.array(_parts(texts[at].as_py(), self.BLOCK), pa.string())))
+                together, size = at + 1, 0
+            else:
+                size += length
+        yield from self._block(texts.slice(together))
+
+    def _block(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of some texts: each distinct word is looked up once, the rest are arrays."""
+        cut = pc.ascii_split_whitespace(texts)
+        words = cut.flatten().dictionary_encode()
+        known = self._known(words.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = np.frombuffer(b"".join(known), "<u4")
+        codes = words.indices.to_numpy()
+        numbers = lengths[codes]
+        ends = np.cumsum(numbers)
+        places = np.arange(ends[-1] if len(ends) else 0)
+        places += np.repeat((np.cumsum(lengths) - lengths)[codes] - (ends - numbers), numbers)
+        data = ids[places].tobytes()
+        stops = np.append(0, ends)[np.cumsum(cut.value_lengths().to_numpy())] * 4
+        start = 0
+        for stop in stops.tolist():
+            yield data[start:stop]
+            start = stop
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; those met last are remembered."""
+        found = list(map(self.recent.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        unknown = []
+        for k in missing:
+            found[k] = self.older.get(words[k])
+            if found[k] is None:
+                unknown.append(k)
+        for k, (_, ids) in zip(unknown, self.learn([words[k] for k in unknown])):
+            found[k] = ids
+        if len(self.recent) + len(missing) > self.remembered:
+            self.older, self.recent = self.recent, {}
+        self.recent.update((words[k], found[k]) for k in missing if len(words[k]) <= LONGEST_WORD)
+        return found
 
     def _whole(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -135,6 +188,15 @@ class WordEncoder(RememberingEncoder):
                 yield word, self._whole(word)
 
 
+def _parts(text: str, size: int) -> list[str]:
+    """A long text in parts of about `size` characters that end before white space."""
+    ends = [0]
+    while found := _SPACE.search(text, ends[-1] + size):
+        ends.append(found.start())
+    return [text[a:b] for a, b in zip(ends, [*ends[1:], len(text)])]
+
+
+_SPACE = re.compile("[ \t\n\v\f\r]")
 _encoders: dict[str, WordEncoder] = {}
 
 

@@ -63,6 +63,14 @@ def test_word_encoder_equals_library(remembered):
         assert list(map(numbers, own.encode(part))) == expected
 
 
+def test_word_encoder_cuts_long_texts(monkeypatch):
+    own, library = WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    monkeypatch.setattr(own, "BLOCK", 40)
+    texts = ["", "short one", "a longer text, that\tis cut\nwhere it's white  " * 9, "x" * 90 + " y", " ", "end"]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(map(numbers, own.encode(texts))) == expected
+
+
 def test_byte_encoder_equals_library(library):
     own, texts = byte_bpe.ByteEncoder(RANKS), odd_texts()
     found = list(map(numbers, own.encode(texts)))
