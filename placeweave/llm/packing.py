@@ -24,6 +24,7 @@ from placeweave.staging import Stage
 
 # Pieces that one task packs; 16 bytes each.
 PIECES_PER_TASK = 200_000
+# Exchanges at most. What they leave above the bound is packed as well, only not `certified`.
 ROUNDS = 8
 # Other orders that a round of one partition tries.
 ORDERS = 8

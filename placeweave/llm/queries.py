@@ -95,10 +95,12 @@ def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pieces_with_places(packed: packing.Packed) -> DataFrame:
-    """The pieces with a digest of their ids; the ids themselves stay where they are."""
+    """The pieces with a digest of their ids, and whether no packing has fewer sequences as far as the
+    bound tells; the ids themselves stay where they are."""
     digest = F.crc32("ids").alias("ids_crc32")
     pieces = packed.pieces.select("row", "doc_id", "piece", "start", "length", digest)
-    return pieces.join(packed.places, "row").drop("row")
+    certified = F.lit(packed.certified).alias("certified")
+    return pieces.join(packed.places, "row").drop("row").select("*", certified)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
