@@ -120,8 +120,9 @@ def near_duplicates(
     members = usable.select("doc_id", "k1", "k2").distinct().join(classes, ["k1", "k2"])
     members = stage.keep(members.select("doc_id", "rep"), "members")
     # One row per class that a doc_id stands for; rows of that doc_id without shingles are no sets.
-    sets = usable.dropDuplicates(["doc_id", "k1", "k2"]).join(classes, ["k1", "k2"])
-    sets = sets.filter("doc_id = rep").select(
+    of_class = ["doc_id", "k1", "k2"]
+    sets = usable.join(classes.withColumnRenamed("rep", "doc_id"), of_class).dropDuplicates(of_class)
+    sets = sets.select(
         F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "coordinates", "sketch"
     )
     sets = stage.keep(sets, "sets")
