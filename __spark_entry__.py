@@ -13,7 +13,7 @@ from oracles import sql as oracles
 from placeweave import fixtures
 from placeweave.functions.similarity import token_sort_ratio
 from placeweave.functions.text import clean_name, drop_decimal_zero
-from placeweave.operators import dedup, fuzzy, relational
+from placeweave.operators import dedup, fuzzy, graph, relational
 from placeweave.plans import jobs, products
 from placeweave.schema import KEY_COLUMNS, PLACE_COLUMNS, VERDICT_COLUMNS
 from placeweave.sources import store, tables
@@ -87,6 +87,23 @@ def product_from_store(name: str, spark: SparkSession, sf_dir: str) -> DataFrame
     return products.fetch(name, store.read_store(spark, path, buckets=8), stage)
 
 
+def subject_count_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the count from the sketches of two halves of the store is near the exact one."""
+    quads = fixtures.quads(spark, sf_dir)
+    odd = F.pmod(F.xxhash64("s", "o"), F.lit(2)) == 1
+    sketches = [graph.subject_sketch(quads.filter(half)) for half in (odd, ~odd)]
+    estimate = graph.sketched_subject_count(sketches[0].union(sketches[1]))
+    exact = graph.subject_count(quads)
+    rows = exact.select("subjectCount", F.lit(0).alias("estimate")).union(
+        estimate.select(F.lit(0), "subjectCount")
+    )
+    both = rows.agg(F.max("subjectCount").alias("subjectCount"), F.max("estimate").alias("estimate"))
+    near = F.abs(F.col("estimate") - F.col("subjectCount")) <= F.greatest(
+        F.lit(1.0), 4 * graph.SKETCH_ERROR * F.col("subjectCount")
+    )
+    return both.select("subjectCount", near.alias("near"))
+
+
 # -- relational ---------------------------------------------------------------------------
 
 
@@ -323,6 +340,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stage_counts": stage_counts,
         "quads_head": partial(product, "head"),
         "subject_count": partial(product, "count"),
+        "subject_count_sketch": subject_count_sketch,
         "filter_type": filter_type,
         "merge_by_name": merge_by_name,
         "collapse_by_id": collapse_by_id,

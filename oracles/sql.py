@@ -392,6 +392,8 @@ def oracle_sql() -> dict[str, str]:
             quads_cte()),
         "subject_count": query(
             f"SELECT count(DISTINCT s) AS subjectCount FROM quads WHERE {typed}", quads_cte()),
+        "subject_count_sketch": query(
+            f"SELECT count(DISTINCT s) AS subjectCount, true AS near FROM quads WHERE {typed}", quads_cte()),
         "filter_type": query(f"{place_rows} WHERE {IS_KNOWN}", places_cte()),
         "merge_by_name": query(
             "SELECT * EXCLUDE (ord), CAST(ord >= 1000000000000 AS INTEGER) AS _src FROM merged",

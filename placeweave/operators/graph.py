@@ -17,6 +17,10 @@ from placeweave.operators.skew import HOT_ROWS, Hot, hot_from_counts, salted_joi
 from placeweave.staging import Stage
 from placeweave.vocabulary import DEFAULT_GRAPH_CLASSES, NAMED_GRAPH_CLASSES, RDF_TYPE
 
+# Buckets of a sketch, as a power of two, and the standard error that goes with them.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / math.sqrt(1 << SKETCH_BITS)
+
 
 def default_graph(quads: DataFrame, union: bool = False) -> DataFrame:
     """Triples (s, p, o) of the default graph.
@@ -218,11 +222,27 @@ def head(quads: DataFrame, limit: int = 5, ordered: bool = True) -> DataFrame:
     return (found.orderBy(*order) if ordered else found).limit(limit)
 
 
-def subject_count(quads: DataFrame, union: bool = False) -> DataFrame:
-    """Number of distinct subjects of the counted classes, from one scan."""
+def _counted_subjects(quads: DataFrame, union: bool) -> DataFrame:
     in_named = F.col("g").isNotNull() & F.col("o").isin(NAMED_GRAPH_CLASSES)
     in_default = F.col("o").isin(DEFAULT_GRAPH_CLASSES)
     if not union:
         in_default &= F.col("g").isNull()
-    typed = quads.filter((F.col("p") == RDF_TYPE) & (in_named | in_default))
-    return typed.agg(F.count_distinct("s").alias("subjectCount"))
+    return quads.filter((F.col("p") == RDF_TYPE) & (in_named | in_default)).select("s")
+
+
+def subject_count(quads: DataFrame, union: bool = False) -> DataFrame:
+    """Number of distinct subjects of the counted classes, from one scan."""
+    return _counted_subjects(quads, union).agg(F.count_distinct("s").alias("subjectCount"))
+
+
+def subject_sketch(quads: DataFrame, union: bool = False) -> DataFrame:
+    """A sketch of the same subjects, one row of a few kB that can be kept; nothing is shuffled but
+    one sketch per task."""
+    return _counted_subjects(quads, union).agg(F.hll_sketch_agg("s", SKETCH_BITS).alias("sketch"))
+
+
+def sketched_subject_count(sketches: DataFrame) -> DataFrame:
+    """The estimated number of different subjects behind all rows of `sketches` together, of one store
+    or of several; 0 if there are none. Its standard error is SKETCH_ERROR of the number."""
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return sketches.agg(F.coalesce(merged, F.lit(0)).alias("subjectCount"))

@@ -278,3 +278,20 @@ def test_a_store_is_read_by_predicate_and_without_shuffle(spark, stage, monkeypa
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
     assert "Exchange" not in plan and "PartitionFilters: [p" in plan and "Bucketed: true" in plan
+
+
+def test_sketches_of_stores_merge(spark):
+    rows = spark.range(30_000).selectExpr(
+        "CAST(NULL AS STRING) AS g", "concat('s', id) AS s", f"'{V.RDF_TYPE}' AS p",
+        f"'{V.DEFAULT_GRAPH_CLASSES[0]}' AS o",
+    )
+    one, two = rows.limit(20_000), rows.filter("CAST(substr(s, 2) AS INT) >= 10000")
+    parts = graph.subject_sketch(one).union(graph.subject_sketch(two)).union(graph.subject_sketch(two))
+    whole = graph.sketched_subject_count(graph.subject_sketch(one.union(two))).first()[0]
+    merged = graph.sketched_subject_count(parts).first()[0]
+    exact = subject_count(one.union(two)).first()[0]
+    assert abs(whole - exact) <= 3 * graph.SKETCH_ERROR * exact
+    assert abs(merged - whole) <= graph.SKETCH_ERROR * exact
+    none = graph.subject_sketch(rows.limit(0))
+    assert graph.sketched_subject_count(none).first()[0] == 0
+    assert graph.sketched_subject_count(none.limit(0)).first()[0] == 0
