@@ -6,6 +6,8 @@ the score is 200*c/(la+lb). A score of at least `min_score` therefore means at m
 (200-min_score)/min_score times the other.
 """
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,42 +117,101 @@ def is_similar(a: Column, b: Column, min_score: int) -> Column:
 GRAM = 3
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with the value worked out once however often it is named, also in a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def numbered_grams(text: Column) -> Column:
-    """The substrings of GRAM characters, each with its number among the equal ones so far."""
-    starts = F.sequence(F.lit(1), F.char_length(text) - GRAM + 1)
-    plain = F.when(
-        F.char_length(text) >= GRAM, F.transform(starts, lambda at: F.substring(text, at, GRAM))
-    ).otherwise(F.array())
+    """The substrings of GRAM characters, each with its number among the equal ones.
 
-    def numbered(gram: Column, at: Column) -> Column:
-        so_far = F.filter(F.slice(plain, 1, at + 1), lambda other: other == gram)
-        return F.concat(gram, F.size(so_far).cast("string"))
+    Equal grams are next to each other once sorted, so each run of them is numbered by itself and
+    the work grows with the text, but for the sorting.
+    """
 
-    return F.transform(plain, numbered)
+    def grams(chars: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(chars) - GRAM)
+        parts = F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(GRAM)]))
+        return F.array_sort(parts)
 
+    def numbered(ordered: Column) -> Column:
+        first = F.filter(
+            F.sequence(F.lit(0), F.size(ordered) - 1),
+            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+        )
+        return _once(first, lambda starts: runs(ordered, starts))
 
-def signatures(text: Column, rarest: Column, min_score: int, is_match: bool) -> Column:
-    """Keys of a token-sorted string, of which it shares one with each similar string.
+    def runs(ordered: Column, starts: Column) -> Column:
+        def run(start: Column, k: Column) -> Column:
+            count = F.coalesce(F.get(starts, k + 1), F.size(ordered)) - start
+            numbers = F.sequence(F.lit(1), count)
+            return F.transform(numbers, lambda n: F.concat(F.get(ordered, start), n.cast("string")))
+
+        return F.flatten(F.transform(starts, run))
 
-    `rarest` has its numbered grams in an order that all strings follow. A pair of lengths allows
-    so many insertions and deletions d; similar strings differ in 3d grams at most, so that the
-    first gram they share is one of the first 3d + 1 of both. Where a string may have no more
-    grams than that, the pair of lengths itself is the key.
+    found = _once(F.split(text, ""), lambda chars: _once(grams(chars), numbered))
+    return F.when(F.char_length(text) >= GRAM, found).otherwise(F.array().cast("array<string>"))
+
+
+def allowed_edits(a: Column, b: Column, min_score: int) -> Column:
+    """The insertions and deletions that strings of `a` and `b` characters may differ in; where the
+    lengths alone are further apart, a number below that difference."""
+    most = F.floor((100 - min_score) * (a + b) / 100).cast("int")
+    # Insertions and deletions are as odd or even in number as the lengths are apart.
+    return most - F.pmod(most - F.abs(a - b), F.lit(2))
+
+
+def signatures(text: Column, rarest: Column, min_score: int, is_match: bool) -> Column:
+    """Keys of a token-sorted string, of which it shares one with each similar string, each with
+    its place `at` among the string's grams: structs (key, at).
+
+    `rarest` has its numbered grams, structs (gram, common), in an order that all strings follow.
+    Similar strings that may differ in d edits differ in GRAM * d grams at most, so the first gram
+    they share is one of the first GRAM * d + 1 of both. A string gives as many as the largest d
+    that its length allows, so its keys grow with its length, and `may_meet` holds the pair to its
+    own d. A `common` gram, which so many hold that they should not all meet, is joined with the
+    length of the original: a match gives it for the lengths whose d reaches its place. A pair of
+    lengths at which strings may share no gram, which only short ones have, is a key of its own.
     """
     length = F.char_length(text)
     shortest = F.ceil(min_score * length / (200 - min_score)).cast("int")
     longest = F.floor((200 - min_score) * length / min_score).cast("int")
 
-    def keys(other: Column) -> Column:
-        apart = F.abs(length - other)
-        most = F.floor((100 - min_score) * (length + other) / 100).cast("int")
-        # Insertions and deletions are as odd or even in number as the lengths are apart.
-        edits = most - F.pmod(most - apart, F.lit(2))
-        pair = F.concat_ws(":", *((length, other) if is_match else (other, length)))
-        first = F.slice(rarest, F.lit(1), GRAM * edits + 1)
-        by_gram = F.transform(first, lambda gram: F.concat(pair, F.lit(":"), gram))
+    def option(other: Column) -> Column:
+        edits = allowed_edits(length, other, min_score)
         few = F.least(length, other) - GRAM + 1 <= GRAM * edits
-        found = F.when(few, F.array(pair)).otherwise(by_gram)
-        return F.when(edits >= apart, found).otherwise(F.array())
-
-    return F.flatten(F.transform(F.sequence(shortest, longest), keys))
+        return F.struct(other.alias("other"), edits.alias("edits"), few.alias("few"))
+
+    def keys(options: Column) -> Column:
+        def by_lengths(o: Column) -> Column:
+            pair = F.concat_ws(":", *((length, o["other"]) if is_match else (o["other"], length)))
+            return F.struct(pair.alias("key"), F.lit(0).alias("at"))
+
+        def by_gram(held: Column, at: Column) -> Column:
+            lengths = F.array(length)
+            if is_match:
+                reached = F.filter(shared, lambda o: GRAM * o["edits"] >= at)
+                lengths = F.transform(reached, lambda o: o["other"])
+            gram = F.concat(F.lit(":"), held["gram"])
+            with_length = F.transform(lengths, lambda n: F.concat_ws(":", gram, n))
+            found = F.when(held["common"], with_length).otherwise(F.array(gram))
+            return F.transform(found, lambda key: F.struct(key.alias("key"), at.alias("at")))
+
+        shared = F.filter(options, lambda o: ~o["few"])
+        reach = F.array_max(F.transform(shared, lambda o: GRAM * o["edits"] + 1))
+        first = F.slice(rarest, F.lit(1), F.coalesce(reach, F.lit(0)))
+        pairs = F.transform(F.filter(options, lambda o: o["few"]), by_lengths)
+        return F.concat(pairs, F.flatten(F.transform(first, by_gram)))
+
+    options = F.transform(F.sequence(shortest, longest), option)
+    possible = F.filter(options, lambda o: o["edits"] >= F.abs(length - o["other"]))
+    return _once(possible, keys)
+
+
+def may_meet(a: Column, b: Column, a_at: Column, b_at: Column, min_score: int) -> Column:
+    """Whether profiles that share a key at these places may share their first gram there.
+
+    Similar strings pass at the first gram they share, so no pair is lost.
+    """
+    last = GRAM * allowed_edits(a["length"], b["length"], min_score)
+    return (a_at <= last) & (b_at <= last)

@@ -9,6 +9,7 @@ from placeweave.functions.similarity import (
     is_similar,
     is_surely_similar,
     may_be_similar,
+    may_meet,
     numbered_grams,
     profile,
     signatures,
@@ -22,7 +23,8 @@ from placeweave.staging import Stage
 MIN_SCORE = 90
 SIMILAR_NAME = 0.5
 # Up to this many names at one address, a name may be compared with each of them; from there
-# on it is compared only with names that share a signature.
+# on it is compared only with names that share a signature. Up to as many may share a gram that is
+# a signature as it is.
 QUIET_ADDRESS = 32
 
 
@@ -65,8 +67,8 @@ _ADDRESS = ["street", "postcode"]
 def keyed_names(
     names: DataFrame, stage: Stage, min_score: int, quiet_address: int, hot_rows: int
 ) -> tuple[DataFrame, DataFrame, int]:
-    """Matches and originals with the `signature` on which similar names at an address meet, and
-    at least the number of names at the busiest address.
+    """Matches and originals with the `signature` on which similar names at an address meet, its
+    place `at` in the name, and at least the number of names at the busiest address.
 
     Where an address has few names they all meet, on an empty signature. Elsewhere a name has the
     rarest grams at its address as signatures, so that words that many names share are no key.
@@ -82,7 +84,11 @@ def keyed_names(
     )
     text, roles = F.col("sorted"), {}
     if not seen["largest"]:
-        quiet = [F.lit("").alias("signature"), profile(text, F.lit(False)).alias("profile")]
+        quiet = [
+            F.lit("").alias("signature"),
+            F.lit(0).alias("at"),
+            profile(text, F.lit(False)).alias("profile"),
+        ]
         return matches.select("*", *quiet), originals.select("*", *quiet), quiet_address
     for role, rows in (("matches", matches), ("originals", originals)):
         hot = hot_from_rows(rows, _ADDRESS, hot_rows)
@@ -101,19 +107,25 @@ def keyed_names(
     def keyed(role: str) -> DataFrame:
         # A name has no more grams than characters.
         ranked = salted_join(grams[role], held, [*_ADDRESS, "gram"], hot)
-        ordered = F.sort_array(F.collect_list(F.struct("held", "gram")))["gram"].alias("rarest")
+        ordered = F.sort_array(F.collect_list(F.struct("held", "gram"))).alias("rarest")
         rows = roles[role].join(
             ranked.groupBy(*_ADDRESS, "name").agg(ordered), [*_ADDRESS, "name"], "left"
         )
         is_busy = F.col("n").isNotNull()
-        rarest = F.coalesce("rarest", F.array().cast("array<string>"))
+        rarest = F.transform(
+            F.coalesce("rarest", F.array().cast("array<struct<held: bigint, gram: string>>")),
+            lambda x: F.struct(x["gram"].alias("gram"), (x["held"] > quiet_address).alias("common")),
+        )
         keys = signatures(text, rarest, min_score, role == "matches")
-        keys = F.when(is_busy, keys).otherwise(F.array(F.lit("")))
-        return rows.select(
-            *[c for c in roles[role].columns if c != "n"],
+        together = F.array(F.struct(F.lit("").alias("key"), F.lit(0).alias("at")))
+        columns = [c for c in roles[role].columns if c != "n"]
+        # Every name has a key; the outer form does not work the keys out twice to test for that.
+        found = rows.select(
+            *columns,
             profile(text, is_busy).alias("profile"),
-            F.explode(keys).alias("signature"),
+            F.explode_outer(F.when(is_busy, keys).otherwise(together)).alias("found"),
         )
+        return found.select(*columns, "profile", F.col("found.key").alias("signature"), "found.at")
 
     return keyed("matches"), keyed("originals"), seen["largest"]
 
@@ -133,13 +145,22 @@ def similar_pairs(
     """
     matches, originals, largest = keyed_names(names, stage, min_score, quiet_address, hot_rows)
     key = [*_ADDRESS, "signature"]
-    m = matches.select(*key, F.col("name").alias("match"), F.col("profile").alias("a"))
+    m = matches.select(
+        *key, F.col("name").alias("match"), F.col("profile").alias("a"), F.col("at").alias("a_at")
+    )
     o = originals.select(
-        *key, F.col("name").alias("original"), F.col("profile").alias("b"), "rank", "first_subject"
+        *key,
+        F.col("name").alias("original"),
+        F.col("profile").alias("b"),
+        F.col("at").alias("b_at"),
+        "rank",
+        "first_subject",
     )
     hot = hot_from_rows(m, key, hot_rows) if largest >= hot_rows else {}
     a, b = F.col("a"), F.col("b")
     met = salted_join(m, o, key, hot).filter("match <> original")
+    # At a quiet address names of any length meet; the cheap tests take those out as well.
+    met = met.filter((F.col("signature") == "") | may_meet(a, b, F.col("a_at"), F.col("b_at"), min_score))
     near = met.filter(may_be_similar(a, b, min_score)).dropDuplicates(["match", "original"])
     near = stage.keep(near.withColumn("sure", is_surely_similar(a, b, min_score)), "near")
     pair = ["match", "original", "rank", "first_subject"]

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from placeweave.functions.similarity import (
     is_surely_similar,
     lcs_length,
     may_be_similar,
+    may_meet,
     numbered_grams,
     profile,
     signatures,
@@ -151,26 +153,71 @@ def test_scores(spark):
         assert row["similar"] or not row["sure"]
 
 
-@pytest.mark.parametrize("min_score", [70, 90, 95])
-def test_similar_texts_share_a_signature(spark, min_score):
+def grams_in_order(text, is_common):
+    """Any order of the grams will do, if it is the same for all; `is_common` says which are common."""
+    grams = F.array_sort(numbered_grams(text))
+    return F.transform(grams, lambda g: F.struct(g.alias("gram"), is_common(g).alias("common")))
+
+
+COMMON = {"none": lambda g: F.lit(False), "some": lambda g: F.ascii(g) % 2 == 0, "all": lambda g: F.lit(True)}
+
+
+@pytest.mark.parametrize("min_score, kind", [(70, "some"), (90, "none"), (90, "some"), (95, "all")])
+def test_similar_texts_share_a_signature(spark, min_score, kind):
     pairs = random_pairs(1500, min_score) + [(a * 3, b * 3) for a, b in random_pairs(200, 8)]
+    pairs += long_pairs(min_score)
     frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
-    a, b = F.col("a"), F.col("b")
-    # Any order of the grams will do, if it is the same for all.
-    own, other = (
-        signatures(x, F.array_sort(numbered_grams(x)), min_score, first)
-        for x, first in ((a, True), (b, False))
-    )
-    shared = F.arrays_overlap(own, other)
-    rows = frame.select("i", shared.alias("shared")).orderBy("i").collect()
+    sides = []
+    for c, is_match in (("a", True), ("b", False)):
+        keys = signatures(F.col(c), grams_in_order(F.col(c), COMMON[kind]), min_score, is_match)
+        found = frame.select("i", profile(F.col(c)).alias(f"{c}_profile"), F.explode(keys).alias("found"))
+        sides.append(found.select("i", f"{c}_profile", "found.key", F.col("found.at").alias(f"{c}_at")))
+    met = sides[0].join(sides[1], ["i", "key"])
+    profiles = F.col("a_profile"), F.col("b_profile")
+    met = met.filter(may_meet(*profiles, F.col("a_at"), F.col("b_at"), min_score))
+    shared = {r["i"] for r in met.select("i").distinct().collect()}
     similar = 0
-    for (x, y), row in zip(pairs, rows):
+    for i, (x, y) in enumerate(pairs):
         if 200 * common(x, y) >= min_score * (len(x) + len(y)):
             similar += 1
-            assert row["shared"], (x, y)
+            assert i in shared, (x, y)
     assert similar > 100
 
 
+def long_pairs(seed):
+    """Names of 1 to 300 letters, each with one that is as far away as a score of 90 allows."""
+    rng, pairs = random.Random(seed), []
+    for length in (*range(1, 20), *range(20, 301, 20)):
+        for _ in range(4):
+            a = "".join(rng.choices("abcdefgh", k=length))
+            b = list(a)
+            for _ in range(length // 10):
+                b[rng.randrange(len(b))] = rng.choice("xyz")
+            pairs.append((a, "".join(b)))
+            pairs.append((a, a + "".join(rng.choices("abc", k=length * 2 // 9))))
+    return pairs
+
+
+def test_keys_grow_with_the_length_of_a_name(spark):
+    rng = random.Random(2)
+    names = ["".join(rng.choices("abcdefgh é", k=n)) for n in range(301)] + ["é" * 300, "ab" * 100]
+    frame = spark.createDataFrame([(n,) for n in names], "a string")
+    grams = numbered_grams(F.col("a"))
+    a = F.col("a")
+    match = signatures(a, grams_in_order(a, COMMON["none"]), 90, True)
+    original = signatures(a, grams_in_order(a, COMMON["all"]), 90, False)
+    found = frame.select("a", grams.alias("grams"), match.alias("match"), original.alias("original"))
+    for row in found.collect():
+        name, seen = row["a"], Counter()
+        expected = []
+        for i in range(len(name) - 2):
+            seen[name[i : i + 3]] += 1
+            expected.append(f"{name[i:i + 3]}{seen[name[i:i + 3]]}")
+        assert sorted(row["grams"]) == sorted(expected)
+        for role in ("match", "original"):
+            assert 1 <= len(row[role]) <= 0.7 * len(name) + 1
+
+
 def test_clean_name_model_on_random_text(spark):
     rng = random.Random(1)
     values = ["".join(rng.choices("ab'\"?/- 1T\x1c١\u0085\n’“&#;t", k=rng.randint(0, 9)))
