@@ -16,7 +16,7 @@ from placeweave.functions.text import clean_name, drop_decimal_zero
 from placeweave.operators import dedup, fuzzy, graph, relational
 from placeweave.plans import jobs, products
 from placeweave.schema import KEY_COLUMNS, PLACE_COLUMNS, VERDICT_COLUMNS
-from placeweave.sources import store, tables
+from placeweave.sources import responses, store, tables
 from placeweave.staging import Stage
 
 try:
@@ -57,7 +57,7 @@ def _through_csv(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return tables.read_places(spark, path).select(PLACE_COLUMNS)
 
 
-def bindings_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _responses(spark: SparkSession, sf_dir: str) -> str:
     rows = fixtures.places_with_position(spark, sf_dir)
     cells = [
         x
@@ -69,7 +69,16 @@ def bindings_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = rows.groupBy(F.floor(F.col("n") / 500)).agg(F.collect_list(bound).alias("bindings"))
     path = Stage(spark).path("responses")
     pages.select(F.to_json(F.struct(F.struct("bindings").alias("results")))).write.text(path)
-    return tables.read_bindings(spark, path, response_per_line=True)
+    return path
+
+
+def bindings_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_bindings(spark, _responses(spark, sf_dir), response_per_line=True)
+
+
+def bindings_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the data source, which reads a response binding by binding."""
+    return responses.read_responses(spark, _responses(spark, sf_dir))
 
 
 # -- graph --------------------------------------------------------------------------------
@@ -87,6 +96,17 @@ def product_from_store(name: str, spark: SparkSession, sf_dir: str) -> DataFrame
     return products.fetch(name, store.read_store(spark, path, buckets=8), stage)
 
 
+def quads_head_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many quads a preview in any order has, and how many of them the store has."""
+    quads = fixtures.quads(spark, sf_dir)
+    some = graph.head(quads, 100, ordered=False)
+    same = [some[c].eqNullSafe(quads[c]) for c in ("g", "s", "p", "o")]
+    found = some.join(quads, same, "left_semi")
+    return some.agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("known")).union(
+        found.agg(F.lit(0), F.count(F.lit(1)))
+    ).agg(F.max("n").alias("n"), F.max("known").alias("known"))
+
+
 def subject_count_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the count from the sketches of two halves of the store is near the exact one."""
     quads = fixtures.quads(spark, sf_dir)
@@ -161,6 +181,19 @@ def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.stage_counts(merged, fixtures.MAPPING, fixtures.QUARANTINE, Stage(spark))
 
 
+def cleanse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the cleansing run itself."""
+    merged = merged_places(spark, sf_dir)
+    return jobs.cleanse_counted(merged, fixtures.MAPPING, fixtures.QUARANTINE, Stage(spark))[1]
+
+
+def cleanse_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of that run."""
+    merged = merged_places(spark, sf_dir)
+    places, _ = jobs.cleanse_counted(merged, fixtures.MAPPING, fixtures.QUARANTINE, Stage(spark))
+    return places.select(*PLACE_COLUMNS, *VERDICT_COLUMNS)
+
+
 def stage_counts_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with mapping and quarantine as long tables."""
     stage = Stage(spark)
@@ -337,8 +370,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_places": load_places,
         "csv_roundtrip": csv_roundtrip,
         "bindings_flatten": bindings_flatten,
+        "bindings_streamed": bindings_streamed,
         "stage_counts": stage_counts,
+        "cleanse_counts": cleanse_counts,
+        "cleanse_counted": cleanse_counted,
         "quads_head": partial(product, "head"),
+        "quads_head_any": quads_head_any,
         "subject_count": partial(product, "count"),
         "subject_count_sketch": subject_count_sketch,
         "filter_type": filter_type,

@@ -454,6 +454,11 @@ def oracle_sql() -> dict[str, str]:
     found["product_erfgoed_union"] = query(erfgoed, quads_cte(), triples)
     found["product_jeugdmaps_store"] = found["product_jeugdmaps"]
     found["product_publiq_store"] = found["product_publiq"]
+    found["bindings_streamed"] = found["bindings_flatten"]
+    found["cleanse_counts"] = found["stage_counts"]
+    found["cleanse_counted"] = found["cleanse"]
+    some = f"least(100, (SELECT count(*) FROM ({named} UNION ALL {default})))"
+    found["quads_head_any"] = query(f"SELECT {some} AS n, {some} AS known", quads_cte())
     found |= {
         "collapse_overrides": query(
             f"SELECT {PLACE_LIST} FROM collapsed", places_cte(), MERGED_CTE,

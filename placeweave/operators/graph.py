@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from placeweave.operators.skew import HOT_ROWS, Hot, hot_from_counts, salted_join
@@ -209,9 +209,11 @@ def follow(
 def head(quads: DataFrame, limit: int = 5, ordered: bool = True) -> DataFrame:
     """The first quads: those of named graphs, then default triples that are in no named graph.
 
-    Ordered by (g, s, p, o), so that the answer is the same on every run; without `ordered`, any
-    of them, which need not read the whole store.
+    Ordered by (g, s, p, o), so that the answer is the same on every run. Without `ordered` any of
+    them, found at once: Spark reads the store partition by partition until there are enough.
     """
+    if not ordered:
+        return _any_quads(quads, limit)
     order = [F.asc_nulls_last("g"), "s", "p", "o"]
     columns = ["g", "s", "p", "o"]
     named = named_graphs(quads).select(columns).distinct()
@@ -219,7 +221,34 @@ def head(quads: DataFrame, limit: int = 5, ordered: bool = True) -> DataFrame:
     rest = default_graph(quads).distinct().join(known, ["s", "p", "o"], "left_anti")
     rest = rest.withColumn("g", F.lit(None).cast("string")).select(columns)
     found = named.unionByName(rest)
-    return (found.orderBy(*order) if ordered else found).limit(limit)
+    return found.orderBy(*order).limit(limit)
+
+
+def _any_quads(quads: DataFrame, limit: int) -> DataFrame:
+    """Some quads for `head`. Default triples are taken only if the named graphs have fewer than
+    `limit` quads, so that those taken are all that a default triple has to be told apart from."""
+    quads = quads.select("g", "s", "p", "o")
+    found = _different(named_graphs(quads), limit)
+    known = {tuple(row[1:]) for row in found if None not in row}
+    missing = limit - len(found)
+    if missing > 0:
+        rest = _different(default_graph(quads), missing + len(known))
+        found += [(None, *row) for row in rest if tuple(row) not in known][:missing]
+    return quads.sparkSession.createDataFrame(found, quads.schema)
+
+
+def _different(rows: DataFrame, limit: int) -> list[Row]:
+    """Up to `limit` different rows, all of them if there are fewer.
+
+    A statement rarely repeats, so a few slices, each larger than the last, suffice; if they hold
+    too many equal rows, Spark makes the rows distinct.
+    """
+    for size in (limit, 4 * limit, 16 * limit):
+        slice_ = rows.take(size)
+        found = list(dict.fromkeys(slice_))
+        if len(found) >= limit or len(slice_) < size:
+            return found[:limit]
+    return rows.distinct().limit(limit).collect()
 
 
 def _counted_subjects(quads: DataFrame, union: bool) -> DataFrame:

@@ -58,17 +58,36 @@ def collapse_by_id(
     """
     overrides = overrides or {}
     values = [c for c in rows.columns if c != "subject" and c not in order]
-
-    def first(column: str) -> Column:
-        placed = F.struct(*order, F.col(column).alias("_value"))
-        return F.min(F.when(F.col(column).isNotNull(), placed))
-
-    found = {c: overrides.get(c, first(c)).alias(c) for c in values}
+    found = {c: overrides.get(c, _first(c, order)).alias(c) for c in values}
     groups = rows.filter("subject IS NOT NULL").groupBy("subject").agg(*found.values())
     unpacked = [F.col(c) if c in overrides else F.col(c)["_value"].alias(c) for c in values]
     return groups.select("subject", *unpacked)
 
 
+def _first(column: str, order: list[str], where: Column | None = None) -> Column:
+    """The column's first value that is not null, of the rows for which `where` holds, with its place."""
+    placed = F.struct(*order, F.col(column).alias("_value"))
+    counts = F.col(column).isNotNull()
+    return F.min(F.when(counts if where is None else counts & where, placed))
+
+
+def collapse_counted(rows: DataFrame, order: list[str], mapping: Mapping) -> DataFrame:
+    """One row per `subject`, null included, with the values that `collapse_by_id` finds in its rows of
+    a known type, how many of its rows were `_loaded`, and how many are `_known` by their type.
+
+    Rows of an unknown type come along to be counted, so unlike in `filter_type` they are read.
+    """
+    values = [c for c in rows.columns if c != "subject" and c not in order]
+    rows, known = _with_known(with_columns(rows, ["udbLocationType"]), mapping)
+    groups = rows.groupBy("subject").agg(
+        *[_first(c, order, known).alias(c) for c in values],
+        F.count(F.lit(1)).alias("_loaded"),
+        F.count_if(known).alias("_known"),
+    )
+    unpacked = [F.col(c)["_value"].alias(c) for c in values]
+    return groups.select("subject", *unpacked, "_loaded", "_known")
+
+
 # -- type filter and mapping --------------------------------------------------------------
 
 
@@ -120,6 +139,15 @@ def map_type(places: DataFrame, mapping: Mapping) -> DataFrame:
     return found.withColumn("locationType", location_type).select(places.columns)
 
 
+def _with_known(places: DataFrame, mapping: Mapping) -> tuple[DataFrame, Column]:
+    """The rows, and whether a row's type passes the type filter."""
+    mapping = inline_map(mapping)
+    if isinstance(mapping, dict):
+        return places, is_known_type(list(mapping))
+    found = _look_up(places, mapping.select("key", F.lit(True).alias("_listed")))
+    return found, F.coalesce("_listed", F.col("udbLocationType").isNull())
+
+
 def _look_up(places: DataFrame, mapping: DataFrame) -> DataFrame:
     """The rows with their value of the mapping, by a plain join that reads the places once.
 
@@ -250,25 +278,30 @@ def stage_counts(
     the cleansing job. Counts are ordinary aggregates, so they stay right when a task runs again.
     """
     places = with_columns(places, ["udbLocationType"]).select("subject", "udbLocationType")
-    mapping = inline_map(mapping)
-    if isinstance(mapping, dict):
-        known = is_known_type(list(mapping))
-    else:
-        places = _look_up(places, mapping.withColumn("_known", F.lit(True)))
-        known = F.coalesce("_known", F.col("udbLocationType").isNull())
+    places, known = _with_known(places, mapping)
     per_id = places.groupBy("subject").agg(
-        F.count(F.lit(1)).alias("loaded"), F.count_if(known).alias("known")
+        F.count(F.lit(1)).alias("_loaded"), F.count_if(known).alias("_known")
     )
     per_id = stage.keep(per_id, "per-id")
-    grouped = per_id.filter("known > 0 AND subject IS NOT NULL").select("subject")
+    kept = remove_quarantined(known_ids(per_id).select("subject"), patterns, mode, stage)
+    return counts_of(per_id, kept)
+
+
+def known_ids(per_id: DataFrame) -> DataFrame:
+    """The ids of a counted table that have a row of a known type."""
+    return per_id.filter("_known > 0 AND subject IS NOT NULL")
+
+
+def counts_of(per_id: DataFrame, kept: DataFrame) -> DataFrame:
+    """(stage, n) from a table with `_loaded` and `_known` per id, and the rows left at the end."""
 
     def rows(name: str, total: Column, table: DataFrame) -> DataFrame:
         return table.agg(F.coalesce(total, F.lit(0)).alias("n")).select(F.lit(name).alias("stage"), "n")
 
     counts = [
-        rows("load", F.sum("loaded"), per_id),
-        rows("filter", F.sum("known"), per_id),
-        rows("group", F.count(F.lit(1)), grouped),
-        rows("remove", F.count(F.lit(1)), remove_quarantined(grouped, patterns, mode, stage)),
+        rows("load", F.sum("_loaded"), per_id),
+        rows("filter", F.sum("_known"), per_id),
+        rows("group", F.count(F.lit(1)), known_ids(per_id)),
+        rows("remove", F.count(F.lit(1)), kept),
     ]
     return reduce(DataFrame.union, counts)

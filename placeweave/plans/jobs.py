@@ -20,7 +20,10 @@ from placeweave.operators.relational import (
     Mapping,
     Patterns,
     collapse_by_id,
+    collapse_counted,
+    counts_of,
     filter_type,
+    known_ids,
     map_type,
     merge_by_name,
     remove_quarantined,
@@ -101,6 +104,32 @@ def cleanse(
     return deduplicate(places, stage, null_keys_match, hot_rows)
 
 
+def cleanse_counted(
+    rows: DataFrame,
+    mapping: Mapping,
+    patterns: Patterns,
+    stage: Stage,
+    order: list[str] | None = None,
+    mode: str = "regex",
+    null_name_text: str | None = None,
+    null_keys_match: bool = True,
+    hot_rows: int = HOT_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """The places of `cleanse`, and the rows after each of its steps as `stage_counts` has them.
+
+    The rows are read once: the collapsed table, which is written anyway, carries the counts per
+    id. They are summed from the written tables, so they stay right when a task runs again. The
+    price is that rows of an unknown type take part in the collapse.
+    """
+    order = order or [c for c in (SOURCE, ROW) if c in rows.columns]
+    per_id = collapse_counted(with_columns(rows, PLACE_COLUMNS), order, mapping)
+    per_id = stage.keep(per_id, "per-id")
+    known = known_ids(per_id).drop("_loaded", "_known")
+    places = remove_quarantined(known, patterns, mode, stage)
+    places = stage.keep(map_type(clean_columns(places, null_name_text), mapping), "places")
+    return deduplicate(places, stage, null_keys_match, hot_rows), counts_of(per_id, places)
+
+
 def end_to_end(
     stores: dict[str, DataFrame],
     mapping: Mapping,

@@ -189,6 +189,20 @@ def test_head_in_any_order(spark):
     found = [tuple(r) for r in head(quads, 10, ordered=False).collect()]
     assert sorted(found, key=repr) == sorted([rows[0], rows[1], rows[3]], key=repr)
     assert head(quads, 2, ordered=False).count() == 2
+    assert head(quads, 0, ordered=False).count() == head(quads.limit(0), 5, ordered=False).count() == 0
+    many = spark.createDataFrame(rows[:1] * 200 + rows[2:3] * 200 + rows[3:], SCHEMA)
+    found = [tuple(r) for r in head(many, 2, ordered=False).collect()]
+    assert sorted(found, key=repr) == sorted([rows[0], rows[3]], key=repr)
+
+
+@pytest.mark.parametrize("graph_name", ["'g'", "CAST(NULL AS STRING)"])
+def test_head_in_any_order_leaves_most_of_the_store_unread(spark, graph_name):
+    quads = spark.range(0, 1_000, 1, 10).selectExpr(
+        f"{graph_name} AS g", "IF(id < 100, concat('s', id), raise_error('read')) AS s", "'p' AS p", "'o' AS o"
+    )
+    assert head(quads, 20, ordered=False).count() == 20
+    with pytest.raises(Exception, match="read"):
+        head(quads, 20).collect()
 
 
 @pytest.mark.parametrize("product", PRODUCTS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placeweave.operators import relational
 from placeweave.plans import jobs
+from placeweave.plans.jobs import cleanse, cleanse_counted
 from placeweave.operators.relational import (
     collapse_by_id,
     filter_type,
@@ -142,9 +143,35 @@ def test_stage_counts(spark, stage, mapping, mode, line):
     for patterns in ([line], lines):
         found = dict(map(tuple, stage_counts(frame, mapping, patterns, stage, mode).collect()))
         assert found == {"load": 6, "filter": 4, "group": 3, "remove": 2}
+        if mode != "regex":
+            continue
+        places, counts = cleanse_counted(frame.withColumn("_row", F.lit(1)), mapping, patterns, stage, mode=mode)
+        assert dict(map(tuple, counts.collect())) == found
+        assert sorted(r["subject"] for r in places.collect()) == ["a", "c"]
     assert {r["n"] for r in stage_counts(frame.limit(0), mapping, lines, stage).collect()} == {0}
 
 
+def test_the_counted_run_reads_its_input_once(spark, stage, monkeypatch):
+    rows = [("a", "k9", "late", 1), ("a", "k1", "first", 2), ("a", "k1", "next", 3), ("b", "k9", "b", 4),
+            ("c", None, None, 5), (None, "k1", "nameless", 6)]
+    frame = spark.createDataFrame(rows, "subject string, udbLocationType string, locationName string, _row int")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    long = spark.createDataFrame([(f"k{i}", "x") for i in range(1, 8)], "key string, value string")
+    monkeypatch.setattr(relational, "INLINE_ROWS", 5)
+    places, counts = cleanse_counted(frame.mapInArrow(counted, frame.schema), long, ["zz"], stage)
+    assert dict(map(tuple, counts.collect())) == {"load": 6, "filter": 4, "group": 2, "remove": 2}
+    expected = cleanse(frame, long, ["zz"], stage).select(places.columns)
+    assert sorted(map(tuple, places.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+    assert {r["subject"]: r["locationName"] for r in places.collect()} == {"a": "first", "c": None}
+    assert reads.value == len(rows)
+
+
 @pytest.mark.parametrize("inline_rows", [1_000, 5])
 def test_a_mapping_table_has_one_rule_at_every_size(spark, monkeypatch, inline_rows):
     monkeypatch.setattr(relational, "INLINE_ROWS", inline_rows)

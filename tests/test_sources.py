@@ -1,6 +1,9 @@
 """CSV, query-result JSON, mapping and pattern files; written intermediate tables."""
 
+import io
+import itertools
 import json
+import tracemalloc
 
 import pandas as pd
 import pytest
@@ -10,7 +13,7 @@ from placeweave import vocabulary
 from placeweave.operators.relational import collapse_by_id, filter_type, merge_by_name, remove_quarantined
 from placeweave.plans import jobs, products
 from placeweave.schema import PLACE_COLUMNS, VERDICT_COLUMNS
-from placeweave.sources import tables
+from placeweave.sources import responses, tables
 from placeweave.staging import CHECKPOINT_DIR, Stage, checkpoint_folder
 
 
@@ -112,6 +115,55 @@ def test_bindings(spark, tmp_path):
     assert sorted(r["subject"] for r in found.collect()) == list("01234")
 
 
+def response(rows, **more):
+    cells = [{k: {"type": "literal", "value": v} for k, v in r.items()} for r in rows]
+    return {"head": {"vars": ["bindings"], "results": [{"bindings": [1]}]}, "results": {"x": 1, "bindings": cells}, **more}
+
+
+def test_responses_binding_by_binding(spark, tmp_path):
+    long = "é\U0001f600 \"]}," * 40_000
+    (tmp_path / "a.json").write_text(json.dumps(response([{"s": "1", "t": ""}, {"s": long}]), indent=2))
+    (tmp_path / "b.json").write_text("\ufeff" + json.dumps(response([{"t": "b"}], boolean=True), ensure_ascii=False))
+    several = [response([{"s": str(i)}]) for i in range(3)] + [response([]), {"results": None}, {}]
+    (tmp_path / "c.json").write_text("\n".join(map(json.dumps, several)))
+    (tmp_path / "d.json").write_text("")
+    (tmp_path / "e.json").write_text('{"results": {"bindings": [{"s": {"value": 12.5}}, {"s": {"value": "\\ud800"}}, {"s": null}]}}')
+    (tmp_path / "_f.json").write_text("not read")
+    found = responses.read_responses(spark, str(tmp_path), ["s", "t"])
+    assert found.columns == ["s", "t"]
+    expected = [("1", ""), (long, None), (None, "b"), ("0", None), ("1", None), ("2", None),
+                ("12.5", None), ("?", None), (None, None)]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+    assert found.rdd.getNumPartitions() == 4
+    one = responses.read_responses(spark, str(tmp_path / "b.json"))
+    assert one.columns == PLACE_COLUMNS and one.count() == 1
+    (tmp_path / "none").mkdir()
+    assert responses.read_responses(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("text", ['{"results": {"bindings": [{"s"', '{"results": {"bindings": [{} {}]}}', "[1]", "{1: 2}"])
+def test_what_is_no_response_is_an_error(text):
+    with pytest.raises(ValueError):
+        list(responses.bindings(io.BytesIO(text.encode())))
+
+
+def test_a_large_response_takes_the_memory_of_a_block():
+    one = json.dumps({c: {"type": "literal", "value": c * 20} for c in PLACE_COLUMNS}).encode() + b","
+    count = 20_000_000 // len(one)
+
+    class Stream:
+        parts = itertools.chain([b'{"results": {"bindings": ['], itertools.repeat(one, count), [b"{}]}}"])
+
+        def read(self, size):
+            return b"".join(itertools.islice(self.parts, max(1, size // len(one))))
+
+    tracemalloc.start()
+    seen = sum(1 for _ in responses.bindings(Stream()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == count + 1 and peak < 2_000_000
+
+
 def test_code_lists_from_files(spark, tmp_path):
     mapping, patterns = tmp_path / "map.json", tmp_path / "list.txt"
     mapping.write_text(json.dumps(vocabulary.TYPE_MAPPING, indent=4))
