@@ -3,8 +3,11 @@
 A vector is turned by random rotations and keeps the signs, one bit for each dimension. The sum of
 the turned vector's absolute parts says how well its signs stand for it; with that factor, the
 signs give an unbiased estimate of the cosine with any other vector, and a bound of its error. Bits
-of the codes are the keys of buckets; within a bucket, only pairs whose estimate is within the
-bound of the threshold are computed exactly, and only those decide.
+of the codes are the keys of buckets. A sketch of some fifty bytes is stored once for each vector:
+the signs of the first rotation, their factor, and the turned vector in four bits a dimension,
+rounded at drawn thresholds, so that the estimate stays unbiased. Only sketches go to the buckets,
+where bits are counted; vectors are fetched for the rows that have a pair whose estimate is within
+its bound of the threshold, and only such pairs are computed exactly, which decides.
 """
 
 from collections.abc import Iterator
@@ -13,7 +16,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +29,13 @@ from placeweave.staging import Stage
 RECALL = 0.999
 PAIRS, PAIR_BLOCK = 20_000, 1_000
 # Vectors without a near one that a bucket should hold.
-BUCKET = 4
+BUCKET = 16
 # The bound on an estimate's error, in standard errors.
 SURE = 4.0
+# What the single precision of a sketch can add to an error.
+SLACK = 1e-5
+# Bits for each dimension of a rounded vector.
+LEVELS = 4
 # Vectors compared in one block.
 TILE = 256
 _SEED = 20_240_601
@@ -81,7 +87,7 @@ def first_bands(size: int, plan: Plan, seed: list[int]) -> np.ndarray:
         other -= (other * left).sum(1, keepdims=True) * left
         other /= np.linalg.norm(other, axis=1, keepdims=True)
         right = plan.threshold * left + np.sqrt(1 - plan.threshold**2) * other
-        keys = codes(np.concatenate([left, right]), plan)[2]
+        keys = codes(np.concatenate([left, right]), plan)[1]
         same = keys[:PAIR_BLOCK] == keys[PAIR_BLOCK:]
         found.append(np.where(same.any(1), same.argmax(1), plan.bands))
     return np.concatenate(found)
@@ -94,31 +100,86 @@ def rotation(size: int, number: int) -> np.ndarray:
     return turned * np.sign(np.diag(upper))
 
 
-def codes(vectors: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signs (bool, a bit for each dimension and rotation), correction factors and band keys."""
+def codes(vectors: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors turned by the first rotation, and the band keys from the signs of all."""
     size = vectors.shape[1]
     turned = [vectors @ rotation(size, k) for k in range(plan.rotations(size))]
     signs = np.concatenate([t >= 0 for t in turned], 1)
-    factors = np.stack([np.abs(t).sum(1) / np.sqrt(size) for t in turned], 1)
     used = signs[:, : plan.bits * plan.bands].reshape(len(vectors), plan.bands, plan.bits)
     keys = used @ (np.int64(1) << np.arange(plan.bits, dtype=np.int64))
-    return signs, factors, keys
-
+    return turned[0], keys
+
+
+def sketch_type(size: int) -> np.dtype:
+    """Signs of a turned vector, the bits of its rounded parts, and how to read both."""
+    words = -(-size // 64)
+    return np.dtype(
+        [
+            ("signs", "<u8", (words,)),
+            ("planes", "<u8", (LEVELS, words)),
+            ("factor", "<f4"),
+            ("low", "<f4"),
+            ("step", "<f4"),
+        ]
+    )
 
-def estimate(
-    signs: np.ndarray, factors: np.ndarray, turned: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of coded vectors with turned ones, row by row, and their bounds.
 
-    With one rotation the estimate is that of the signs' unit vector, over its factor; the mean of
-    independent rotations is as unbiased and has a smaller error.
-    """
-    count = factors.shape[1]
-    size = signs.shape[1] // count
-    unit = np.where(signs, 1.0, -1.0).reshape(-1, count, size) / np.sqrt(size)
-    products = np.einsum("rkd,rkd->rk", unit, turned.reshape(-1, count, size))
-    error = np.sqrt(np.maximum(0, 1 - factors**2)) / factors / np.sqrt(max(1, size - 1))
-    return (products / factors).mean(1), SURE * np.sqrt((error**2).sum(1)) / count
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as 64-bit numbers."""
+    padded = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
+    return np.packbits(padded, axis=1, bitorder="little").view("<u8")
+
+
+def sketches(turned: np.ndarray) -> np.ndarray:
+    """The sketch of each turned vector of length one."""
+    count, size = turned.shape
+    found = np.zeros(count, sketch_type(size))
+    found["signs"] = _packed(turned >= 0)
+    found["factor"] = np.abs(turned).sum(1) / np.sqrt(size)
+    top = (1 << LEVELS) - 1
+    low = turned.min(1).astype(np.float32)
+    step = ((turned.max(1) - low) / top).astype(np.float32)
+    found["low"], found["step"] = low, step
+    # Drawn once for each dimension: a part is rounded up as often as it is near the next level.
+    draw = np.random.default_rng([_SEED, size]).random(size)
+    scaled = (turned - low[:, None]) / np.where(step > 0, step, 1)[:, None]
+    level = np.clip(np.floor(scaled + draw), 0, top).astype(np.uint8)
+    for k in range(LEVELS):
+        found["planes"][:, k] = _packed(level >> k & 1)
+    return found
+
+
+class Sketches:
+    """Sketches of vectors of `size` numbers, and what their pairs share."""
+
+    def __init__(self, rows: np.ndarray, size: int, threshold: float):
+        self.size, self.signs = size, rows["signs"]
+        self.planes = rows["planes"].reshape(len(rows), LEVELS, -1)
+        self.factor, self.low, self.step = (
+            rows[c].astype(float) for c in ("factor", "low", "step")
+        )
+        self.ones = np.bitwise_count(self.signs).sum(1).astype(float)
+        weights = 1 << np.arange(LEVELS)
+        levels = np.bitwise_count(self.planes).sum(2) @ weights
+        self.total = self.low * size + self.step * levels
+        # Of a pair at the threshold or nearer, the part of one vector across the other is so long;
+        # the signs err by that part only, by no more than all of it, and by chance in either way.
+        across = np.sqrt(1 - max(0.0, min(1.0, threshold)) ** 2)
+        chance = min(1.0, SURE / np.sqrt(max(1, size - 1)))
+        lost = np.sqrt(np.maximum(0, 1 - self.factor**2)) / self.factor
+        self.sign_error = chance * across * lost + SLACK
+        self.step_error = min(SURE / 2, np.sqrt(size)) * self.step
+
+    def estimate(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated inner products of the signs of `i` with the rounded `j`, and their bounds,
+        which hold for pairs at the threshold or nearer."""
+        signs, shared = self.signs[i], np.zeros(len(i))
+        for k in range(LEVELS):
+            shared += np.bitwise_count(signs & self.planes[j, k]).sum(1) * float(1 << k)
+        positive = self.low[j] * self.ones[i] + self.step[j] * shared
+        factor = self.factor[i]
+        guess = (2 * positive - self.total[j]) / np.sqrt(self.size) / factor
+        return guess, self.sign_error[i] + self.step_error[j] / factor
 
 
 def near_duplicates(vectors: DataFrame, stage: Stage, threshold: float = 0.93) -> DataFrame:
@@ -127,8 +188,8 @@ def near_duplicates(vectors: DataFrame, stage: Stage, threshold: float = 0.93) -
     Two vectors of one label, not null, and of one length are linked if their cosine, in double
     precision, is at least `threshold`. Vectors that are null, empty, zero or hold a null or a
     number that is not finite link with nothing, as do rows without vec_id; those have no
-    component_id and are kept. vec_id is taken to be unique: rows that repeat one are compared as
-    vectors of their own, and share their links. Other columns are ignored.
+    component_id and are kept. Rows that repeat a vec_id are compared as vectors of their own; each
+    has the links of all of them, and none to a row of the same vec_id. Other columns are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), "label", "embedding")
     numbers = F.transform("embedding", lambda x: x.cast("double"))
@@ -144,12 +205,12 @@ def near_duplicates(vectors: DataFrame, stage: Stage, threshold: float = 0.93) -
     plans = {(r["size"], r["bits"]): plan_for(r["size"], r["bits"], threshold) for r in kinds}
     on = ["group", "size"]
     hot = skew.hot_from_counts(groups, on, "n", skew.HOT_ROWS)
-    planned = skew.salted_join(usable, groups.drop("n"), on, hot).select("id", "group", "bits", "vector")
-    coded = planned.mapInArrow(
-        _coder(plans), "id long, group long, bits int, vector array<double>, keys array<long>"
-    )
-    coded = stage.keep(coded, "codes")
-    found = stage.keep(_links(coded, plans), "found")
+    planned = skew.salted_join(usable, groups.drop("n"), on, hot)
+    planned = planned.select("id", "group", "size", "bits", "vector")
+    coded = planned.mapInArrow(_coder(plans), _CODED)
+    coded = stage.keep(coded.withColumn("row", F.monotonically_increasing_id()), "codes")
+    tiled = stage.keep(_open_rows(coded, plans, stage), "open")
+    found = stage.keep(_links(tiled, coded, plans), "found")
     counts = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     joined = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")), stage)
     joined = joined.groupBy("id").agg(F.min("component").alias("component"))
@@ -174,43 +235,83 @@ def unit_rows(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
 
 def _by_plan(table: pa.RecordBatch | pa.Table, plans: Plans) -> Iterator[tuple]:
     """The rows of each plan, with the size of their vectors."""
-    sizes = pc.list_value_length(table.column("vector")).to_numpy()
-    bits = table.column("bits").to_numpy()
+    sizes, bits = (table.column(c).to_numpy() for c in ("size", "bits"))
     for size, length in sorted(set(zip(sizes.tolist(), bits.tolist()))):
         part = table.filter(pa.array((sizes == size) & (bits == length)))
         yield part, size, plans[size, length]
 
 
+_CODED = (
+    "id long, group long, size int, bits int, vector array<double>, sketch binary, keys array<long>"
+)
+
+
 def _coder(plans: Plans):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, size, plan in _by_plan(batch, plans):
-                keys = codes(unit_rows(part.column("vector"), size), plan)[2]
+                turned, keys = codes(unit_rows(part.column("vector"), size), plan)
+                sketch = [row.tobytes() for row in sketches(turned)]
+                added = [pa.array(sketch, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(list(keys), pa.list_(pa.int64()))],
-                    ["id", "group", "bits", "vector", "keys"],
+                    [*part.columns, *added],
+                    ["id", "group", "size", "bits", "vector", "sketch", "keys"],
                 )
 
     return run
 
 
-def _links(coded: DataFrame, plans: Plans) -> DataFrame:
+_DEALT = f"{tiles.KEY} long, {tiles.SIDE} int, {tiles.DIAGONAL} boolean, row long, band int"
+
+
+def _open_rows(coded: DataFrame, plans: Plans, stage: Stage) -> DataFrame:
+    """The rows of each tile that have a pair there whose estimate leaves it open."""
+    bucket = F.xxhash64("group", "band", "key").alias("bucket")
+    banded = coded.select("*", F.posexplode("keys").alias("band", "key"))
+    sizes = banded.groupBy(bucket).agg(F.count(F.lit(1)).alias(tiles.SIZE))
+    # Only buckets that are more than a tile need their size; there are few.
+    large = stage.keep(sizes.filter(F.col(tiles.SIZE) > TILE), "large")
+    hot = skew.hot_from_counts(large, ["bucket"], tiles.SIZE, skew.HOT_ROWS)
+    sketched = banded.select(bucket, "band", "row", "group", "size", "bits", "sketch")
+    met = skew.salted_join(sketched, large, ["bucket"], hot, "left")
+    met = met.withColumn(tiles.SIZE, F.coalesce(tiles.SIZE, F.lit(1)))
+    dealt = tiles.tiled(met, F.col("bucket"), F.col("row"), TILE).drop("bucket", tiles.SIZE)
+    return tiles.by_tile(dealt).mapInArrow(_estimator(plans), _DEALT)
+
+
+def _links(tiled: DataFrame, coded: DataFrame, plans: Plans) -> DataFrame:
     """(id, n_links, root) from each tile where a vector has links: how many of them are counted
     there, and the smallest id that it reaches there."""
-    banded = coded.select("id", "group", F.posexplode("keys").alias("band", "key"))
-    bucket = ["group", "band", "key"]
-    sizes = banded.groupBy(bucket).agg(F.count(F.lit(1)).alias(tiles.SIZE))
-    shared = banded.join(sizes.filter(F.col(tiles.SIZE) > 1), bucket)
-    met = shared.select("id", "group", "band", "key", tiles.SIZE).join(
-        coded.select("id", "bits", "vector"), "id"
-    )
-    dealt = tiles.tiled(met, F.struct(*bucket), F.col("id"), TILE)
-    columns = [tiles.KEY, tiles.SIDE, tiles.DIAGONAL, "id", "band", "group", "bits", "vector"]
-    return tiles.by_tile(dealt.select(columns)).mapInArrow(
+    return tiles.by_tile(tiled.join(coded, "row")).mapInArrow(
         _comparer(plans), "id long, n_links long, root long"
     )
 
 
+def _open_pairs(
+    table: pa.Table, size: int, plan: Plan
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    rows = np.frombuffer(b"".join(table.column("sketch").to_pylist()), sketch_type(size))
+    known = Sketches(rows, size, plan.threshold)
+    band, group = (table.column(c).to_numpy() for c in ("band", "group"))
+    for i, j in tiles.pairs(table):
+        guess, bound = known.estimate(i, j)
+        meets = (guess + bound >= plan.threshold) & (band[i] == band[j]) & (group[i] == group[j])
+        yield i[meets], j[meets]
+
+
+def _estimator(plans: Plans):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tiles.whole_tiles(batches):
+            for part, size, plan in _by_plan(table, plans):
+                is_open = np.zeros(part.num_rows, bool)
+                for i, j in _open_pairs(part, size, plan):
+                    is_open[i] = is_open[j] = True
+                names = [tiles.KEY, tiles.SIDE, tiles.DIAGONAL, "row", "band"]
+                yield from part.select(names).filter(pa.array(is_open)).to_batches()
+
+    return run
+
+
 def _comparer(plans: Plans):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tiles.whole_tiles(batches):
@@ -222,27 +323,22 @@ def _comparer(plans: Plans):
 
 def _compare(table: pa.Table, size: int, plan: Plan) -> pa.RecordBatch:
     vectors = unit_rows(table.column("vector"), size)
-    signs, factors, keys = codes(vectors, plan)
-    turned = np.concatenate(
-        [vectors @ rotation(size, k) for k in range(plan.rotations(size))], 1
-    )
-    band, group = (table.column(c).to_numpy() for c in ("band", "group"))
-    ids = table.column("id").to_numpy()
+    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, plan.bands)
+    band, ids = (table.column(c).to_numpy() for c in ("band", "id"))
     links = np.zeros(len(ids), np.int64)
     root = np.arange(len(ids))
-    for i, j in tiles.pairs(table, 20_000):
-        # A pair that meets in several buckets is compared in that of its first common band.
-        same = keys[i] == keys[j]
-        first = same.any(1) & (same.argmax(1) == band[i]) & (band[i] == band[j]) & (group[i] == group[j])
-        i, j = i[first], j[first]
-        guess, bound = estimate(signs[i], factors[i], turned[j])
-        open_ = guess + bound >= plan.threshold
-        i, j = i[open_], j[open_]
-        near = np.einsum("rd,rd->r", vectors[i], vectors[j]) >= plan.threshold
-        i, j = i[near], j[near]
-        np.add.at(links, i, 1)
-        np.add.at(links, j, 1)
-        _join(root, ids, i, j)
+    for open_i, open_j in _open_pairs(table, size, plan):
+        for start in range(0, len(open_i), 20_000):
+            i, j = open_i[start : start + 20_000], open_j[start : start + 20_000]
+            # A pair that meets in several buckets is compared in that of its first common band.
+            first = (keys[i] == keys[j]).argmax(1) == band[i]
+            first &= (keys[i, band[i]] == keys[j, band[i]]) & (ids[i] != ids[j])
+            i, j = i[first], j[first]
+            near = np.einsum("rd,rd->r", vectors[i], vectors[j]) >= plan.threshold
+            i, j = i[near], j[near]
+            np.add.at(links, i, 1)
+            np.add.at(links, j, 1)
+            _join(root, ids, i, j)
     linked = np.flatnonzero(links)
     while (root[root] != root).any():
         root = root[root]

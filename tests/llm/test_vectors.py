@@ -128,16 +128,51 @@ def test_odd_vectors(spark, stage):
     assert not binary_codes.near_duplicates(table.limit(0), stage).collect()
 
 
-def test_estimates_are_unbiased_and_within_their_bounds():
+@pytest.mark.parametrize("size", [1, 2, 3, 16, 64, 100])
+def test_estimates_are_unbiased_and_bounded(size):
     draw = np.random.default_rng(3)
-    vectors = draw.standard_normal((2_000, 64))
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    near = vectors + 0.05 * draw.standard_normal(vectors.shape)
+    one, other = draw.standard_normal((2, 20_000, size))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (other * one).sum(1, keepdims=True) * one
+    if size > 1:
+        other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = 0.93 * one + math.sqrt(1 - 0.93**2) * other
     near /= np.linalg.norm(near, axis=1, keepdims=True)
-    plan = binary_codes.Plan(8, 24, 0.93)
-    signs, factors, _ = binary_codes.codes(vectors, plan)
-    turned = np.concatenate([near @ binary_codes.rotation(64, k) for k in range(plan.rotations(64))], 1)
-    guess, bound = binary_codes.estimate(signs, factors, turned)
-    truth = (vectors * near).sum(1)
+    turned = np.concatenate([one, near]) @ binary_codes.rotation(size, 0)
+    known = binary_codes.Sketches(binary_codes.sketches(turned), size, 0.93)
+    i = np.arange(len(one))
+    guess, bound = known.estimate(i, i + len(one))
+    truth = (one * near).sum(1)
     assert abs((guess - truth).mean()) < 0.01
-    assert (np.abs(guess - truth) <= bound).mean() > 0.999
+    # Below 18 numbers the bound is certain; above, four standard errors.
+    missed = (np.abs(guess - truth) > bound).mean()
+    assert missed == 0 if size < 18 else missed < 2e-4
+
+
+def test_sketch_is_small_and_parts_far_vectors():
+    assert binary_codes.sketch_type(64).itemsize == 52
+    draw = np.random.default_rng(4)
+    vectors = draw.standard_normal((4_000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    turned = vectors @ binary_codes.rotation(64, 0)
+    known = binary_codes.Sketches(binary_codes.sketches(turned), 64, 0.93)
+    guess, bound = known.estimate(np.arange(2_000), np.arange(2_000, 4_000))
+    assert (guess + bound >= 0.93).mean() < 0.001
+
+
+def test_repeated_ids_and_clashing_columns(spark, stage):
+    near = [1.0, 0.1, 0.0]
+    rows = [(1, [1.0, 0.0, 0.0], 1, 9), (1, [1.0, 0.0, 0.0], 1, 9), (1, [0.0, 0.0, 1.0], 1, 9)]
+    rows += [(2, near, 1, 9), (3, [0.0, 0.1, 1.0], 1, 9), (4, [0.0, 1.0, 0.0], 1, 9)]
+    names = ["row", "keys", "band", "_tile", "sketch", "id", "size", "bits"]
+    kind = f"{KIND}, " + ", ".join(f"{name} int" for name in names)
+    table = spark.createDataFrame([(*r, *[r[3]] * (len(names) - 1)) for r in rows], kind)
+    found = binary_codes.near_duplicates(table, stage).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == [
+        (1, 3, 1, True),
+        (1, 3, 1, True),
+        (1, 3, 1, True),
+        (2, 2, 1, False),
+        (3, 1, 1, False),
+        (4, 0, 4, True),
+    ]
