@@ -44,9 +44,15 @@ def read_places(spark: SparkSession, path: str, line_per_record: bool = False) -
     return with_columns(read_csv(spark, path, line_per_record), PLACE_COLUMNS)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """A folder of CSV files with header; nulls and empty texts are empty cells."""
+def write_csv(rows: DataFrame, path: str, few_files: bool = False) -> None:
+    """A folder of CSV files with header; nulls and empty texts are empty cells.
+
+    With `few_files` a small result is one file. A larger one is as many as it has parts of Spark's
+    advisory partition size, so no task writes more than that; the price is one shuffle.
+    """
     plain = rows.drop(ROW)
+    if few_files:
+        plain = plain.hint("rebalance")
     plain.write.mode("overwrite").options(**_CSV, emptyValue="", nullValue="").option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(path)

@@ -57,6 +57,24 @@ def test_csv_roundtrip(spark, tmp_path):
     ]
 
 
+def test_few_files(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 8).select(F.col("id").alias("subject"), F.md5(F.col("id").cast("string")))
+    size, floor = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = {key: spark.conf.get(key) for key in (size, floor)}
+    tables.write_csv(rows, str(tmp_path / "small"), few_files=True)
+    try:
+        spark.conf.set(size, "100k")
+        spark.conf.set(floor, "50k")
+        tables.write_csv(rows, str(tmp_path / "large"), few_files=True)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(list((tmp_path / "small").glob("*.csv"))) == 1
+    assert len(list((tmp_path / "large").glob("*.csv"))) > 1
+    for name in ("small", "large"):
+        assert tables.read_csv(spark, str(tmp_path / name)).select("subject").distinct().count() == 20_000
+
+
 def test_row_positions_follow_the_file(spark, tmp_path):
     path = tmp_path / "long.csv"
     path.write_text("subject,v\n" + "".join(f"s{i % 50},{i}\n" for i in range(20000)))

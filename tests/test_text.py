@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -91,10 +92,21 @@ def test_title_case_is_like_str_title(spark):
     letters = "abZÉéß'’ -2.ǆ\t"
     values = ["'t zwin o'neil d'hondt-plein 2de", "ÉCOLE 12 sint-jan", ""]
     values += ["".join(rng.choices(letters, k=rng.randint(0, 12))) for _ in range(500)]
+    values += ["ΑΣ", "ΑΣ.", "ΑΣ Β", "ΑΣ'Α", "ΑΣ.Α", "ΣΑΣ:Β", "Α1Σ", "ΑΣ\u0301Α", "ΣΣ", "ΑΣ''Σ", "ΑΣʰ"]
     assert apply(spark, values, title_case) == [v.title() for v in values]
     assert apply(spark, [None], title_case) == [None]
 
 
+def test_title_case_of_every_letter(spark):
+    kinds = {"Lu", "Ll", "Lt", "Lm"}
+    letters = [chr(c) for c in range(0x20000) if unicodedata.category(chr(c)) in kinds]
+    # These two got a capital in Unicode 16, which Spark knows.
+    letters = [x for x in letters if x not in "\u019b\u0264"]
+    values = [shape.replace("-", x) for x in letters for shape in ("-", "x-", "-x", "a-b")]
+    found = apply(spark, values, title_case)
+    assert [v for v, x in zip(values, found) if x != v.title()] == []
+
+
 def common(a: str, b: str) -> int:
     above = [0] * (len(b) + 1)
     for x in a:
