@@ -44,11 +44,29 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([length(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
+# Up to this edit distance, the distance may tell the longest common subsequence.
+FEW_EDITS = 8
+
+
+def common_length(a: Column, b: Column) -> Column:
+    """As `lcs_length`, which only sees the pairs that the edit distance leaves open.
+
+    The distance is never less than the difference of the lengths. If it is just that, one text is
+    a subsequence of the other; if it is one more, it must hold one replacement and no insertion
+    with a deletion, and all but one character of the shorter text are common.
+    """
+    shorter = F.least(F.char_length(a), F.char_length(b))
+    apart = F.abs(F.char_length(a) - F.char_length(b))
+    more = F.levenshtein(a, b, FEW_EDITS) - apart
+    known = F.when(a == b, shorter).when((apart <= FEW_EDITS) & more.isin(0, 1), shorter - more)
+    return F.coalesce(known, lcs_length(F.when(known.isNull(), a), F.when(known.isNull(), b)))
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """Similarity of two texts after sorting their tokens, 0 to 100."""
     a, b = sort_tokens(a), sort_tokens(b)
     total = F.char_length(a) + F.char_length(b)
-    return F.when(total == 0, 100.0).otherwise(200.0 * lcs_length(a, b) / total)
+    return F.when(total == 0, 100.0).otherwise(200.0 * common_length(a, b) / total)
 
 
 def letters(text: Column) -> Column:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeweave.functions.similarity import (
+    common_length,
     is_similar,
     is_surely_similar,
     lcs_length,
@@ -107,6 +108,21 @@ def test_title_case_of_every_letter(spark):
     assert [v for v, x in zip(values, found) if x != v.title()] == []
 
 
+def test_common_length_by_edit_distance(spark):
+    rng, pairs = random.Random(9), [("", ""), ("", "abc"), (None, "a"), ("a" * 30, "b" * 30), ("é𝄞a", "éa")]
+    for _ in range(1_500):
+        a = rng.choices("abcé", k=rng.randint(0, 14))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choices("abcé", k=rng.randint(0, 1))
+        pairs.append(("".join(a), "".join(b)))
+    pairs += [("x" * 12 + a, b) for a, b in pairs[10:30]]
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    found = frame.select("i", common_length(F.col("a"), F.col("b"))).orderBy("i").collect()
+    assert [r[1] for r in found] == [None if a is None else common(a, b) for a, b in pairs]
+
+
 def common(a: str, b: str) -> int:
     above = [0] * (len(b) + 1)
     for x in a:
