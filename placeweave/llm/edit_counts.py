@@ -1,9 +1,9 @@
 """Token counts that follow edits.
 
 A document's pre-tokens are the leaves of a segment tree: blocks of them below, and above, for each
-node, how many characters and tokens lie under it. An edit finds its place by the characters of the
-subtrees, encodes again only the pre-tokens it touches with the context that decides where they
-begin and end, and updates the sums above the blocks it changed.
+node, how many characters and tokens lie under it. The tree is stored with the document. An edit
+finds its place by the characters of the subtrees, encodes again only the pre-tokens it touches with
+the context that decides where they begin and end, and updates the sums above the blocks it changed.
 """
 
 import base64
@@ -24,10 +24,6 @@ BLOCK = 64
 LOOK_AHEAD = 2
 
 Edit = tuple[int, int, str]
-_EDITED = (
-    "n_tokens_before long, n_tokens long, n_pre_tokens long, n_edits long, "
-    "n_encoded_chars long, text string, lengths array<int>, counts array<int>"
-)
 
 
 class PieceCounter(ByteEncoder):
@@ -61,39 +57,81 @@ def _pairs(found: bytes) -> np.ndarray:
 
 
 class Tree:
-    """A text and the tree over its pre-tokens. `encoded` counts characters encoded by edits."""
+    """A text and the tree over its pre-tokens, as it was stored or, without `sizes`, built anew.
 
-    def __init__(self, text: str, pairs: np.ndarray, counter: PieceCounter):
-        self.text, self.counter, self.encoded = text, counter, 0
-        self._build(pairs.tolist())
-
-    def _build(self, pairs: list[list[int]]) -> None:
-        self.blocks = [pairs[k : k + BLOCK] for k in range(0, len(pairs), BLOCK)] or [[]]
-        self.leaves = 1 << (len(self.blocks) - 1).bit_length()
-        self.blocks += [[] for _ in range(self.leaves - len(self.blocks))]
-        sums = [[sum(p[0] for p in b), sum(p[1] for p in b)] for b in self.blocks]
-        self.sums = [[0, 0]] * self.leaves + sums
-        for node in range(self.leaves - 1, 0, -1):
-            self._sum(node)
+    `sizes` are the pre-tokens in each block, `sums` the characters and tokens below each node, the
+    root at 1 and the children of k at 2k and 2k + 1. `encoded` counts characters encoded by edits,
+    `touched` the sums that they changed.
+    """
 
-    def _sum(self, node: int) -> None:
-        left, right = self.sums[2 * node], self.sums[2 * node + 1]
-        self.sums[node] = [left[0] + right[0], left[1] + right[1]]
+    def __init__(
+        self,
+        text: str,
+        pairs: np.ndarray,
+        counter: PieceCounter,
+        sizes: np.ndarray | None = None,
+        sums: np.ndarray | None = None,
+    ):
+        self.text, self.counter, self.encoded, self.touched = text, counter, 0, 0
+        if sizes is None or sums is None:
+            self._build(pairs)
+        else:
+            self._load(pairs, sizes, sums)
+
+    def _build(self, pairs: np.ndarray) -> None:
+        starts = np.arange(0, len(pairs), BLOCK)
+        leaves = 1 << (max(1, len(starts)) - 1).bit_length()
+        sizes = np.clip(len(pairs) - BLOCK * np.arange(leaves), 0, BLOCK)
+        sums = np.zeros((2 * leaves, 2), np.int64)
+        if len(starts):
+            sums[leaves : leaves + len(starts)] = np.add.reduceat(pairs, starts, 0)
+        level = leaves
+        while level > 1:
+            sums[level // 2 : level] = sums[level : 2 * level].reshape(-1, 2, 2).sum(1)
+            level //= 2
+        self._load(pairs, sizes, sums)
+
+    def _load(self, pairs: np.ndarray, sizes: np.ndarray, sums: np.ndarray) -> None:
+        self.pairs, self.sizes, self.sums = pairs, sizes, sums
+        self.leaves, self.ends = len(sizes), np.cumsum(sizes)
+        self.changed: dict[int, list[list[int]]] = {}
+
+    def block(self, k: int) -> list[list[int]]:
+        if k in self.changed:
+            return self.changed[k]
+        return self.pairs[self.ends[k] - self.sizes[k] : self.ends[k]].tolist()
+
+    def _set(self, node: int, total: list[int] | np.ndarray) -> None:
+        self.sums[node] = total
+        self.touched += 1
 
     @property
     def n_tokens(self) -> int:
-        return self.sums[1][1]
-
-    def pre_tokens(self) -> list[list[int]]:
-        return [p for block in self.blocks for p in block]
+        return int(self.sums[1, 1])
+
+    def leaf_rows(self) -> np.ndarray:
+        """The pre-tokens, as rows of characters and tokens."""
+        parts, done = [], 0
+        for k in sorted(self.changed):
+            parts.append(self.pairs[done : self.ends[k] - self.sizes[k]])
+            parts.append(np.array(self.changed[k], np.int64).reshape(-1, 2))
+            done = self.ends[k]
+        return np.concatenate([*parts, self.pairs[done:]])
+
+    def block_sizes(self) -> np.ndarray:
+        sizes = self.sizes.copy()
+        for k, block in self.changed.items():
+            sizes[k] = len(block)
+        return sizes
 
     def _block_at(self, place: int) -> tuple[int, int]:
         """The block with the character at `place`, and where that block starts."""
         node, start = 1, 0
         while node < self.leaves:
             node *= 2
-            if place - start >= self.sums[node][0] and self.sums[node + 1][0]:
-                start += self.sums[node][0]
+            length = int(self.sums[node, 0])
+            if place - start >= length and self.sums[node + 1, 0]:
+                start += length
                 node += 1
         return node - self.leaves, start
 
@@ -105,22 +143,22 @@ class Tree:
         self.text = self.text[:start] + new + self.text[end:]
         # The first pre-token whose end may have looked at a changed character.
         block, at = self._block_at(max(0, start - LOOK_AHEAD))
-        first, k = block, 0
-        while k < len(self.blocks[block]):
-            length = self.blocks[block][k][0]
+        first, k, here = block, 0, self.block(block)
+        while k < len(here):
+            length = here[k][0]
             if at + length > start - LOOK_AHEAD:
                 break
             at, k = at + length, k + 1
-        before, begin = self.blocks[block][:k], at
+        before, begin = here[:k], at
         # Encode on until a new pre-token starts where an old one did behind the edit.
         fresh: list[list[int]] = []
-        place, old, rest = begin, begin, self.blocks[block][k:]
+        place, old, rest = begin, begin, here[k:]
         changed = start + len(new)
         while place < len(self.text):
             while old + longer < place or old < end:
-                while not rest and block + 1 < len(self.blocks):
+                while not rest and block + 1 < self.leaves:
                     block += 1
-                    rest = self.blocks[block]
+                    rest = self.block(block)
                 if not rest:
                     break
                 old, rest = old + rest[0][0], rest[1:]
@@ -131,22 +169,24 @@ class Tree:
             self.encoded += len(piece)
             place += len(piece)
         else:
-            rest, block = [], len(self.blocks) - 1
-        self.blocks[first] = before + fresh
-        for k in range(first + 1, block + 1):
-            self.blocks[k] = []
-        self.blocks[block] = self.blocks[block] + rest
-        if any(len(self.blocks[k]) > 4 * BLOCK for k in (first, block)):
-            self._build(self.pre_tokens())
+            rest, block = [], self.leaves - 1
+        filled = self.sums[self.leaves + first + 1 : self.leaves + block + 1, 0]
+        emptied = (np.flatnonzero(filled) + first + 1).tolist()
+        self.changed.update((k, []) for k in emptied)
+        if block == first:
+            self.changed[first] = before + fresh + rest
+        else:
+            self.changed[first], self.changed[block] = before + fresh, rest
+        if any(len(self.changed.get(k, [])) > 4 * BLOCK for k in (first, block)):
+            self._build(self.leaf_rows())
             return
-        for k in range(first, block + 1):
-            node = self.leaves + k
-            self.sums[node] = [sum(p[0] for p in self.blocks[k]), sum(p[1] for p in self.blocks[k])]
-        low, high = (self.leaves + first) // 2, (self.leaves + block) // 2
-        while low:
-            for node in range(low, high + 1):
-                self._sum(node)
-            low, high = low // 2, high // 2
+        nodes = {self.leaves + k for k in (first, block, *emptied)}
+        for node in nodes:
+            own = self.changed[node - self.leaves]
+            self._set(node, [sum(p[0] for p in own), sum(p[1] for p in own)])
+        while nodes := {node // 2 for node in nodes if node > 1}:
+            for node in nodes:
+                self._set(node, self.sums[2 * node] + self.sums[2 * node + 1])
 
 
 _counters: dict[str, PieceCounter] = {}
@@ -158,59 +198,89 @@ def counter(path: str) -> PieceCounter:
     return _counters[path]
 
 
+_TREE = ("lengths", "counts", "block_sizes", "char_sums", "token_sums")
+_STORED = ", ".join(f"{name} array<int>" for name in _TREE)
+_EDITED = (
+    "n_tokens_before long, n_tokens long, n_pre_tokens long, n_edits long, n_encoded_chars long, "
+    f"n_changed_sums long, text string, {_STORED}"
+)
+
+
 def count(docs: DataFrame, ranks: str) -> DataFrame:
-    """`docs` with the leaves of each document's tree: `lengths` and `counts` of its pre-tokens.
+    """`docs` with the tree of each document: `lengths` and `counts` of its pre-tokens, how many
+    are in each block, and the characters and tokens below each node.
 
-    A null text counts as empty and has none. Other columns stay, but for those that have the
-    name of a result.
+    A null text counts as empty and has no pre-tokens. Rows that repeat a doc_id, and equal texts,
+    are counted each. Other columns stay, but for those that have the name of a result.
     """
 
     def make():
         own = counter(ranks)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            return _leaves([_pairs(x) for x in own.column(batch.column("text"))])
+            found = own.column(batch.column("text"))
+            return _stored([Tree("", _pairs(x), own) for x in found])
 
         return compute
 
-    return with_computed(docs, "lengths array<int>, counts array<int>", make)
+    return with_computed(docs, _STORED, make)
+
 
+def _stored(trees: list[Tree]) -> list[pa.Array]:
+    leaves, sums = [t.leaf_rows() for t in trees], [t.sums for t in trees]
+    parts = [
+        [x[:, 0] for x in leaves],
+        [x[:, 1] for x in leaves],
+        [t.block_sizes() for t in trees],
+        [x[:, 0] for x in sums],
+        [x[:, 1] for x in sums],
+    ]
+    return [_lists(part) for part in parts]
 
-def _leaves(found: list[np.ndarray]) -> list[pa.Array]:
-    ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-    both = np.concatenate([*found, np.empty((0, 2), np.int64)]).astype(np.int32)
-    return [pa.ListArray.from_arrays(ends, pa.array(both[:, k].copy())) for k in (0, 1)]
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    values = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
 def apply_edits(counted: DataFrame, ranks: str) -> DataFrame:
     """Apply `edits` (array of start, end, new) to the rows of `count`, one after another.
 
-    Gives the counts before and after, the edited text, the leaves of its tree, and how many
-    characters were encoded again. Places count code points of the text as it is then; a null
-    edit, or one with a null part, is left out.
+    Gives the counts before and after, the edited text, its tree, and how many characters were
+    encoded and sums changed for the edits, so that later edits go on from there. Places count code
+    points of the text as it is then; a null edit, or one with a null part, is left out.
     """
 
     def make():
         own = counter(ranks)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            found, leaves = [], []
-            columns = (batch.column(c) for c in ("text", "lengths", "counts", "edits"))
-            for text, lengths, counts, edits in zip(*columns):
-                pairs = np.stack([np.array(x.values, np.int64) for x in (lengths, counts)], 1)
-                tree = Tree(text.as_py() or "", pairs, own)
+            found, trees = [], []
+            columns = (batch.column(c) for c in ("text", "edits", *_TREE))
+            for text, edits, *stored in zip(*columns):
+                tree = _read(text.as_py() or "", stored, own)
                 before, applied = tree.n_tokens, 0
                 for edit in edits.as_py() or []:
                     if edit is not None and None not in edit.values():
                         tree.edit(edit["start"], edit["end"], edit["new"])
                         applied += 1
-                after = np.array(tree.pre_tokens(), np.int64).reshape(-1, 2)
-                leaves.append(after)
-                found.append((before, tree.n_tokens, len(after), applied, tree.encoded, tree.text))
+                trees.append(tree)
+                found.append((before, tree.n_tokens, applied, tree.encoded, tree.touched, tree.text))
             kinds = [pa.int64()] * 5 + [pa.string()]
             columns = zip(*found) if found else [[]] * len(kinds)
-            return [pa.array(x, k) for x, k in zip(columns, kinds)] + _leaves(leaves)
+            made = [pa.array(x, k) for x, k in zip(columns, kinds)]
+            kept = _stored(trees)
+            n_pre_tokens = kept[0].value_lengths().cast(pa.int64())
+            return [*made[:2], n_pre_tokens, *made[2:], *kept]
 
         return compute
 
     return with_computed(counted, _EDITED, make)
+
+
+def _read(text: str, stored: list[pa.Scalar], own: PieceCounter) -> Tree:
+    lengths, counts, sizes, chars, tokens = (
+        x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in stored
+    )
+    return Tree(text, np.stack([lengths, counts], 1), own, sizes, np.stack([chars, tokens], 1))

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from placeweave.llm import arrow_files, byte_bpe, edit_counts
@@ -111,7 +112,10 @@ def test_tree_follows_edits(library):
         for _ in range(5):
             place = draw.randint(-1, len(tree.text) + 1)
             tree.edit(place, place + draw.choice([0, 2, 300]), text(draw.choice([0, 3, 200])))
-            assert tree.pre_tokens() == counter.count(tree.text).tolist()
+            assert tree.leaf_rows().tolist() == counter.count(tree.text).tolist()
+            assert tree.block_sizes().sum() == len(tree.leaf_rows())
+            level = tree.sums[1 : tree.leaves]
+            assert (level == tree.sums[2 : 2 * tree.leaves].reshape(-1, 2, 2).sum(1)).all()
             assert tree.n_tokens == len(library.encode_ordinary(tree.text))
 
 
@@ -123,6 +127,40 @@ def test_edit_encodes_only_its_surroundings():
     assert tree.encoded < 50
 
 
+def test_edit_of_a_long_text_changes_few_sums():
+    counter = edit_counts.PieceCounter(RANKS)
+    text = "some words here and there " * 40_000
+    tree = edit_counts.Tree(text, counter.count(text), counter)
+    assert tree.leaves == 4_096
+    for k in range(1, 6):
+        tree.edit(200_000 * k, 200_000 * k + 3, "new")
+    # Two paths from a block to the root at most.
+    assert tree.touched <= 5 * 2 * 13 and tree.encoded < 250
+    assert tree.n_tokens == counter.count(tree.text)[:, 1].sum()
+
+
+def test_edits_go_on_from_stored_trees(spark, library):
+    edits = "edits array<struct<start: int, end: int, new: string>>"
+    texts = {1: "a few words " * 300, 2: "", 3: "x"}
+    clash = {"lengths": "none", "counts": 1, "char_sums": "no", "n_edits": 7, "block_sizes": None}
+    kind = f"doc_id long, text string, {edits}, lengths string, counts int, char_sums string, n_edits int, block_sizes string, other int"
+    rows = [(k, t, [(5, 9, "or many"), (700, 1_500, "")], *clash.values(), k) for k, t in texts.items()]
+    docs = spark.createDataFrame([*rows, rows[0]], kind)
+    counted = edit_counts.count(docs, RANKS)
+    once = edit_counts.apply_edits(counted, RANKS)
+    again = F.array(F.struct(F.lit(3).alias("start"), F.lit(40).alias("end"), F.lit(" é").alias("new")))
+    twice = edit_counts.apply_edits(once.withColumn("edits", again), RANKS).collect()
+    assert sorted(r.other for r in twice) == [1, 1, 2, 3]
+    for r in twice:
+        text = texts[r.doc_id]
+        for start, end, new in [(5, 9, "or many"), (700, 1_500, ""), (3, 40, " é")]:
+            text = text[:start] + new + text[end:]
+        assert (r.text, r.n_tokens, r.n_edits) == (text, len(library.encode_ordinary(text)), 1)
+        assert r.token_sums[1] == sum(r.counts) and sum(r.block_sizes) == len(r.counts)
+    nothing = edit_counts.apply_edits(edit_counts.count(docs.limit(0), RANKS), RANKS)
+    assert nothing.columns == once.columns and not nothing.collect()
+
+
 def test_edit_counts_columns(spark, library):
     edits = [(0, 2, "x y"), (5, 5, None), None, (1_000, 2_000, " end")]
     rows = [(1, "a b c d e f", edits), (2, None, edits), (3, "z", None), (None, "", [])]
@@ -168,13 +206,19 @@ def test_no_files_for_no_rows(spark, stage):
 
 
 def test_queries_on_whole_table(spark, library):
-    from placeweave.llm.queries import queries
+    from placeweave.llm.queries import derived_edits, queries
 
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     encoded = {r.doc_id: r for r in queries()["op7_byte_bpe"](spark, folder).collect()}
     written = {r.doc_id: r for r in queries()["op6_arrow_files"](spark, folder).collect()}
     counted = {r.doc_id: r for r in queries()["op9_edit_counts"](spark, folder).collect()}
+    edited = {}
+    for r in derived_edits(spark.read.parquet(f"{folder}/documents.parquet")).collect():
+        text = r.text or ""
+        for edit in r.edits:
+            text = text[: edit.start] + edit.new + text[max(edit.start, edit.end) :]
+        edited[r.doc_id] = text
     words, start = Tokenizer.from_file(WORDS), 0
     for doc_id, text in sorted((r.doc_id, r.text or "") for r in docs):
         ids = library.encode_ordinary(text)
@@ -182,6 +226,8 @@ def test_queries_on_whole_table(spark, library):
         assert row.ids_sha256 == sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == sha256(text.encode()).hexdigest()
         assert row.n_tokens == counted[doc_id].n_tokens_before == len(ids)
+        assert counted[doc_id].n_tokens == len(library.encode_ordinary(edited[doc_id]))
+        assert counted[doc_id].text_sha256 == sha256(edited[doc_id].encode()).hexdigest()
         ids = np.array(words.encode(text, add_special_tokens=False).ids + [2], "<u4")
         digest = zlib.crc32(ids.tobytes())
         assert tuple(written[doc_id])[1:] == (start, len(ids), digest)
