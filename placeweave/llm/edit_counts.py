@@ -218,14 +218,38 @@ def count(docs: DataFrame, ranks: str) -> DataFrame:
         own = counter(ranks)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            found = own.column(batch.column("text"))
-            return _stored([Tree("", _pairs(x), own) for x in found])
+            found = list(own.column(batch.column("text")))
+            return new_trees(_pairs(b"".join(found)), np.array([len(x) // 8 for x in found], np.int64))
 
         return compute
 
     return with_computed(docs, _STORED, make)
 
 
+def new_trees(pairs: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """The trees of documents whose `n` pre-tokens follow one another in `pairs`, as they are stored
+    and as `Tree` builds each of them."""
+    blocks = -(-n // BLOCK)
+    leaves = np.exp2(np.ceil(np.log2(np.maximum(1, blocks)))).astype(np.int64)
+    doc = np.repeat(np.arange(len(n)), blocks)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    sizes, sums = np.zeros(leaves.sum(), np.int64), np.zeros((2 * leaves.sum(), 2), np.int64)
+    first = np.cumsum(leaves) - leaves
+    sizes[first[doc] + place] = np.minimum(BLOCK, n[doc] - BLOCK * place)
+    if len(doc):
+        starts = (np.cumsum(n) - n)[doc] + BLOCK * place
+        sums[2 * first[doc] + leaves[doc] + place] = np.add.reduceat(pairs, starts, 0)
+    for level in np.unique(leaves).tolist():
+        root = 2 * first[leaves == level][:, None]
+        while level > 1:
+            nodes = np.arange(level // 2, level)
+            sums[root + nodes] = sums[root + 2 * nodes] + sums[root + 2 * nodes + 1]
+            level //= 2
+    parts = [(pairs[:, 0], n), (pairs[:, 1], n), (sizes, leaves)]
+    parts += [(sums[:, 0], 2 * leaves), (sums[:, 1], 2 * leaves)]
+    return [_lists([values], counts) for values, counts in parts]
+
+
 def _stored(trees: list[Tree]) -> list[pa.Array]:
     leaves, sums = [t.leaf_rows() for t in trees], [t.sums for t in trees]
     parts = [
@@ -235,12 +259,13 @@ def _stored(trees: list[Tree]) -> list[pa.Array]:
         [x[:, 0] for x in sums],
         [x[:, 1] for x in sums],
     ]
-    return [_lists(part) for part in parts]
+    return [_lists(part, np.array([len(x) for x in part], np.int64)) for part in parts]
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    values = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int32)
+def _lists(parts: list[np.ndarray], counts: np.ndarray) -> pa.Array:
+    """Lists of so many numbers each, of the numbers of all parts in order."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    values = np.concatenate([*parts, np.empty(0, np.int64)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
@@ -257,11 +282,11 @@ def apply_edits(counted: DataFrame, ranks: str) -> DataFrame:
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             found, trees = [], []
-            columns = (batch.column(c) for c in ("text", "edits", *_TREE))
-            for text, edits, *stored in zip(*columns):
-                tree = _read(text.as_py() or "", stored, own)
+            texts, edited = (batch.column(c).to_pylist() for c in ("text", "edits"))
+            for text, edits, tree in zip(texts, edited, _read(batch, own)):
+                tree.text = text or ""
                 before, applied = tree.n_tokens, 0
-                for edit in edits.as_py() or []:
+                for edit in edits or []:
                     if edit is not None and None not in edit.values():
                         tree.edit(edit["start"], edit["end"], edit["new"])
                         applied += 1
@@ -279,8 +304,13 @@ def apply_edits(counted: DataFrame, ranks: str) -> DataFrame:
     return with_computed(counted, _EDITED, make)
 
 
-def _read(text: str, stored: list[pa.Scalar], own: PieceCounter) -> Tree:
-    lengths, counts, sizes, chars, tokens = (
-        x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in stored
-    )
-    return Tree(text, np.stack([lengths, counts], 1), own, sizes, np.stack([chars, tokens], 1))
+def _read(batch: pa.RecordBatch, own: PieceCounter) -> Iterator[Tree]:
+    """The stored trees of a batch, without their texts."""
+    columns = [batch.column(c) for c in _TREE]
+    lengths, counts, sizes, chars, tokens = (c.flatten().to_numpy().astype(np.int64) for c in columns)
+    pairs, sums = np.stack([lengths, counts], 1), np.stack([chars, tokens], 1)
+    ends = [np.cumsum([0, *c.value_lengths().to_pylist()]).tolist() for c in columns[::2]]
+    leaf, block, node = (zip(e, e[1:]) for e in ends)
+    for (a, b), (c, d), (e, f) in zip(leaf, block, node):
+        # The sums are changed in place, each tree's own.
+        yield Tree("", pairs[a:b], own, sizes[c:d], sums[e:f])

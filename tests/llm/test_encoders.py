@@ -139,6 +139,18 @@ def test_edit_of_a_long_text_changes_few_sums():
     assert tree.n_tokens == counter.count(tree.text)[:, 1].sum()
 
 
+def test_trees_of_a_batch_are_those_of_each_document():
+    draw = np.random.default_rng(6)
+    n = np.array([0, 1, 64, 65, 0, 128, 129, 1_000, 0, 63, 4_097])
+    pairs = draw.integers(1, 9, (n.sum(), 2))
+    together, ends = edit_counts.new_trees(pairs, n), np.cumsum([0, *n])
+    for k, (start, end) in enumerate(zip(ends, ends[1:])):
+        tree = edit_counts.Tree("", pairs[start:end], None)
+        parts = [*tree.leaf_rows().T, tree.block_sizes(), *tree.sums.T]
+        assert [c[k].as_py() for c in together] == [p.tolist() for p in parts]
+    assert [len(c) for c in edit_counts.new_trees(pairs[:0], n[:0])] == [0] * 5
+
+
 def test_edits_go_on_from_stored_trees(spark, library):
     edits = "edits array<struct<start: int, end: int, new: string>>"
     texts = {1: "a few words " * 300, 2: "", 3: "x"}
