@@ -144,6 +144,60 @@ def test_held_out_accuracy(spark, stage):
     assert sum(r.predicted == r.toxic for r in held) >= 0.97 * len(held)
 
 
+def plain_buckets(text):
+    text, found = f" {' '.join(text.lower().split())} ", set()
+    for n in (3, 4, 5):
+        for k in range(len(text) - n + 1):
+            number = 0
+            for sign in text[k : k + n]:
+                number = (number * 0x01000193 + ord(sign)) % 2**32
+            number = (number ^ number >> 15) * (0x85EBCA6B + 2 * n) % 2**32
+            found.add(number >> 14)
+    return found
+
+
+def plain_scores(rows, marks, n_features):
+    """Ratios, choice of features and regression over a table of all features."""
+    learned = [k for k in marks if zlib.crc32(str(k).encode()) % 5]
+    grams = {k: plain_buckets(rows[k]) for k in rows}
+    n_toxic = sum(marks[k] for k in learned)
+    n_other = len(learned) - n_toxic
+    toxic = Counter(b for k in learned if marks[k] for b in grams[k])
+    other = Counter(b for k in learned if not marks[k] for b in grams[k])
+
+    def clear(b):
+        share = (toxic[b] + other[b]) / len(learned)
+        return abs(toxic[b] / n_toxic - other[b] / n_other) / math.sqrt(share * (1 - share) + 1e-4)
+
+    features = sorted(sorted(toxic | other, key=lambda b: (-clear(b), b))[:n_features])
+    ratio = [math.log((toxic[b] + 1) / (n_toxic + 2) * (n_other + 2) / (other[b] + 1)) for b in features]
+    table = {k: np.array([r * (b in grams[k]) for b, r in zip(features, ratio)]) for k in rows}
+    x = np.array([[*table[k], 1.0] for k in learned])
+    y = np.array([marks[k] for k in learned])
+    share = (n_toxic + 0.5) / (len(learned) + 2)
+    theta = np.zeros(len(features) + 1)
+    theta[-1] = math.log(share / (1 - share))
+    slope, square = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, toxicity.FIT_STEPS + 1):
+        down = x.T @ (1 / (1 + np.exp(-x @ theta)) - y) / len(y)
+        down[:-1] += toxicity.PENALTY / len(y) * theta[:-1]
+        slope, square = 0.9 * slope + 0.1 * down, 0.999 * square + 0.001 * down**2
+        size = np.sqrt(square / (1 - 0.999**step)) + 1e-8
+        theta = theta - toxicity.STEP * slope / (1 - 0.9**step) / size
+    return {k: 1 / (1 + math.exp(-(table[k] @ theta[:-1] + theta[-1]))) for k in rows}
+
+
+def test_scores_equal_those_of_a_plain_model(spark, stage, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 150)
+    docs, labels = labelled(spark, 300)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    expected = plain_scores(rows, marks, 150)
+    found = toxicity.score(docs, toxicity.train(docs, labels, stage)).collect()
+    assert {r.doc_id: r.score for r in found} == pytest.approx(expected, abs=1e-4)
+    assert all(r.predicted == (r.score >= 0.5) for r in found)
+
+
 def test_held_out_labels_teach_nothing(spark, stage):
     docs, labels = labelled(spark, 300)
     other = labels.withColumn(
