@@ -64,3 +64,25 @@ def test_toxicity_stage_on_held_out_labels(spark, tmp_path):
     assert len(clean) >= 100 and len(toxic) >= 20
     assert len(clean - kept) <= 0.02 * len(clean)
     assert len(toxic & kept) <= 0.25 * len(toxic)
+
+
+def test_odd_documents_and_empty_tables(spark, tmp_path):
+    table = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = [r.text for r in corpus_pipeline.quality_rules(spark, table, FOLDER).orderBy("doc_id").limit(40).collect()]
+    classes = classes_by_brute_force(dict(enumerate(texts)), 5)[1]
+    one, two, three = [texts[k] for k, least in classes.items() if k == least][:3]
+    rows = [(1, one), (1, one), (2, one), (None, two), (3, None), (4, ""), (5, three)]
+    docs = spark.createDataFrame(
+        [(k, t, None, None, None, "more") for k, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, kept string",
+    )
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").limit(0)
+    for name, part in (("odd", docs), ("empty", docs.limit(0))):
+        folder = str(tmp_path / name)
+        part.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        found = corpus_pipeline.run(spark, folder).collect()
+        # A copy goes, rows of one doc_id and those without one stay; texts without words go.
+        expected = [1, 1, 5, None] if name == "odd" else []
+        firsts = [r.doc_id for r in found if r.piece == 0]
+        assert sorted(firsts, key=str) == sorted(expected, key=str)
