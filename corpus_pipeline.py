@@ -1,7 +1,9 @@
 """A pipeline from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents;
-the last returns the packed pieces. Rows with null or empty texts fall to the quality rules.
+the last returns the packed pieces. Rows with null or empty texts fall to the quality rules. Rows that
+repeat a doc_id, and rows without one, stay rows of their own; nulls in other columns and further
+columns change nothing, and empty tables give no rows.
 """
 
 import public_tokenizers
@@ -24,21 +26,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model of the labels, learned on the stage's own input, finds not toxic."""
+    """Documents that a model of the labels, learned on the stage's own input, finds not toxic.
+
+    A score of exactly 0.5 counts as toxic. Without labels nothing goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, Stage(spark))
     return toxicity.score(docs.select(COLUMNS), model).filter("predicted = 0").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 80 % of five-word shingles, the document of the smallest doc_id."""
+    """Of each group linked by 80 % of five-word shingles, the document of the smallest doc_id.
+
+    Rows that repeat a doc_id are one document: all of them stay or go. Rows without doc_id stay.
+    """
     verdicts = chosen_path.near_duplicates(docs, Stage(spark), width=5, percent=80)
     gone = verdicts.filter("NOT kept").select("doc_id")
     return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in sequences of 4096 tokens."""
+    """The pieces of the documents with their places in sequences of 4096 tokens.
+
+    Each row is packed for itself, also one whose doc_id repeats; of equal lengths any may come first.
+    """
     path = public_tokenizers.path("word_bpe_49k.json")
     return pieces_with_places(pack_documents(docs, Stage(spark), path))
 
