@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from oracles.sql import IDENTIFIED, NAAM, SITE_NUMBER, TYPE, address
 from placeweave import fixtures
 from placeweave import vocabulary as V
@@ -243,6 +244,23 @@ def test_both_engines_derive_the_same_quads(spark):
     assert found == Counter(rows)
 
 
+def test_quads_are_made_by_as_many_tasks_as_the_places_ask_for(spark, monkeypatch):
+    sf_dir = "/root/testdata/sf0.001"
+    monkeypatch.setattr(fixtures, "PLACES_A_TASK", 25, raising=False)
+    quads = fixtures.quads(spark, sf_dir)
+    rows = [r["count"] for r in quads.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) >= 7 and max(rows) < sum(rows) / 3
+    wanted = checking_database(sf_dir).sql(f"WITH {fixtures.quads_cte()} SELECT * FROM quads").fetchall()
+    assert Counter(map(tuple, quads.collect())) == Counter(wanted)
+
+
+@pytest.mark.parametrize("name", ["quads_head", *(f"product_{p}" for p in PRODUCTS), "product_erfgoed_union"])
+def test_queries_make_their_store_once(spark, name):
+    found = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "parquet" in plan
+
+
 def busy_store(spark, own):
     """200 sites, each with its identifier; every fourth shares an address. One has `own` names and
     `own` types."""
