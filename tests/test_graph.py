@@ -261,6 +261,25 @@ def test_queries_make_their_store_once(spark, name):
     assert "Generate" not in plan and "parquet" in plan
 
 
+@pytest.mark.parametrize("places, buckets", [(10, 20), (100_000, 8)])
+def test_a_store_has_as_many_buckets_as_the_places_ask_for(spark, monkeypatch, places, buckets):
+    sf_dir = "/root/testdata/sf0.001"
+    monkeypatch.setattr(fixtures, "PLACES_A_BUCKET", places, raising=False)
+    stored = []
+
+    def recorded(*args, read=store.read_store, **options):
+        stored.append(read(*args, **options))
+        return stored[-1]
+
+    monkeypatch.setattr(store, "read_store", recorded)
+    found = entry.queries()["product_jeugdmaps_store"](spark, sf_dir)
+    bucket = F.regexp_extract(F.input_file_name(), r"_(\d+)\.c\d+", 1)
+    rows = [r["count"] for r in stored[0].groupBy(bucket).count().collect()]
+    assert len(rows) == buckets and sum(rows) == fixtures.quads(spark, sf_dir).count()
+    plain = entry.queries()["product_jeugdmaps"](spark, sf_dir)
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, plain.collect()))
+
+
 def busy_store(spark, own):
     """200 sites, each with its identifier; every fourth shares an address. One has `own` names and
     `own` types."""
