@@ -1,6 +1,7 @@
 """Extraction jobs against a nested-loop evaluation of their patterns."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -331,6 +332,24 @@ def test_a_store_is_read_by_predicate_and_without_shuffle(spark, stage, monkeypa
     assert "Exchange" not in plan and "PartitionFilters: [p" in plan and "Bucketed: true" in plan
 
 
+def test_nodes_are_gathered_without_the_texts_of_their_properties(spark, stage, monkeypatch):
+    rows = [("n", V.RDF_TYPE, "b"), ("n", V.RDF_TYPE, "a"), ("n", V.LOCN + "gml", "x"), ("m", "p", "o")]
+    triples = spark.createDataFrame(rows + rows, "s string, p string, o string")
+    kept = []
+
+    def recorded(self, rows, name, keep=type(stage).keep):
+        kept.append(rows)
+        return keep(self, rows, name)
+
+    monkeypatch.setattr(type(stage), "keep", recorded)
+    nodes = graph.gather_nodes(triples, [V.LOCN + "gml", V.RDF_TYPE], stage)
+    assert [tuple(r) for r in nodes.table.collect()] == [("n", 1, "x", 2, "a")]
+    assert (nodes.most, nodes.size, nodes.triples.count()) == ((1, 2), 1, 3)
+    plan = kept[0]._jdf.queryExecution().optimizedPlan().toString()
+    groups = re.findall(r"Aggregate \[(.*?)\]", plan)
+    assert len(groups) == 2 and not any(re.search(r"\bp#", group) for group in groups)
+
+
 def test_sketches_of_stores_merge(spark):
     rows = spark.range(30_000).selectExpr(
         "CAST(NULL AS STRING) AS g", "concat('s', id) AS s", f"'{V.RDF_TYPE}' AS p",
