@@ -255,6 +255,36 @@ def test_quads_are_made_by_as_many_tasks_as_the_places_ask_for(spark, monkeypatc
     assert Counter(map(tuple, quads.collect())) == Counter(wanted)
 
 
+def test_places_are_made_by_many_tasks_however_the_parts_lie(spark, monkeypatch):
+    made = []
+
+    def recorded(*args, derive=fixtures._derive, **options):
+        made.append(derive(*args, **options))
+        return made[-1]
+
+    monkeypatch.setattr(fixtures, "PLACES_A_TASK", 10)
+    monkeypatch.setattr(fixtures, "_derive", recorded)
+    fixtures.quads(spark, "/root/testdata/sf0.001")
+    rows = [r["count"] for r in made[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) >= 7 and max(rows) < sum(rows) / 3
+
+
+@pytest.mark.parametrize("tasks", [1, 5, 20])
+def test_dealt_places_are_the_places(spark, tmp_path, tasks):
+    """Also with keys that repeat, that are null or negative, and groups without a head."""
+    sf_dir = "/root/testdata/sf0.001"
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    odd = part.filter("p_partkey <> 24").unionByName(part.filter("p_partkey IN (8, 9, 16)"))
+    less = part.filter("p_partkey < 20").withColumn("p_partkey", F.expr("-p_partkey - 1"))
+    none = part.filter("p_partkey = 3").withColumn("p_partkey", F.expr("CAST(NULL AS BIGINT)"))
+    odd.unionByName(less).unionByName(none).write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{sf_dir}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    found = fixtures._dealt_places(spark, str(tmp_path), tasks)
+    wanted = fixtures.places_with_position(spark, str(tmp_path))
+    assert found.schema == wanted.schema
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, wanted.collect()))
+
+
 @pytest.mark.parametrize("name", ["quads_head", *(f"product_{p}" for p in PRODUCTS), "product_erfgoed_union"])
 def test_queries_make_their_store_once(spark, name):
     found = entry.queries()[name](spark, "/root/testdata/sf0.001")
